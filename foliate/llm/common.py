@@ -77,6 +77,34 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+_BASE = 0x9E3779B97F4A7C15
+_POWERS_KEPT = 2 << 20
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash base and of its inverse, modulo 2^64.
+
+    With ``c`` the running sums of byte times power, bytes i to j hash to (c[j] - c[i]) * inverse[i].
+    """
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 1 << 20)
+        made = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            made.append(np.multiply.accumulate(steps))
+        if size > _POWERS_KEPT + 1:
+            return made[0], made[1]
+        _powers[:] = made
+    return _powers[0], _powers[1]
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return hashes ^ (hashes >> np.uint64(29))
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over (a > b) edges."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import decontam, langid, mixing, quality, secrets, sharding, simhash, suffix, topk
 from .common import documents, tune
 
 
@@ -15,14 +15,54 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return topk.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return decontam.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return suffix.remove_repeats(documents(spark, sf_dir))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_exact_topk": op2_exact_topk,
+    "op3_mixing": op3_mixing,
+    "op4_language": op4_language,
+    "op5_decontamination": op5_decontamination,
+    "op6_secrets": op6_secrets,
     "op8_compression_quality": op8_compression_quality,
+    "op9_repeated_strings": op9_repeated_strings,
+    "op10_sharding": op10_sharding,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_exact_topk": topk.NEIGHBOURS_SQL, "op3_mixing": mixing.mix_sql()}

@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
     A null text scores like an empty one. One row for each input row; other columns are left out.
     """
-    rows = docs.select(*keep, "text")
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
     kept = [f for f in rows.schema.fields if f.name != "text" or "text" in keep]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "score double, n_bytes long, good_bytes long, bad_bytes long"
 

@@ -48,18 +48,20 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * count > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, fp long)``, a row for each input row; fp holds the 64 bits as a signed number.
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp long)`` and the long columns ``keep``, a row for each input row; fp holds the 64 bits as a signed number.
 
     A null or empty text, or one of blanks only, has fingerprint 0.
     """
+    names = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py(), words) for t in batch.column("text")], np.uint64)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(found.view(np.int64))], names=[*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 class BKTree:
@@ -150,6 +152,13 @@ def links(nodes: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _roots(prints: DataFrame, radius: int) -> DataFrame:
+    """``(fp, root, low, n)``: each fingerprint's component, its smallest doc_id and its number of rows."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    labels = components(links(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "label")
+    return nodes.join(labels, "fp", "left").withColumn("root", F.coalesce("label", "fp")).drop("label")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
     """``(doc_id, fingerprint, component_id, n_component)`` for each input row.
 
@@ -159,9 +168,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_
     name none (null, if the component has no other rows). Ties and repeated rows change nothing.
     """
     prints = materialize(fingerprints(docs, words), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    labels = components(links(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "label")
-    roots = nodes.join(labels, "fp", "left").withColumn("root", F.coalesce("label", "fp"))
+    roots = _roots(prints, radius)
     groups = roots.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("n_component"))
     named = roots.select("fp", "root").join(groups, "root").select("fp", "component_id", "n_component")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_component")
+
+
+def representatives(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs``, one of each component: that with the smallest doc_id.
+
+    Among texts that share this doc_id, a hash decides; of repeated rows one stays. A component of
+    null doc_ids keeps one row too.
+    """
+    columns = docs.columns
+    keys = {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(9), "doc_id")}
+    rows = docs.withColumns(keys)
+    prints = materialize(fingerprints(rows, words, ("k1", "k2")), "fingerprints")
+    roots = _roots(prints, radius).select("fp", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")).alias("first")
+    own = prints.groupBy("fp").agg(first).join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = own.select("first.k1", "first.k2")
+    kept = materialize(prints.join(kept, ["k1", "k2"]).groupBy("k1", "k2").agg(F.count("*").alias("copies")), "representatives")
+    held = rows.join(kept, ["k1", "k2"])
+    single = held.where("copies = 1").select(*columns)
+    return single.unionByName(held.where("copies > 1").dropDuplicates(["k1", "k2"]).select(*columns))
