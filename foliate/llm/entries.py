@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, quality, secrets, sharding, simhash, suffix, topk
+from . import decontam, langid, mixing, paragraphs, quality, secrets, sharding, simhash, suffix, topk
 from .common import documents, tune
 
 
@@ -39,6 +39,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return paragraphs.repeated(documents(spark, sf_dir))
+
+
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
+    "op7_paragraphs": op7_paragraphs,
     "op8_compression_quality": op8_compression_quality,
     "op9_repeated_strings": op9_repeated_strings,
     "op10_sharding": op10_sharding,
