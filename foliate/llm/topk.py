@@ -22,9 +22,7 @@ SCALE = 64
 K = 20
 #: Queries sent to all tasks at a time, and candidates whose scores are held at a time.
 QUERY_BLOCK = 2048
-CANDIDATE_BLOCK = 4096
-QUERIES_AT_ONCE = 128
-_OWN = np.iinfo(np.int64).min
+CANDIDATE_BLOCK = 1 << 14
 
 
 def usable(vector: Column) -> Column:
@@ -38,15 +36,17 @@ def weights(vectors: DataFrame) -> DataFrame:
     return rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("w"))
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k highest scores, ties to smaller ids, without those marked as the query's own."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+def _best(ids: np.ndarray, scores: np.ndarray, k: int, without: np.ndarray | None = None) -> np.ndarray:
+    """Indices of the k highest scores, ties to smaller ids; those in ``without`` don't count."""
+    left = 0 if without is None else len(without)
+    if len(scores) > k + left:
+        least = np.partition(scores, len(scores) - k - left)[len(scores) - k - left]
         some = np.flatnonzero(scores >= least)
     else:
         some = np.arange(len(scores))
-    some = some[scores[some] != _OWN]
-    return some[np.lexsort((ids[some], -scores[some]))[:k]]
+    if left:
+        some = some[~np.isin(some, without)]
+    return some[np.lexsort((ids[some], -scores[some].astype(np.int64)))[:k]]
 
 
 class Postings:
@@ -56,34 +56,62 @@ class Postings:
         keep = values != 0
         rows, terms, values = rows[keep], terms[keep], values[keep]
         order = np.argsort(terms, kind="stable")
-        self.ids, self.rows, self.values = ids, rows[order], values[order]
-        self.terms, self.begins = np.unique(terms[order], return_index=True)
-        self.ends = np.append(self.begins[1:], len(order))
-
-    def scores(self, queries: list[tuple[int, list[int]]]) -> np.ndarray:
-        """A row of scores for each candidate, a column for each query."""
-        out = np.zeros((len(self.ids), len(queries)), np.int64)
-        for term, begin, end in zip(self.terms.tolist(), self.begins.tolist(), self.ends.tolist(), strict=True):
-            asked = np.array([w[term] if term < len(w) else 0 for _, w in queries], np.int64)
-            with_it = np.flatnonzero(asked)
-            if len(with_it) == len(queries):
-                out[self.rows[begin:end]] += self.values[begin:end, None] * asked
-            elif len(with_it):
-                out[np.ix_(self.rows[begin:end], with_it)] += self.values[begin:end, None] * asked[with_it]
-        own = np.array([q for q, _ in queries])
-        out[self.ids[:, None] == own] = _OWN
-        return out
+        rows, values = rows[order], values[order]
+        found, begins = np.unique(terms[order], return_index=True)
+        self.ids = ids
+        self.lists: dict[int, tuple[slice | np.ndarray, np.ndarray]] = {}
+        for t, i, j in zip(found.tolist(), begins.tolist(), np.append(begins[1:], len(order)).tolist(), strict=True):
+            if 2 * (j - i) < len(ids):
+                self.lists[t] = rows[i:j], values[i:j]
+            else:  # a list of most candidates is kept with the others' zeros, and needs no places
+                full = np.zeros(len(ids), np.int64)
+                full[rows[i:j]] = values[i:j]
+                self.lists[t] = slice(None), full
+        self.small = {t: own.astype(np.int32) for t, (_, own) in self.lists.items() if len(own) and np.abs(own).max() < 1 << 15}
+        #: What a candidate's weights add up to at most, in size.
+        self.heaviest = int(np.bincount(rows, np.abs(values).astype(float), len(ids)).max(initial=0)) + 1
+        self.order = np.argsort(ids, kind="stable")
+        self.sorted = ids[self.order]
+        self._part = {k: np.empty(len(ids), k) for k in (np.int32, np.int64)}
+        self._out = {k: np.empty(len(ids), k) for k in (np.int32, np.int64)}
+
+    def scores(self, query: int, weights: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Every candidate's score, and the places of those with the query's id. The array is used again for the next query."""
+        # Whole numbers of 32 bits hold most scores; where they might not, 64 bits do.
+        narrow = len(self.small) == len(self.lists) and self.heaviest * max(map(abs, weights), default=0) < 1 << 31
+        kind = np.int32 if narrow else np.int64
+        out, part = self._out[kind], self._part[kind]
+        out[:] = 0
+        for term, weight in enumerate(weights):
+            if weight and term in self.lists:
+                rows, values = self.lists[term]
+                own = part[: len(values)]
+                np.multiply(self.small[term] if narrow else values, kind(weight), out=own)
+                out[rows] += own
+        i, j = np.searchsorted(self.sorted, (query, query + 1))
+        return out, self.order[i:j]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Postings]:
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def made() -> Postings:
+        part = pa.Table.from_batches(held).combine_chunks()
+        column = part.column("w").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        sizes = np.diff(column.offsets.to_numpy())
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        return Postings(part.column("vec_id").to_numpy(), rows, np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes), column.flatten().to_numpy())
+
     for batch in batches:
-        for at in range(0, batch.num_rows, CANDIDATE_BLOCK):
-            part = batch.slice(at, CANDIDATE_BLOCK)
-            column = part.column("w")
-            sizes = np.diff(column.offsets.to_numpy())
-            begins = np.cumsum(sizes) - sizes
-            rows = np.repeat(np.arange(len(sizes)), sizes)
-            yield Postings(part.column("vec_id").to_numpy(), rows, np.arange(len(rows)) - np.repeat(begins, sizes), column.flatten().to_numpy())
+        held.append(batch)
+        size += batch.num_rows
+        if size >= CANDIDATE_BLOCK:
+            yield made()
+            held, size = [], 0
+    if size:
+        yield made()
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
@@ -108,13 +136,12 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
             ids = [np.zeros(0, np.int64) for _ in asked]
             scores = [np.zeros(0, np.int64) for _ in asked]
             for block in _blocks(batches):
-                for at in range(0, len(asked), QUERIES_AT_ONCE):
-                    part = np.ascontiguousarray(block.scores(asked[at : at + QUERIES_AT_ONCE]).T)
-                    for q, own in enumerate(part, at):
-                        some = _best(block.ids, own, k)
-                        all_ids, all_scores = np.append(ids[q], block.ids[some]), np.append(scores[q], own[some])
-                        best = _best(all_ids, all_scores, k)
-                        ids[q], scores[q] = all_ids[best], all_scores[best]
+                for q, (query, weights) in enumerate(asked):
+                    own, same = block.scores(query, weights)
+                    some = _best(block.ids, own, k, same)
+                    all_ids, all_scores = np.append(ids[q], block.ids[some]), np.append(scores[q], own[some].astype(np.int64))
+                    best = _best(all_ids, all_scores, k)
+                    ids[q], scores[q] = all_ids[best], all_scores[best]
             if asked:
                 of = np.repeat([q for q, _ in asked], [len(x) for x in ids]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], names=["query_id", "vec_id", "score"])
