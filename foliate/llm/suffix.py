@@ -248,6 +248,7 @@ def _start_by_start(rows: DataFrame, string: int) -> DataFrame:
 
     starts = materialize(rows.mapInArrow(run, "digest binary, k1 long, k2 long, lo int"), "crowded")
     often = starts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    often = materialize(often, "often-digests")
     return starts.join(often, "digest").select("k1", "k2", "lo", F.col("lo").alias("hi"))
 
 
@@ -287,12 +288,15 @@ def remove_repeats(docs: DataFrame, string: int = STRING, gram: int = GRAM, anch
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keys)
     filed = materialize(_file(rows, string, gram), "pieces")
     often = filed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written first, so that the join deals out both sides itself and can split a hot anchor.
+    often = materialize(often, "often")
     filed = materialize(filed.join(often, "anchor"), "repeated-anchors")
     # Equal pieces once, with how many there are and one place to find them.
     place = F.struct("k1", "k2", "lo", "hi", "at")
     unique = filed.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(place).alias("place"))
     unique = materialize(unique, "unique-pieces")
     crowded = unique.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > anchor_pieces).select("anchor", F.lit(True).alias("crowded"))
+    crowded = materialize(crowded, "crowded-anchors")
     wanted = unique.join(crowded, "anchor", "left").where("crowded is null").select("place.k1", "place.k2", F.struct("anchor", "piece", "n", "place.lo", "place.hi", "place.at").alias("own"))
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("own").alias("wanted"))
     members = filed.join(crowded, "anchor", "left")
