@@ -135,7 +135,7 @@ def _shingles_of_rows(small: np.ndarray, band: int) -> np.ndarray:
 
 
 def _windows(rows: DataFrame, passage: int, gram: int) -> DataFrame:
-    """``(gram, k1, k2, doc_id, at)``: the least shingles of all windows; ``at`` counts words."""
+    """``(gram, k1, k2, doc_id, at)``: the least shingles of all windows, each once for a row; ``at`` lists its places, in words."""
     width = passage - gram + 1
     names = ["gram", "k1", "k2", "doc_id", "at"]
 
@@ -149,7 +149,7 @@ def _windows(rows: DataFrame, passage: int, gram: int) -> DataFrame:
                 if n < passage:
                     continue
                 grams = _shingles(words.hashes, gram)
-                low = np.uint64((1 << int(n).bit_length()) - 1)
+                low = np.uint64((1 << max(24, int(n).bit_length())) - 1)  # the same for all but the longest texts
                 least, size = (grams & ~low) | np.arange(len(grams), dtype=np.uint64), 1
                 while 2 * size <= width:
                     least = np.minimum(least[:-size], least[size:])
@@ -159,11 +159,16 @@ def _windows(rows: DataFrame, passage: int, gram: int) -> DataFrame:
                 text = np.repeat(np.arange(j - i), np.diff(words.first))
                 inside = text[: len(least)] == text[passage - 1 :]
                 at = np.unique((least[inside] & low).astype(np.int64))
-                own = pa.array(text[at] + i)
-                columns = [pa.array(grams[at].view(np.int64)), *(c.take(own) for c in ids), pa.array((at - words.first[text[at]]).astype(np.int32))]
+                at = at[np.lexsort((at, grams[at], text[at]))]
+                if not len(at):
+                    continue
+                new = np.flatnonzero(np.concatenate([[True], (grams[at[1:]] != grams[at[:-1]]) | (text[at[1:]] != text[at[:-1]])]))
+                own = pa.array(text[at[new]] + i)
+                places = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)), pa.int32()), pa.array((at - words.first[text[at]]).astype(np.int32)))
+                columns = [pa.array(grams[at[new]].view(np.int64)), *(c.take(own) for c in ids), places]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, "gram long, k1 long, k2 long, doc_id long, at int")
+    return rows.mapInArrow(run, "gram long, k1 long, k2 long, doc_id long, at array<int>")
 
 
 def _shingled(rows: DataFrame) -> DataFrame:
@@ -262,6 +267,7 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     unique = materialize(found.groupBy("content").agg(F.min(F.struct(place.alias("place"), "bands")).alias("own"), F.count("*").alias("n")), "unique-paragraphs")
     banded = unique.select("content", F.explode("own.bands").alias("band")).distinct()
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    shared = materialize(shared, "shared-band-keys")
     banded = materialize(banded.join(shared, "band"), "shared-bands")
     wanted = unique.join(banded.select("content").distinct(), "content", "left_semi")
     wanted = wanted.select("own.place.k1", "own.place.k2", F.struct("content", "own.place.number").alias("w")).groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
@@ -275,13 +281,14 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY, recall: float = REC
 
 
 def passages(rows: DataFrame, passage: int = PASSAGE_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
-    """``(k1, k2, at, first)``: shingles of repeated passages, ``first`` the smallest doc_id that has it.
+    """``(k1, k2, at, first)``: places of shingles of repeated passages, ``first`` the smallest doc_id that has it.
 
     Only what occurs in more than one row counts.
     """
     filed = materialize(_windows(rows, passage, gram), "windows")
     shared = filed.groupBy("gram").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    shared = shared.where("low <> high").select("gram", "first")
+    # Written first, so that the join deals out both sides itself and can split a hot shingle.
+    shared = materialize(shared.where("low <> high").select("gram", "first"), "shared-grams")
     return filed.join(shared, "gram").select("k1", "k2", "at", "first")
 
 
@@ -300,7 +307,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     lines = own.groupBy("k1", "k2").agg(
         F.count("*").alias("n_repeated"), F.array_sort(F.collect_list(F.when(~stays, F.col("number")))).alias("removed"), F.collect_set("first.doc_id").alias("line_firsts"),
     )
-    inner = passages(rows).distinct().groupBy("k1", "k2").agg(F.array_sort(F.collect_set("at")).alias("at"), F.collect_set("first").alias("passage_firsts"))
+    inner = passages(rows).groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.collect_set("first").alias("passage_firsts"))
     covered = F.aggregate(
         "at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, x: F.struct((a["n"] + x + GRAM_WORDS - F.greatest(a["end"], x)).alias("n"), (x + GRAM_WORDS).alias("end")),
