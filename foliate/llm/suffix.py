@@ -25,6 +25,8 @@ from .common import materialize, mixed, powers, slices, text_bytes
 STRING = 400
 GRAM = 100
 SLICE_BYTES = 512 << 10
+#: Bytes looked at together, a power of two; only a text alone in its slice can be longer.
+LONGEST = 1 << 24
 #: Pieces sorted together; more only where one anchor has more.
 BLOCK_BYTES = 1 << 20
 #: Anchors with more different pieces than this are resolved start by start.
@@ -42,12 +44,19 @@ def _sums(raw: np.ndarray) -> np.ndarray:
 def pieces(raw: np.ndarray, offsets: np.ndarray, string: int = STRING, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """``(document, anchor hash, piece hash, first start, last start, anchor)`` of all pieces; places count within the document."""
     n, width = len(raw), string - gram + 1
+    if n > LONGEST:  # one long text: by ranges of starts, each with the bytes that its strings reach into
+        parts = []
+        for begin in range(0, n - string + 1, LONGEST - string + 1):
+            own = raw[begin : begin + LONGEST]
+            _, anchor, piece, lo, hi, at = pieces(own, np.array([0, len(own)]), string, gram)
+            parts.append((np.zeros(len(lo), np.int64), anchor, piece, lo + begin, hi + begin, at + begin))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     if n < string:
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
     sums, down = _sums(raw), powers(n + 1)[1]
     count = n - gram + 1
     grams = mixed((sums[gram:] - sums[:count]) * down[:count])
-    low = np.uint64((1 << int(n).bit_length()) - 1)
+    low = np.uint64(LONGEST - 1)  # the same for all slices: which gram is the least must depend on the string alone
     least, size = (grams & ~low) | np.arange(count, dtype=np.uint64), 1
     while 2 * size <= width:
         least = np.minimum(least[:-size], least[size:])

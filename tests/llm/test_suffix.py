@@ -44,6 +44,19 @@ def test_matches_brute_force(docs, words, string, gram, limit):
     assert sorted(got, key=str) == brute(data, string)
 
 
+def test_a_long_text_in_ranges(docs, words, monkeypatch):
+    data = rows(words)
+    # A range of starts is one more place where a run of starts is cut; what repeats stays the same.
+    raw = np.frombuffer((data[0][1] * 3).encode(), np.uint8)
+    whole = suffix.pieces(raw, np.array([0, len(raw)]), 64, 32)
+    monkeypatch.setattr(suffix, "LONGEST", 1 << 8)
+    cut = suffix.pieces(raw, np.array([0, len(raw)]), 64, 32)
+    starts = lambda p: [i for lo, hi in zip(p[3], p[4]) for i in range(lo, hi + 1)]
+    assert starts(cut) == starts(whole) == list(range(len(raw) - 63))
+    anchors = lambda p: {i: int(a) for a, lo, hi in zip(p[5], p[3], p[4]) for i in range(lo, hi + 1)}
+    assert sum(anchors(cut)[i] != anchors(whole)[i] for i in starts(cut)) == 0
+
+
 def test_empty_table(docs):
     assert suffix.remove_repeats(docs([])).count() == 0
 
