@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import assemble, layout, tables, toc
 from .sources import layout_view as view
+from .sources.scratch import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,9 +55,12 @@ def _items(s, d):
 
 
 def _units(s, d):
-    found = _sections(s, d)
+    # Sections are read by several joins; they and their sub-headings are made once.
+    entries = materialize(_toc(s, d), "toc")
+    found = materialize(toc.build_sections(entries, view.page_counts(_docs(s, d))), "sections")
+    subs = materialize(toc.sub_headings(found, entries), "sub-headings")
     figures = layout.figure_boxes(_boxes(s, d))
-    return assemble.assemble(found, _items(s, d), toc.sub_headings(found, _toc(s, d)), _tables(s, d), figures)
+    return assemble.assemble(found, _items(s, d), subs, _tables(s, d), figures)
 
 
 @_query("l0_toc", _TOC + "SELECT * FROM toc")

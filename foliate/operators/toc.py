@@ -155,7 +155,8 @@ def build_sections(toc: DataFrame, page_counts: DataFrame, schemes: dict[str, Sc
     found = found.withColumns({"ord": F.row_number().over(order), "next_page": F.lead("page").over(order)})
     # The next break after a page: the smallest break page in what follows, over sections and breaks together.
     both = found.select("vendor", "page", "ord", F.lit(None).cast("int").alias("at")).unionByName(breaks.select("vendor", "page", F.lit(None).cast("int").alias("ord"), F.col("page").cast("int").alias("at")))
-    later = Window.partitionBy("vendor").orderBy("page").rangeBetween(1, Window.unboundedFollowing)
+    # From the end, so that the frame grows: a frame that shrinks is summed up anew for every row.
+    later = Window.partitionBy("vendor").orderBy(F.desc("page")).rangeBetween(Window.unboundedPreceding, -1)
     after = both.withColumn("next_break", F.min("at").over(later)).where(F.col("ord").isNotNull()).select("vendor", "ord", "next_break")
     joined = found.join(after, ["vendor", "ord"]).join(page_counts, "vendor", "left")
     end = F.coalesce("next_page", "pages", F.lit(10**9))
@@ -180,7 +181,7 @@ def sub_headings(sections: DataFrame, toc: DataFrame) -> DataFrame:
     chapters' overviews, inside which other sections begin, are gone through apart from these.
     """
     entries = toc.select("vendor", F.col("pos").alias("at"), F.col("level").alias("deep"), F.col("title").alias("text"), F.col("page").alias("on"))
-    after = Window.partitionBy("vendor").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("vendor").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
     nexts = F.array(*[F.min(F.when(F.col("deep") <= k, F.col("at"))).over(after) for k in range(1, DEEPEST + 1)])
     entries = entries.withColumn("bound", F.coalesce(F.get(nexts, F.col("deep") - 1), F.lit(2**31 - 1).cast(dict(toc.dtypes)["pos"])))
     own = sections.select("vendor", F.col("pos").alias("at"), F.struct("slug", "level", F.col("page").alias("begins"), "page_end").alias("s"), F.col("num").endswith(".0").alias("overview"))
