@@ -21,7 +21,7 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir))
+    return mixing.mix(documents(spark, sf_dir), bounded=False)  # as its SQL has it
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

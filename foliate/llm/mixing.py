@@ -1,9 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting, with built-in functions only.
 
 Documents are summed into cells of source, language and topic, weighed by their tokens. Raking
-scales the cells until every margin has its target share. A cell's documents are then kept with the
-probability that gives the cell its raked share of the token budget; where that would be over one,
-the cell is kept whole and the rest of the budget goes to the others.
+scales the cells until every margin has its target share of the token budget. No cell can give more
+than it has, so every step is bounded: what a full cell lacks comes from the others of its category,
+and what a full category lacks from the others of its margin. A cell's documents are then kept with
+the probability that gives the cell its share.
+
+The query ``op3_mixing`` is held to its SQL, which rakes without the bound and cuts afterwards.
 """
 
 from __future__ import annotations
@@ -61,6 +64,21 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     those without a target get none. A margin that isn't given gets its own shares to the power
     ``temper``. ``together`` rakes all cells in one task, without shuffles.
     """
+    now = _with_goals(cells, targets, temper)
+    now = materialize(now, "cells")
+    now = now.coalesce(1) if together else now
+    for r in range(rounds):
+        for m in MARGINS:
+            own = F.sum("weight").over(Window.partitionBy(m))
+            now = now.withColumn("weight", F.when(own > 0, F.col("weight") * F.col(f"goal_{m}") / own).otherwise(0.0))
+        if (r + 1) % ROUNDS_AT_ONCE == 0:
+            now = materialize(now, "cells")
+            now = now.coalesce(1) if together else now
+    return now
+
+
+def _with_goals(cells: DataFrame, targets: dict[str, dict[str, float]] | None, temper: float) -> DataFrame:
+    """Cells with their own share as ``weight`` and, for each margin, the target of their category."""
     targets = targets or {}
     whole = F.sum("mass").over(Window.partitionBy())
     now = cells.withColumn("weight", F.col("mass") / whole)
@@ -73,20 +91,51 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
             goal = F.pow(own / whole, F.lit(temper))
         # Each category counts once in the total: its cells share it out by their mass.
         now = now.withColumn(f"goal_{m}", goal).withColumn(f"goal_{m}", F.col(f"goal_{m}") / F.sum(F.col(f"goal_{m}") * F.col("mass") / own).over(Window.partitionBy()))
-    now = materialize(now, "cells")
-    now = now.coalesce(1) if together else now
+    return now
+
+
+def _factor(have: Column, want: Column, total: Column, part: list[str], tie: list[str]) -> Column:
+    """The least f with sum(least(have, f * want)) = total in each part, or all of ``have`` where that is less.
+
+    That sum is the least, over k, of the haves of the k fullest rows and f times the wants of the others.
+    """
+    own = Window.partitionBy(*part)
+    before = F.sum(have).over(own.orderBy(have / want, *tie).rowsBetween(Window.unboundedPreceding, -1))
+    after = F.sum(want).over(own.orderBy((have / want).desc(), *[F.col(c).desc() for c in tie]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.max((total - F.coalesce(before, F.lit(0.0))) / after).over(own)
+
+
+def rake_bounded(
+    cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, temper: float = TEMPER, together: bool = False
+) -> DataFrame:
+    """Cells with ``p``, the probability of keeping a document, so that the expected tokens are the
+    budget's share and meet every margin's target as nearly as can be.
+
+    A category that has less than its target is kept whole; the others of its margin share out what
+    it lacks, in proportion to their targets. ``targets``, ``temper`` and ``together`` are as in
+    ``rake``; cells of a category without a target are left out.
+    """
+    everywhere = Window.partitionBy()
+    one = lambda df: df.coalesce(1) if together else df
+    now = _with_goals(cells, targets, temper).withColumn("room", F.col("mass") / (F.sum("mass").over(everywhere) * budget))
+    now = now.where(F.least(*[F.col(f"goal_{m}") for m in MARGINS]) > 0)
+    now = one(materialize(now.withColumn("total", F.least(F.lit(1.0), F.sum("room").over(everywhere))), "cells"))
+    for m in MARGINS:
+        kinds = now.groupBy(m).agg(F.sum("room").alias("room"), F.first(f"goal_{m}").alias("goal"), F.first("total").alias("total"))
+        reach = F.least("room", F.col("goal") * _factor(F.col("room"), F.col("goal"), F.col("total"), [], [m]))
+        now = now.join(kinds.select(m, reach.alias(f"reach_{m}")), m)
+    now = one(materialize(now, "cells"))
     for r in range(rounds):
         for m in MARGINS:
-            own = F.sum("weight").over(Window.partitionBy(m))
-            now = now.withColumn("weight", F.when(own > 0, F.col("weight") * F.col(f"goal_{m}") / own).otherwise(0.0))
+            factor = _factor(F.col("room"), F.col("weight"), F.col(f"reach_{m}"), [m], list(MARGINS))
+            now = now.withColumn("weight", F.least("room", F.col("weight") * factor))
         if (r + 1) % ROUNDS_AT_ONCE == 0:
-            now = materialize(now, "cells")
-            now = now.coalesce(1) if together else now
-    return now
+            now = one(materialize(now, "cells"))
+    return now.withColumn("p", F.round(F.col("weight") / F.col("room"), 9))
 
 
 def probabilities(cells: DataFrame, budget: float = BUDGET, rounds: int = CAP_ROUNDS) -> DataFrame:
-    """Cells with ``p``, the probability of keeping a document: the expected tokens are the budget's share."""
+    """Raked cells with ``p``, cut at one without regard to the margins: the expected tokens are the budget's share."""
     everywhere = Window.partitionBy()
     now = cells.withColumn("goal", F.sum("mass").over(everywhere) * budget).withColumn("p", F.lit(0.0))
     for _ in range(rounds):
@@ -104,11 +153,13 @@ def features(docs: DataFrame, rules=TOPICS, *keep: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("source", F.lit(NONE)).alias("source"), F.coalesce("lang", F.lit(NONE)).alias("lang"), topic(F.col("text"), rules).alias("topic"), tokens.alias("tokens"), *keep)
 
 
-def chances(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
+def chances(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, bounded: bool = True) -> DataFrame:
     """``(source, lang, topic, p)`` from ``features``; broadcast where the cells are few."""
     cells = materialize(cells_of(rows), "cells")
     small = cells.count() <= SMALL_CELLS
-    found = probabilities(rake(cells.coalesce(1) if small else cells, targets, together=small), budget).select(*MARGINS, "p")
+    own = cells.coalesce(1) if small else cells
+    found = rake_bounded(own, targets, budget, together=small) if bounded else probabilities(rake(own, targets, together=small), budget)
+    found = found.select(*MARGINS, "p")
     return F.broadcast(found) if small else found
 
 
@@ -117,14 +168,15 @@ def _decided(rows: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumn("kept", chance(F.col("doc_id")) < F.col("p"))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rules=TOPICS) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rules=TOPICS, bounded: bool = True) -> DataFrame:
     """``(doc_id, source, lang, topic, tokens, p, kept)`` for each input row.
 
     A document is kept if a hash of its doc_id, as a number in [0, 1), is below ``p``: repeated rows
-    share their fate. Texts without words weigh nothing and are kept (p = 1).
+    share their fate. Texts without words weigh nothing and are kept (p = 1). Without ``bounded`` the cells
+    are raked first and cut at p = 1 afterwards, as ``mix_sql`` does.
     """
     rows = materialize(features(docs, rules), "features")
-    return _decided(rows, chances(rows, targets, budget)).select("doc_id", *MARGINS, "tokens", "p", "kept")
+    return _decided(rows, chances(rows, targets, budget, bounded)).select("doc_id", *MARGINS, "tokens", "p", "kept")
 
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rules=TOPICS) -> DataFrame:
