@@ -155,15 +155,30 @@ class Segment:
         return lists
 
     @staticmethod
-    def starts(lists: list[np.ndarray], offsets: list[int], missing: int = 0, slop: int = 0) -> np.ndarray:
-        """Starts at which all lists but ``missing`` have the offset's position, give or take ``slop``.
+    def starts(lists: list[np.ndarray], offsets: list[int]) -> np.ndarray:
+        """Starts at which all lists have the offset's position; ``lists`` begin with the rarest, whose positions are the candidates."""
+        return Segment.confirmed(lists[0] - offsets[0], lists[1:], offsets[1:], 0, 0)
 
-        ``lists`` begin with the rarest, whose positions are the candidates.
+    @staticmethod
+    def near_starts(lists: list[np.ndarray], offsets: list[int], missing: int, slop: int) -> np.ndarray:
+        """Starts at which all lists but ``missing`` have a position within ``slop`` of the offset's.
+
+        One of the ``missing`` + 1 rarest lists is among them, so their positions are the candidates:
+        the others of a start are within twice the slop of them, and the start itself within the slop.
         """
-        found = lists[0] - offsets[0]
+        rare = np.concatenate([x - o for x, o in zip(lists[: missing + 1], offsets[: missing + 1], strict=True)])
+        found = Segment.confirmed(rare, lists, offsets, missing, 2 * slop)
+        if len(found):
+            found = np.unique(found[:, None] + np.arange(-slop, slop + 1))
+            found = Segment.confirmed(found, lists, offsets, missing, slop)
+        return found
+
+    @staticmethod
+    def confirmed(found: np.ndarray, lists: list[np.ndarray], offsets: list[int], missing: int, slop: int) -> np.ndarray:
+        """The candidates that all lists but ``missing`` confirm."""
         lost = np.zeros(len(found), np.int64)
-        for own, offset in zip(lists[1:], offsets[1:], strict=True):
-            target = found + offset - slop
+        for own, offset in zip(lists, offsets, strict=True):
+            target = found + (offset - slop)
             at = np.minimum(np.searchsorted(own, target), len(own) - 1)
             here = (own[at] >= target) & (own[at] <= target + 2 * slop)
             if missing:
@@ -195,16 +210,20 @@ def _search(row: dict, wanted: Phrases, missing: int, slop: int) -> Iterator[tup
             continue
         order = [k for k in np.argsort(counts, kind="stable").tolist() if counts[k]]
         own = [lists[ids[k]] for k in order]
-        if not absent:
+        nearly = len(window) > 2 * missing  # shorter ones count as near where they are exact
+        near_at = Segment.near_starts(own, order, missing - absent, slop) if nearly else None
+        if not absent and (not nearly or len(near_at)):
             at = Segment.starts(own, order)
             if len(at):
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + len(window), -1)
                 for doc in np.unique(np.searchsorted(segment.doc_starts, at, "right") - 1).tolist():
                     items.setdefault(doc, set()).update(names)
-        if len(window) > 2 * missing:
-            at = Segment.starts(own, order, missing - absent, slop) + order[0]
-            for doc in np.unique(np.searchsorted(segment.doc_starts, at, "right") - 1).tolist():
+                    if not nearly:
+                        near[doc] = near.get(doc, 0) + 1
+        if nearly and len(near_at):
+            # The first term found is there or before it, less than a gap away.
+            for doc in np.unique(np.searchsorted(segment.doc_starts, near_at + (missing + slop), "right") - 1).tolist():
                 near[doc] = near.get(doc, 0) + 1
     hit = np.cumsum(cover) > 0
     for doc in range(len(ends)):
@@ -223,7 +242,8 @@ def search(index: DataFrame, wanted: Phrases, missing: int = NEAR_MISSING, slop:
     """For every document of the index, what it shares with ``wanted``.
 
     ``items``: names of the items with an exact window; ``spans``: the word ranges that exact windows
-    cover; ``n_near``: windows found at least nearly (exact ones too).
+    cover; ``n_near``: windows found at least nearly (exact ones too; windows of so few words that
+    half of them could be missing only as exact ones).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from foliate.llm import decontam
@@ -61,6 +62,26 @@ def test_proximity(spark, docs):
     assert [(found[k]["n_near"], found[k]["n_hit"]) for k in (1, 2, 3)] == [(1, 0), (1, 0), (0, 0)]
 
 
+def test_proximity_does_not_depend_on_the_segment(spark, docs):
+    text = [f"w{k}" for k in range(13)]
+    items = spark.createDataFrame([(1, " ".join(text)), (2, "only four words here")], "item_id long, text string")
+    rows = [(1, " ".join([*text[:5], "extra", *text[5:]])), (2, " ".join([*text[:3], "other", *text[4:]])), (3, " ".join(text[::-1])), (4, " ".join(text[2:])), (5, "but only four words here")]
+    rows += [(6, " ".join([*text[:5], "x", *text[5:9], "y", "z", *text[9:]])), (7, " ".join(w for k, w in enumerate(text) if k not in (0, 6, 12)))]
+    for parts in (1, len(rows)):
+        found = {r["doc_id"]: r["n_near"] for r in decontam.contamination(docs(rows).repartition(parts), items).collect()}
+        assert found == {1: 1, 2: 1, 3: 0, 4: 1, 5: 1, 6: 1, 7: 0}
+
+
+def test_near_starts_match_brute_force():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        n, missing, slop = int(r.integers(5, 9)), int(r.integers(0, 3)), int(r.integers(0, 4))
+        lists = sorted((np.unique(r.integers(20, 60, r.integers(1, 12))) for _ in range(n)), key=len)
+        offsets = r.permutation(n).tolist()
+        want = [s for s in range(90) if sum(not any(abs(int(p) - s - o) <= slop for p in own) for own, o in zip(lists, offsets, strict=True)) <= missing]
+        assert [s for s in decontam.Segment.near_starts(lists, offsets, missing, slop).tolist() if s >= 0] == want
+
+
 def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contamination(docs([]), none).count() == 0
