@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm import decontam, mixing, quality, sharding, simhash
+from foliate.llm import decontam, mixing, near, quality, sharding
 from foliate.llm.common import materialize, row_key, tune
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,9 +19,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
+    """One document of each component of near copies, five-word Jaccard 0.8 or more; SimHash and its 4 bits are op1's contract."""
     tune(spark)
-    return simhash.representatives(docs.select(*COLUMNS))
+    return near.representatives(docs.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: The classifier, SimHash and the index are beyond SQL; tests hold the stages against plain versions.
+#: The classifier, MinHash and the index are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 

@@ -223,7 +223,7 @@ def _(s, d):
 
 @_query("j14_map_glyphs")
 def _(s, d):
-    glyph = F.expr("concat(substring(text, 1, 40), decode(unhex(hex(61440 + doc_id % 256)), 'utf-16be'))")
+    glyph = F.expr("concat(text, decode(unhex(hex(61440 + doc_id % 256)), 'utf-16be'))")
     rows = view._based(_docs(s, d)).select("doc_id", "vendor", glyph.alias("text"))
     return rows.select("doc_id", layout.map_glyphs(F.col("text"), F.col("vendor")).alias("text"))
 

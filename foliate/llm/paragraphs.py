@@ -196,6 +196,7 @@ class Bucket:
 
     def __init__(self, similarity: float):
         self.similarity, self.members, self.up = similarity, [], []
+        self.groups = 0  # components among the members
 
     def top(self, i: int) -> int:
         while self.up[i] != i:
@@ -213,6 +214,8 @@ class Bucket:
         """A similar member of every component that has one."""
         found: dict[int, int] = {}
         for i, (_, own) in enumerate(self.members):
+            if len(found) == self.groups:
+                break
             if (t := self.top(i)) not in found and self.similar(own, shingles):
                 found[t] = i
         return list(found.values())
@@ -221,6 +224,7 @@ class Bucket:
         links, new = self.touched(shingles), len(self.members)
         self.members.append((content, shingles))
         self.up.append(new)
+        self.groups += 1 - len(links)
         for i in links:
             self.up[self.top(i)] = new
         return [self.members[i][0] for i in links]

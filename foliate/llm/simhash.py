@@ -184,7 +184,11 @@ def representatives(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_
     keys = {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(9), "doc_id")}
     rows = docs.withColumns(keys)
     prints = materialize(fingerprints(rows, words, ("k1", "k2")), "fingerprints")
-    roots = _roots(prints, radius).select("fp", "root")
+    return first_rows(rows, prints, _roots(prints, radius).select("fp", "root"), columns)
+
+
+def first_rows(rows: DataFrame, prints: DataFrame, roots: DataFrame, columns: list[str]) -> DataFrame:
+    """The first row of each root, from ``rows`` with keys, ``prints (doc_id, k1, k2, fp)`` and ``roots (fp, root)``."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")).alias("first")
     own = prints.groupBy("fp").agg(first).join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))
     kept = own.select("first.k1", "first.k2")

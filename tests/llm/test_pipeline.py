@@ -68,3 +68,25 @@ def test_hot_group_of_copies(spark, docs, words):
     rows = [(k, words(50, 1)) for k in range(300)] + [(1000 + k, words(50, k + 2)) for k in range(20)]
     kept = sorted(r["doc_id"] for r in simhash.representatives(docs(rows)).collect())
     assert kept[0] == 0 and len(kept) == 21
+
+
+def test_near_copies_at_a_similarity_of_eight_tenths_go(spark, docs, words):
+    def jaccard(a, b):
+        a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+        return len(a & b) / len(a | b)
+
+    rows, want = [(900, "a b c"), (901, "A  b c"), (902, "a b d"), (903, None), (904, "")], {900, 902, 903}
+    for k in range(40):
+        base = words(200, 1000 + k).split()
+        copy = list(base)
+        for n in range(k % 4 + 1):  # each changed word changes five shingles
+            copy[20 + 40 * n] = f"changed{k}x{n}"
+        rows += [(k, " ".join(base)), (100 + k, " ".join(copy))]
+        assert jaccard(" ".join(base), " ".join(copy)) >= 0.8
+        want.add(k)
+        far = [w if i % 20 else f"other{k}x{i}" for i, w in enumerate(base)]
+        assert jaccard(" ".join(base), " ".join(far)) < 0.8
+        rows.append((200 + k, " ".join(far)))
+        want.add(200 + k)
+    found = corpus_pipeline.near_duplicate_stage(spark, docs(rows).repartition(3), "")
+    assert {r["doc_id"] for r in found.collect()} == want

@@ -193,3 +193,14 @@ def test_catalog_outliers(spark):
     found = spark.createDataFrame([("a", f"s{i:02d}", "1", "t", "c", i * 30, i % 2 == 0, "1-2") for i in range(60)], "vendor string, slug string, num string, title string, cat string, chars int, started boolean, pages string")
     rows = toc.outliers(found).collect()
     assert sum(r["reason"] == "short" for r in rows) == 14 and sum(r["reason"] == "title not found" for r in rows) == 20
+
+
+def test_glyphs_are_mapped_in_whole_texts(spark, tmp_path):
+    from foliate import layout_entries
+
+    long = "x" * 5000 + "\uf06c" + "y" * 10
+    spark.createDataFrame([(0, long), (1, "short"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["text"] for r in layout_entries.QUERIES["j14_map_glyphs"](spark, str(tmp_path)).collect()}
+    want = spark.createDataFrame([(0, "alpha", long + "\uf000"), (1, "beta", "short\uf001")], "doc_id long, vendor string, text string")
+    assert got == {r["doc_id"]: r["text"] for r in want.select("doc_id", layout.map_glyphs(F.col("text"), F.col("vendor")).alias("text")).collect()}
+    assert len(got[0]) > 5000
