@@ -41,7 +41,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    return paragraphs.repeated(documents(spark, sf_dir))
+    return paragraphs.repeated(documents(spark, sf_dir), least=1)
 
 
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

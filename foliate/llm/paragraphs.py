@@ -1,6 +1,7 @@
 """Substring deduplication by paragraphs: MinHash banding, exact Jaccard, components.
 
-A paragraph is a line of ``LEAST_WORDS`` words or more. Equal paragraphs are counted and sent on
+A paragraph is a line of ``least`` words or more: by default ``LEAST_WORDS``, in the query every line
+that has a word. A line of fewer words than a shingle is its own only shingle. Equal paragraphs are counted and sent on
 once. The others meet in the buckets of their MinHash bands; bands and rows are tuned so that a pair
 of the least similarity meets with a probability of ``RECALL`` or more. Within a bucket the exact
 Jaccard similarity of their five-word shingles decides, and components of what it links are classes.
@@ -112,12 +113,15 @@ def _paragraphs(rows: DataFrame, least: int, shape: tuple[int, int]) -> DataFram
                 if not len(own):
                     continue
                 begin, end = words.line_first[own], words.line_first[own + 1]
-                shingles = _shingles(words.hashes, SHINGLE_WORDS)
-                small = _minhashes(shingles, begin, end - SHINGLE_WORDS + 1, count * height)
-                keys = [_shingles_of_rows(small[:, b * height : (b + 1) * height], b) for b in range(count)]
                 up, down = powers(len(words.hashes) + 1)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hashes * up[: len(words.hashes)], dtype=np.uint64)])
                 content = mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+                shingles = _shingles(words.hashes, SHINGLE_WORDS)
+                short = end - begin < SHINGLE_WORDS
+                low = np.where(short, len(shingles) + np.cumsum(short) - 1, begin)
+                high = np.where(short, low + 1, end - SHINGLE_WORDS + 1)
+                small = _minhashes(np.concatenate([shingles, content[short]]), low, high, count * height)
+                keys = [_shingles_of_rows(small[:, b * height : (b + 1) * height], b) for b in range(count)]
                 flat = pa.array(np.column_stack(keys).reshape(-1).view(np.int64))
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * count, pa.int32()), flat)
                 at = pa.array(words.line_texts[own] + i)
@@ -183,7 +187,8 @@ def _shingled(rows: DataFrame) -> DataFrame:
                 for w in wanted:
                     begin, end = words.line_first[w["number"]], words.line_first[w["number"] + 1]
                     content.append(w["content"])
-                    sets.append(np.unique(_shingles(words.hashes[begin:end], SHINGLE_WORDS)).view(np.int64))
+                    own = _shingles(words.hashes[begin:end], SHINGLE_WORDS).view(np.int64)
+                    sets.append(np.unique(own) if len(own) else np.array([w["content"]], np.int64))
             flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
             ends = np.cumsum([0, *map(len, sets)])
             yield pa.RecordBatch.from_arrays([pa.array(content, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["content", "shingles"])
@@ -296,7 +301,7 @@ def passages(rows: DataFrame, passage: int = PASSAGE_WORDS, gram: int = GRAM_WOR
     return filed.join(shared, "gram").select("k1", "k2", "at", "first")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """``(doc_id, n_repeated, n_removed, removed, n_passage_words, first_doc_ids)`` for each input row.
 
     ``n_repeated`` counts the row's paragraphs whose class has others, ``n_removed`` those of them
@@ -306,7 +311,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     place, so they repeat each other only in what is left to ``near_duplicates``.
     """
     rows = _keyed(docs)
-    own = classes(rows).select("k1", "k2", "doc_id", "number", "first").distinct()
+    own = classes(rows, least=least).select("k1", "k2", "doc_id", "number", "first").distinct()
     stays = (F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2")) & (F.col("first.number") == F.col("number"))
     lines = own.groupBy("k1", "k2").agg(
         F.count("*").alias("n_repeated"), F.array_sort(F.collect_list(F.when(~stays, F.col("number")))).alias("removed"), F.collect_set("first.doc_id").alias("line_firsts"),
@@ -328,11 +333,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """The rows of ``docs``, their texts without the paragraphs that stand first elsewhere."""
     columns = docs.columns
     keys = {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(9), "doc_id")}
-    own = classes(_keyed(docs)).select("k1", "k2", "number", "first").distinct()
+    own = classes(_keyed(docs), least=least).select("k1", "k2", "number", "first").distinct()
     stays = (F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2")) & (F.col("first.number") == F.col("number"))
     gone = own.where(~stays).groupBy("k1", "k2").agg(F.collect_list("number").alias("gone"))
     lines = F.split("text", "\n")

@@ -98,3 +98,14 @@ def test_passage_of_fifty_words_is_found(docs, words):
 
 def test_empty_table(docs):
     assert p.repeated(docs([])).count() == 0
+
+
+def test_query_takes_short_lines(spark, words, tmp_path):
+    from foliate.llm import entries
+
+    near = words(15, 810).split()
+    near[0] = "changed"  # one of eleven shingles: Jaccard 10 / 12
+    texts = {1: words(15, 810), 2: " ".join(near), 3: "Same two\n" + words(12, 811), 4: "same  TWO\n" + words(12, 812), 5: "two same\n\n" + words(6, 813), 6: words(6, 813)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_repeated"], r["removed"], r["first_doc_ids"]) for r in entries.op7_paragraphs(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, [], []), 2: (1, [0], [1]), 3: (1, [], []), 4: (1, [0], [3]), 5: (1, [], []), 6: (1, [0], [5])}
