@@ -2,24 +2,64 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch tables made so far, for ``scratch_removed``.
+_made: list[str] = []
+_own: list[str] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local folder only where the session names none."""
+    """``spark.checkpoint.dir``; where the session names none, a temporary folder in local mode, and else the warehouse.
+
+    On a cluster a folder of one machine would lose tables, so a warehouse there is refused.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="foliate-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base:
+        return base.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="foliate-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        return _own[0]
+    base = spark.conf.get("spark.sql.warehouse.dir")
+    if urlparse(base).scheme in ("", "file"):
+        raise ValueError(f"executors may not share {base}: set spark.checkpoint.dir to a folder that all machines reach")
+    return base.rstrip("/")
+
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table."""
+    _made.append(f"{scratch_dir(spark)}/foliate/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends at that table."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/foliate/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch_path(spark, name)
+    writer = df.write if compression is None else df.write.option("compression", compression)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch_removed(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables made inside the block when it ends; results must have been written by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for made in _made[before:]:
+            path = path_of(made)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        del _made[before:]
