@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize, scratch_path  # noqa: F401
+
 #: Rows and bytes of an Arrow batch handed to a Python task: very long texts must not pile up.
 ARROW_ROWS = 1000
 ARROW_BYTES = 16 << 20
@@ -26,23 +26,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="foliate-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends at that table."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/foliate/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_key(*cols: str) -> Column:
     """Tells rows apart that share an id but not a text; equal rows share it."""
     return F.xxhash64(*[F.col(c) for c in cols])
