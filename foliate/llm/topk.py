@@ -8,7 +8,6 @@ a time. The best of every block are selected, and the blocks' selections merged.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_dir
+from .common import materialize, scratch_path
 
 SCALE = 64
 K = 20
 #: Queries sent to all tasks at a time, and candidates whose scores are held at a time.
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 8192
 CANDIDATE_BLOCK = 1 << 14
 
 
@@ -125,25 +124,28 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     spark = candidates.sparkSession
     queries = queries.groupBy("vec_id").agg(F.min("w").alias("w"))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    path = f"{scratch_dir(spark).rstrip('/')}/foliate/topk-{uuid.uuid4().hex}"
+    # Written once, sorted into its blocks: each block is then read without the table of vectors.
+    queries = materialize(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), "queries")
+    path = scratch_path(spark, "topk")
     schema = "query_id long, vec_id long, score long"
     for b in range(blocks):
-        asked = [(r["vec_id"], list(r["w"])) for r in queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()]
-        sent = spark.sparkContext.broadcast(asked)
+        own = queries.where(F.col("block") == b).select("vec_id", "w").toArrow()
+        own = [(own.column("vec_id").to_numpy(), x.flatten().to_numpy(), np.append(0, np.cumsum(x.value_lengths().to_numpy()))) for x in [own.column("w").combine_chunks()]]
+        sent = spark.sparkContext.broadcast(own[0])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            asked = sent.value
+            asked, flat, ends = sent.value
             ids = [np.zeros(0, np.int64) for _ in asked]
             scores = [np.zeros(0, np.int64) for _ in asked]
             for block in _blocks(batches):
-                for q, (query, weights) in enumerate(asked):
-                    own, same = block.scores(query, weights)
+                for q, query in enumerate(asked.tolist()):
+                    own, same = block.scores(query, flat[ends[q] : ends[q + 1]].tolist())
                     some = _best(block.ids, own, k, same)
                     all_ids, all_scores = np.append(ids[q], block.ids[some]), np.append(scores[q], own[some].astype(np.int64))
                     best = _best(all_ids, all_scores, k)
                     ids[q], scores[q] = all_ids[best], all_scores[best]
-            if asked:
-                of = np.repeat([q for q, _ in asked], [len(x) for x in ids]).astype(np.int64)
+            if len(asked):
+                of = np.repeat(asked, [len(x) for x in ids])
                 yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], names=["query_id", "vec_id", "score"])
 
         candidates.mapInArrow(run, schema).write.mode("append").parquet(path)
