@@ -16,13 +16,21 @@ class Layout:
     tiers: tuple[tuple[float, int], ...]  # (least size, heading level)
     bullets: tuple[tuple[str, str], ...]
     starts_at_once: bool = False
+    references: tuple[tuple[str, str], ...] = ()  # rewrites of references to pages: pattern, replacement
 
 
+# How page references are written in the three layouts, and what becomes of them.
+REFERENCES = {
+    "alpha": (("，", "、"), ("．", "。"), (r"[\ue000-\uf8ff]\s*(\d+)ページ\s*", "→ "), (r"\(?(\d+)ページ\s+", "→ ")),
+    "gamma": ((r"\s*[（(]P\.[0-9A-Za-z\-]+[）)]", ""), (r"^l\s+", "- ")),
+    "beta": ((r"[（(]\s*\d+ページ\s*[）)]", ""), (r"「?\d+ページ\s+", "→ "), (r"^参\s+考\s*[：:]?\s*", "**参考**: "), (r"参\s+考", "")),
+}
+
 # Body areas, running lines, font sizes and bullets of the three layouts.
 LAYOUTS = {
-    "alpha": Layout("Alpha Works", "Alpha", "Manual alpha", (35, 42, 545, 782), (r"\d+\s*$", r"MEMO$"), 15.0, ((12.6, 2), (11.6, 3), (10.5, 4)), (("●", "- "), ("・", "  - "))),
-    "beta": Layout("Beta Studio", "Beta", "Manual beta", (30, 50, 480, 700), (r"\d+-\d+\s*$", r"\d+\s*$", r"MEMO$"), 16.0, ((11.5, 2), (10.4, 3)), (("●", "- "), ("・", "  - ")), True),
-    "gamma": Layout("Gamma Studio", "Gamma", "Manual gamma", (40, 55, 500, 788), (r"\d+-\d+\s*$", r"\d+\s*$", r"付\s*-\s*\d+$", r"A-\d+\s*$", r"MEMO$"), 17.0, ((13.2, 2), (11.5, 3)), (("l", "- "), ("●", "- "), ("・", "  - "))),
+    "alpha": Layout("Alpha Works", "Alpha", "Manual alpha", (35, 42, 545, 782), (r"\d+\s*$", r"MEMO$"), 15.0, ((12.6, 2), (11.6, 3), (10.5, 4)), (("●", "- "), ("・", "  - ")), references=REFERENCES["alpha"]),
+    "beta": Layout("Beta Studio", "Beta", "Manual beta", (30, 50, 480, 700), (r"\d+-\d+\s*$", r"\d+\s*$", r"MEMO$"), 16.0, ((11.5, 2), (10.4, 3)), (("●", "- "), ("・", "  - ")), True, REFERENCES["beta"]),
+    "gamma": Layout("Gamma Studio", "Gamma", "Manual gamma", (40, 55, 500, 788), (r"\d+-\d+\s*$", r"\d+\s*$", r"付\s*-\s*\d+$", r"A-\d+\s*$", r"MEMO$"), 17.0, ((13.2, 2), (11.5, 3)), (("l", "- "), ("●", "- "), ("・", "  - ")), references=REFERENCES["gamma"]),
 }
 
 # Private-use glyphs. Runs of (first code point, what the run stands for), then single ones, which come first.

@@ -16,7 +16,7 @@ from ..layout_config import LAYOUTS, Layout, glyph_map
 RASTER_SIZE, VECTOR_SIZE = (100, 40), (150, 60)
 RASTER_IN_TABLE, VECTOR_IN_TABLE = 0.6, 0.4
 VECTOR_ITEMS = 6
-IN_BODY, OF_PAGE, SAME_FIGURE = 0.5, 0.92, 0.25
+IN_BODY, OF_PAGE, SAME_FIGURE, COVERED = 0.5, 0.92, 0.25, 0.5
 TABLE_MARGIN, FIGURE_MARGIN = 2, 1
 ROW_GAP, CLOSE_GAP, LABEL_CHARS, LARGE = 3, 10, 24, 11.5
 
@@ -72,7 +72,7 @@ def drop_blank(rows: DataFrame) -> DataFrame:
 def text_outside_boxes(rows: DataFrame, boxes: DataFrame) -> DataFrame:
     """Lines whose centre lies in no table and no figure of their page, margins included.
 
-    ``boxes``: vendor, page, kind (``table`` or another), x0 to y1. Joined by page.
+    ``boxes`` as ``taken`` makes them: vendor, page, kind (``table`` or ``figure``), x0 to y1. Joined by page.
     """
     margin = F.when(F.col("kind") == "table", TABLE_MARGIN).otherwise(FIGURE_MARGIN)
     b = boxes.select("vendor", "page", *[(F.col(c) + s * margin).alias(f"b{c}") for c, s in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))])
@@ -135,10 +135,21 @@ def drop_running_lines(items: DataFrame, config: DataFrame) -> DataFrame:
     return met.where(~F.coalesce(begins, F.lit(False))).select(*items.columns)
 
 
-def page_items(spans: DataFrame, boxes: DataFrame, config: DataFrame) -> DataFrame:
-    """All text items outside tables and figures."""
+def taken(tables: DataFrame, figures: DataFrame) -> DataFrame:
+    """The boxes of ``tables`` (those of kind ``table``) and ``figures`` that a page shows instead of their text."""
+    rect = ["vendor", "page", "x0", "y0", "x1", "y1"]
+    own = tables.where("kind = 'table'").select(*rect, F.lit("table").alias("kind"))
+    return own.unionByName(figures.select(*rect, F.lit("figure").alias("kind")))
+
+
+def page_items(spans: DataFrame, tables: DataFrame, figures: DataFrame, config: DataFrame) -> DataFrame:
+    """All text items outside tables and figures.
+
+    ``tables`` as tables_of_pages makes them and ``figures`` as all_figures does: a box that no
+    figure was made of hides no text.
+    """
     rows = drop_blank(in_body_box(text_lines(spans), config))
-    return drop_running_lines(block_texts(text_outside_boxes(rows, boxes)), config)
+    return drop_running_lines(block_texts(text_outside_boxes(rows, taken(tables, figures))), config)
 
 
 def reading_order(items: DataFrame) -> DataFrame:
@@ -185,9 +196,37 @@ def figure_boxes(boxes: DataFrame, layouts: dict[str, Layout] = LAYOUTS, page: R
     return grouped.where(F.col("vendor").isin(*layouts)).mapInPandas(run, "vendor string, page int, fig int, x0 double, y0 double, x1 double, y1 double")
 
 
+def _area(r: Column) -> Column:
+    return F.greatest(F.lit(0.0), r["x1"] - r["x0"]) * F.greatest(F.lit(0.0), r["y1"] - r["y0"])
+
+
+def _shared_area(a: Column, b: Column) -> Column:
+    wide = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])
+    return F.greatest(F.lit(0.0), wide) * F.greatest(F.lit(0.0), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
+
+
+def all_figures(figures: DataFrame, tables: DataFrame) -> DataFrame:
+    """``(vendor, page, fig, x0, y0, x1, y1)``: the figures, then the tables of kind ``figure``.
+
+    Such a table is left out if a figure before it covers more than half of it.
+    """
+    rect = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    rows = figures.select("vendor", "page", F.lit(0).alias("late"), "fig", *rect)
+    rows = rows.unionByName(tables.where("kind = 'figure'").select("vendor", "page", F.lit(1).alias("late"), F.col("number").alias("fig"), *rect))
+    own = rows.groupBy("vendor", "page").agg(F.array_sort(F.collect_list(F.struct("late", "fig", "x0", "y0", "x1", "y1"))).alias("own"))
+    none = F.array().cast("array<struct<late: int, fig: int, x0: double, y0: double, x1: double, y1: double>>")
+
+    def put(kept: Column, r: Column) -> Column:
+        covered = (r["late"] == 1) & F.exists(kept, lambda g: _shared_area(r, g) > COVERED * _area(r))
+        return F.when(covered, kept).otherwise(F.concat(kept, F.array(r)))
+
+    kept = own.select("vendor", "page", F.posexplode(F.aggregate("own", none, put)).alias("at", "f"))
+    return kept.select("vendor", "page", (F.col("at") + 1).alias("fig"), "f.x0", "f.y0", "f.x1", "f.y1")
+
+
 def figure_names(figures: DataFrame) -> DataFrame:
-    """Figures of sections ``(vendor, slug, page, y, x)`` with ``seq`` and ``name``: ``<slug>-NN.webp``."""
-    seq = F.row_number().over(Window.partitionBy("vendor", "slug").orderBy("page", "y", "x"))
+    """Figures of sections ``(vendor, slug, page, fig)`` with ``seq`` and ``name``: ``<slug>-NN.webp``."""
+    seq = F.row_number().over(Window.partitionBy("vendor", "slug").orderBy("page", "fig"))
     two = F.when(F.col("seq") < 10, F.concat(F.lit("0"), F.col("seq").cast("string"))).otherwise(F.col("seq").cast("string"))
     return figures.withColumn("seq", seq).withColumn("name", F.concat("slug", F.lit("-"), two, F.lit(".webp")))
 

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCKS_ON_A_PAGE = 45
+PAGES = 4
+BODY_HEIGHT = 585.0
+COLUMNS = 3
 
 _BASE = """
   doc_id, text, CAST(FLOOR(doc_id / 3) AS BIGINT) AS k, CASE doc_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END AS vendor
@@ -56,44 +59,79 @@ def page_counts(documents: DataFrame) -> DataFrame:
 def spans(documents: DataFrame) -> DataFrame:
     """A block for each line of text, a span for each of its halves; some lines in the margin or upright.
 
-    A section's first block is its title.
+    A section's first block is its title. Its lines fill four pages; the more there are, the closer they stand.
     """
     lines = F.concat(F.array(F.concat(F.lit("Section "), F.col("doc_id").cast("string"))), F.split("text", "\n"))
-    rows = _based(documents).select("*", F.posexplode(lines).alias("n", "line"))
+    rows = _based(documents).withColumn("lines", lines).withColumn("per", F.greatest(F.lit(BLOCKS_ON_A_PAGE), F.ceil(F.size("lines") / PAGES)).cast("long"))
+    rows = rows.select("vendor", "doc_id", "page", "per", F.posexplode("lines").alias("n", "line"))
     half = F.floor(F.length("line") / 2).cast("int")
     parts = F.array(F.struct(F.lit(0).alias("span"), F.substring(F.col("line"), F.lit(1), half).alias("text")), F.struct(F.lit(1).alias("span"), F.substring(F.col("line"), half + 1, F.length("line")).alias("text")))
-    rows = rows.select("*", F.explode(parts).alias("p"))
-    y = 90 + F.pmod(F.col("n"), F.lit(BLOCKS_ON_A_PAGE)) * 13.0
+    rows = rows.select("*", F.explode(parts).alias("p"), (F.lit(BODY_HEIGHT) / F.col("per")).alias("step"))
+    y = F.lit(90.0) + F.pmod(F.col("n"), F.col("per")) * F.col("step")
     x = F.when(F.pmod("doc_id", F.lit(11)) == 3, 5.0).otherwise(60.0) + F.col("p.span") * 150
     return rows.select(
-        "vendor", (F.col("page") + F.least(F.lit(3), F.floor(F.col("n") / BLOCKS_ON_A_PAGE))).cast("int").alias("page"), (F.pmod("doc_id", F.lit(1 << 20)) * 1024 + F.least(F.col("n"), F.lit(1023))).cast("long").alias("block"),
-        F.lit(0).alias("line"), F.col("p.span").alias("span"), x.alias("x0"), y.alias("y0"), (x + 140).alias("x1"), (y + 10).alias("y1"), F.when(F.pmod("n", F.lit(37)) == 36, 0.0).otherwise(1.0).alias("dir_x"), F.col("p.text").alias("text"),
+        "vendor", (F.col("page") + F.floor(F.col("n") / F.col("per"))).cast("int").alias("page"), F.col("n").cast("long").alias("block"),
+        F.lit(0).alias("line"), F.col("p.span").alias("span"), x.alias("x0"), y.alias("y0"), (x + 140).alias("x1"), (y + F.least(F.lit(10.0), F.col("step"))).alias("y1"),
+        F.when(F.pmod("n", F.lit(37)) == 36, 0.0).otherwise(1.0).alias("dir_x"), F.col("p.text").alias("text"),
         F.when(F.col("n") == 0, 18.0).when(F.pmod("n", F.lit(9)) == 8, 13.5).otherwise(10.0).alias("size"), (F.pmod("n", F.lit(9)) == 8).alias("bold"),
     )
 
 
+#: The boxes of a section's first page, as rows (when, kind, x0, y0, x1, y1, items) of SQL that both engines read.
+_BOXES = (
+    ("doc_id % 4 = 0", "raster", "100", "200", "180 + doc_id % 7 * 20", "230 + doc_id % 5 * 20", "0"),
+    ("doc_id % 8 = 0", "vector", "120", "220", "250 + doc_id % 6 * 20", "270 + doc_id % 9 * 10", "2"),
+    ("doc_id % 4 = 1", "vector", "100", "200", "300", "300", "doc_id % 12"),
+    ("doc_id % 6 = 2", "vector", "60", "190", "80", "210", "9"),
+    ("n_words > 1", "table", "60", "400", "360", "CASE WHEN split_table THEN 510 ELSE 460 END", "0"),
+)
+_WORD = r"[^ \t\n\r\f\x0B]+"
+
+BOXES_SQL = "\nUNION ALL\n".join(
+    f"SELECT vendor, doc_id, page, '{kind}' AS kind, CAST({x0} AS DOUBLE) AS x0, CAST({y0} AS DOUBLE) AS y0, CAST({x1} AS DOUBLE) AS x1, CAST({y1} AS DOUBLE) AS y1, CAST({n} AS INTEGER) AS n_items FROM layout_words WHERE {when}" for when, kind, x0, y0, x1, y1, n in _BOXES
+)
+#: Common table expressions: the words of each text, the lines of its pages put together, its boxes.
+LINES_SQL = f"""layout_words AS (SELECT *, doc_id % 10 = 0 AND n_words >= 12 AS split_table FROM (SELECT *, len(regexp_extract_all(text, '{_WORD}')) AS n_words FROM layout_base)),
+layout_lines AS (
+  SELECT vendor, doc_id, CAST(page + n // per AS INTEGER) AS page, n AS block, CAST(0 AS INTEGER) AS line, CASE WHEN doc_id % 11 = 3 THEN 5.0 ELSE 60.0 END::DOUBLE AS x0, 90.0::DOUBLE + (n % per) * step AS y0,
+    CASE WHEN doc_id % 11 = 3 THEN 295.0 ELSE 350.0 END::DOUBLE AS x1, 90.0::DOUBLE + (n % per) * step + least(10.0::DOUBLE, step) AS y1, CASE WHEN n % 37 = 36 THEN 0.0 ELSE 1.0 END::DOUBLE AS dir_x, x AS text,
+    CASE WHEN NOT regexp_matches(x, '[^ \\t\\r\\f\\x0B]') THEN 0.0 WHEN n = 0 THEN 18.0 WHEN n % 9 = 8 THEN 13.5 ELSE 10.0 END::DOUBLE AS size, n % 9 = 8 AND regexp_matches(x, '[^ \\t\\r\\f\\x0B]') AS bold
+  FROM (SELECT *, {BODY_HEIGHT}::DOUBLE / per AS step FROM (
+    SELECT vendor, doc_id, page, unnest(l) AS x, unnest(range(len(l))) AS n, greatest({BLOCKS_ON_A_PAGE}, CAST(ceil(len(l) / {PAGES}) AS BIGINT)) AS per
+    FROM (SELECT *, string_split('Section ' || CAST(doc_id AS VARCHAR) || chr(10) || text, chr(10)) AS l FROM layout_base)))
+),
+layout_boxes AS ({BOXES_SQL})"""
+
+
+def _fitted(documents: DataFrame) -> DataFrame:
+    """The base rows with ``words``, ``n_words`` and ``split_table``: whether the words fill two tables."""
+    rows = _based(documents).withColumn("words", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).withColumn("n_words", F.size("words"))
+    return rows.withColumn("split_table", (F.col("doc_id") % 10 == 0) & (F.col("n_words") >= 12))
+
+
 def boxes(documents: DataFrame) -> DataFrame:
-    """Rasters, drawings and tables of each section's first page."""
-    box = lambda kind, x0, y0, x1, y1, n: F.struct(F.lit(kind).alias("kind"), *[F.lit(float(v)).alias(c) for c, v in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))], n.cast("int").alias("n_items"))
-    doc = F.col("doc_id")
-    found = F.filter(
-        F.array(
-            F.when(doc % 4 == 0, box("raster", 100, 200, 300, 300, F.lit(0))), F.when(doc % 8 == 0, box("vector", 120, 220, 330, 330, F.lit(2))), F.when(doc % 4 == 1, box("vector", 100, 200, 300, 300, doc % 12)),
-            F.when(doc % 5 == 0, box("table", 60, 400, 360, 460, F.lit(0))), F.when(doc % 10 == 0, box("table", 60, 470, 360, 510, F.lit(0))),
-        ), lambda b: b.isNotNull(),
-    )
-    return _based(documents).select("vendor", "page", F.posexplode(found).alias("box", "b")).select("vendor", "page", "box", "b.*")
+    """Rasters, drawings and tables of each section's first page, some too small to be figures."""
+    box = lambda when, kind, *v: F.when(F.expr(when), F.struct(F.lit(kind).alias("kind"), *[F.expr(f"cast({x} as double)").alias(c) for c, x in zip(("x0", "y0", "x1", "y1"), v, strict=False)], F.expr(f"cast({v[4]} as int)").alias("n_items")))
+    found = F.filter(F.array(*[box(*b) for b in _BOXES]), lambda b: b.isNotNull())
+    return _fitted(documents).select("vendor", "page", F.posexplode(found).alias("box", "b")).select("vendor", "page", "box", "b.*")
 
 
 def cells(documents: DataFrame) -> DataFrame:
-    """Tables of three columns from the document's first words; merged cells have no rectangle."""
-    rows = _based(documents).where("doc_id % 5 = 0").withColumn("words", F.split("text", "\\s+"))
-    word = lambda i: F.substring(F.coalesce(F.get("words", i), F.lit("")), 1, 18)
-    grid = rows.select("*", F.explode(F.sequence(F.lit(1), F.when(F.col("doc_id") % 10 == 0, 2).otherwise(1))).alias("table")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("r")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("c"))
-    merged = (F.col("r") == 2) & (F.col("c") == 0) & (F.col("doc_id") % 15 == 0)
-    top = F.when(F.col("table") == 1, 400.0).otherwise(470.0) + F.col("r") * F.when(F.col("table") == 1, 20.0).otherwise(F.lit(40 / 3))
-    height = F.when(F.col("table") == 1, 20.0).otherwise(F.lit(40 / 3)) * F.when((F.col("r") == 1) & (F.col("c") == 0) & (F.col("doc_id") % 15 == 0), 2).otherwise(1)
-    text = F.when(merged, "").otherwise(word(F.col("r") * 3 + F.col("c") + F.col("table") * 9))
+    """Tables of three columns that hold all words of the document; merged cells have no rectangle.
+
+    Some texts fill two tables, one right below the other, half of the rows each.
+    """
+    rows = _fitted(documents).where("n_words > 0").withColumn("height", F.ceil(F.col("n_words") / COLUMNS).cast("int"))
+    rows = rows.withColumn("first", F.when(F.col("split_table"), F.ceil(F.col("height") / 2).cast("int")).otherwise(F.col("height")))
+    grid = rows.select("vendor", "page", "doc_id", "height", "first", "words", F.explode(F.sequence(F.lit(0), F.col("height") * COLUMNS - 1)).alias("i")).withColumns({"row": F.floor(F.col("i") / COLUMNS).cast("int"), "c": (F.col("i") % COLUMNS).cast("int")})
+    second = F.col("row") >= F.col("first")
+    r = F.when(second, F.col("row") - F.col("first")).otherwise(F.col("row"))
+    step = F.when(second, F.lit(40.0) / (F.col("height") - F.col("first"))).otherwise(F.lit(60.0) / F.col("first"))
+    spans_two = F.col("doc_id") % 15 == 0
+    merged = spans_two & ~second & (F.col("row") == 2) & (F.col("c") == 0)
+    tall = F.when(spans_two & ~second & (F.col("row") == 1) & (F.col("c") == 0) & (F.col("first") > 2), 2).otherwise(1)
+    top = F.when(second, 470.0).otherwise(400.0) + r * step
     left = 60.0 + F.col("c") * 100.0
     rect = lambda v: F.when(~merged, v)
-    return grid.select("vendor", "page", "table", "r", "c", text.alias("text"), rect(left).alias("x0"), rect(top).alias("y0"), rect(left + 100).alias("x1"), rect(top + height).alias("y1"))
+    text = F.when(merged, "").otherwise(F.coalesce(F.get("words", F.col("i")), F.lit("")))
+    return grid.select("vendor", "page", F.when(second, 2).otherwise(1).alias("table"), r.cast("int").alias("r"), "c", text.alias("text"), rect(left).alias("x0"), rect(top).alias("y0"), rect(left + 100).alias("x1"), rect(top + step * tall).alias("y1"))

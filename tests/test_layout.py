@@ -8,6 +8,9 @@ from foliate.operators.tables import Cell
 
 SPANS = "vendor string, page int, block long, line int, span int, x0 double, y0 double, x1 double, y1 double, dir_x double, text string, size double, bold boolean"
 
+TABLES = "vendor string, page int, number int, kind string, x0 double, y0 double, x1 double, y1 double, rows array<array<string>>"
+FIGURES = "vendor string, page int, fig int, x0 double, y0 double, x1 double, y1 double"
+
 
 def span(text, block=1, line=0, n=0, x=60.0, y=100.0, w=100.0, dir_x=1.0, size=10.0, bold=False, page=1, vendor="alpha"):
     return (vendor, page, block, line, n, x, y, x + w, y + 10, dir_x, text, size, bold)
@@ -18,8 +21,8 @@ def test_items_of_a_page(spark):
         span("first ", n=0), span("half", n=1, x=160.0), span("second", line=1, y=112.0), span("margin", block=2, y=10.0), span("upright", block=3, dir_x=0.0),
         span("   ", block=4), span("in a table", block=5, y=300.0), span("12", block=6, y=500.0), span("Big", block=7, y=520.0, size=14.0, bold=True), span("label", block=8, y=540.0), span("value", block=8, line=1, x=300.0, y=541.0),
     ]
-    boxes = spark.createDataFrame([("alpha", 1, "table", 50.0, 298.0, 300.0, 320.0)], "vendor string, page int, kind string, x0 double, y0 double, x1 double, y1 double")
-    found = layout.reading_order(layout.page_items(spark.createDataFrame(rows, SPANS), boxes, layout.config_table(spark))).orderBy("seq").collect()
+    tables_, none = spark.createDataFrame([("alpha", 1, 1, "table", 50.0, 298.0, 300.0, 320.0, [["x"]]), ("alpha", 1, 1, "figure", 50.0, 95.0, 300.0, 120.0, None)], TABLES), spark.createDataFrame([], FIGURES)
+    found = layout.reading_order(layout.page_items(spark.createDataFrame(rows, SPANS), tables_, none, layout.config_table(spark))).orderBy("seq").collect()
     assert [(r["text"], r["size"], r["bold"], r["y"]) for r in found] == [("first half second", 10.0, False, 100.0), ("Big", 14.0, True, 520.0), ("label：value", 10.0, False, 540.0)]
 
 
@@ -86,12 +89,47 @@ def test_header_like(spark):
         assert spark.createDataFrame([(row,)], "r array<string>").select(tables.header_like_column(F.col("r"))).first()[0] == tables.header_like(row)
 
 
-def test_neighbouring_tables_merge():
-    t = lambda y0, y1, x0=0.0, n=2: (Rect(x0, y0, 200, y1), [["c"] * n])
-    assert len(tables.merge_neighbours([t(0, 10), t(25, 30)])) == 1
-    assert len(tables.merge_neighbours([t(0, 10), t(26, 30)])) == 2
-    assert len(tables.merge_neighbours([t(0, 10), t(15, 30, x0=20)])) == 2
-    assert len(tables.merge_neighbours([t(0, 10), t(15, 30, n=3)])) == 2
+def test_neighbouring_tables_merge(spark):
+    t = lambda y0, y1, x0=0.0, n=2: (float(y0), float(x0), float(y1), 200.0, [["c"] * n])
+    cases = [([t(0, 10), t(25, 30)], 1), ([t(0, 10), t(26, 30)], 2), ([t(0, 10), t(15, 30, x0=20)], 2), ([t(0, 10), t(15, 30, n=3)], 2), ([t(15, 30), t(0, 10), t(40, 50)], 1), ([], 0)]
+    rows = spark.createDataFrame([(i, own, n) for i, (own, n) in enumerate(cases)], "i int, own array<struct<y0: double, x0: double, y1: double, x1: double, rows: array<array<string>>>>, n int")
+    for r in rows.withColumn("merged", tables.merge_neighbours(F.col("own"))).collect():
+        assert len(r["merged"]) == r["n"]
+        assert sum(len(m["rows"]) for m in r["merged"]) == len(cases[r["i"]][0])
+    assert {(m["y0"], m["y1"]) for r in rows.where("i = 4").select(tables.merge_neighbours(F.col("own")).alias("m")).collect() for m in r["m"]} == {(0.0, 50.0)}
+
+
+def test_clean_columns_as_a_column(spark):
+    for rows in ([["a", "", "c"], ["1", "", ""], ["2"], ["3", "", ""]], [["a", "", "c"], ["1"]], [["", "x"], ["", "y"]], [["a"]]):
+        got = spark.createDataFrame([(rows,)], "r array<array<string>>").select(tables.clean_columns_column(F.col("r"))).first()[0]
+        assert got == tables.clean_columns(rows)
+
+
+def test_kinds_of_tables():
+    box, images = Rect(0, 0, 100, 100), [Rect(10, 10, 20, 20), Rect(30, 30, 40, 40)]
+    kind = lambda rows, images=(), lines=(): tables.classified(box, rows, list(lines), list(images), {})[0]
+    full, sparse = [["a", "b"], ["c", "d"]], [["a", "b"], ["c", ""], ["", ""]]
+    assert kind(full) == "table" and kind(full, images) == "table" and kind(sparse, images[:1]) == "table"
+    assert kind(sparse, images) == "figure" and kind([[str(i) for i in range(12)], ["x", *[""] * 11]]) == "figure"
+    assert kind([["a"], ["b"]]) == "nothing" and kind([]) == "nothing" and kind([["注意", ""]]) == "nothing"
+    assert tables.classified(box, [["注 意", ""]], [(Rect(5, 5, 50, 15), " 気を "), (Rect(5, 20, 50, 30), "つける")], [], {}) == ("table", [[tables.CALLOUT + "注意", "気をつける"]])
+
+
+def test_tables_that_are_figures_join_the_figures(spark):
+    figures = spark.createDataFrame([("a", 1, 1, 0.0, 0.0, 100.0, 100.0)], FIGURES)
+    t = lambda page, number, kind, *box: ("a", page, number, kind, *map(float, box), None)
+    found = spark.createDataFrame([t(1, 1, "figure", 10, 10, 50, 50), t(1, 2, "figure", 0, 60, 100, 141), t(1, 1, "table", 0, 200, 50, 250), t(2, 1, "figure", 0, 0, 9, 9), t(2, 2, "figure", 0, 0, 8, 8)], TABLES)
+    got = sorted((r["page"], r["fig"], r["y1"]) for r in layout.all_figures(figures, found).collect())
+    # Half of the second lies in the figure and a little more does not; the last lies in the one before it.
+    assert got == [(1, 1, 100.0), (1, 2, 141.0), (2, 1, 9.0)]
+
+
+def test_small_boxes_hide_no_text(spark):
+    icon = spark.createDataFrame([("alpha", 1, "vector", 50.0, 95.0, 120.0, 120.0, 9), ("alpha", 1, "raster", 50.0, 195.0, 200.0, 300.0, 0)], "vendor string, page int, kind string, x0 double, y0 double, x1 double, y1 double, n_items int")
+    figures = layout.all_figures(layout.figure_boxes(icon), spark.createDataFrame([], TABLES))
+    rows = spark.createDataFrame([span("beside an icon"), span("in a figure", block=2, y=200.0)], SPANS)
+    found = layout.page_items(rows, spark.createDataFrame([], TABLES), figures, layout.config_table(spark)).collect()
+    assert [r["text"] for r in found] == ["beside an icon"]
 
 
 def test_figure_boxes_and_tables_run_in_spark(spark):
@@ -103,54 +141,59 @@ def test_figure_boxes_and_tables_run_in_spark(spark):
     lines = layout.text_lines(spark.createDataFrame([span("x", y=700.0)], SPANS))
     got = tables.tables_of_pages(cells, lines, boxes).collect()
     assert [(r["kind"], r["rows"]) for r in got] == [("table", [["name", "other"], ["a", "b"]])]
-    named = layout.figure_names(spark.createDataFrame([("a", "s", 2, 1.0, 1.0), ("a", "s", 1, 5.0, 1.0)], "vendor string, slug string, page int, y double, x double"))
-    assert {r["page"]: r["name"] for r in named.collect()} == {1: "s-01.webp", 2: "s-02.webp"}
+    named = layout.figure_names(spark.createDataFrame([("a", "s", 2, 1), ("a", "s", 1, 2), ("a", "s", 1, 1)], "vendor string, slug string, page int, fig int"))
+    assert {(r["page"], r["fig"]): r["name"] for r in named.collect()} == {(1, 1): "s-01.webp", (1, 2): "s-02.webp", (2, 1): "s-03.webp"}
 
 
-def section(**kw):
-    base = dict(config=LAYOUTS["alpha"], num="1.1", title="開始の方法", following=("1.2", "次"), first_page=1, last_page=2, headings=[(2, "設定画面の操作"), (3, "短")])
-    return assemble.Section(**(base | kw))
+def section(items, **kw):
+    base = dict(layout=LAYOUTS["alpha"], num="1.1", title="開始の方法", following=("1.2", "次"), first_page=1, last_page=2, headings=((2, "設定画面の操作"), (3, "短")))
+    return assemble.section_parts(items, assemble.Unit(**(base | kw)))
 
 
-def put(s, text, page=1, y=0.0, x=50.0, kind="text", size=10.0, bold=False, rows=(), bottom=0.0):
-    s.put(page, y, x, kind, text, size, bold, list(rows), bottom)
+def item(text, page=1, y=0.0, x=50.0, kind="text", size=10.0, level=None, rows=(), low=0.0, number=0):
+    return assemble.Item(page, y, x, kind, text, size, level, rows, low, number)
 
 
 def test_section_starts_at_its_title_and_stops_at_the_next():
-    s = section()
-    put(s, "前の節の終わり")
-    put(s, "1.1 開始の方法 この節では多くのことを説明", size=16.0)
-    put(s, "本文です。", y=20.0)
-    put(s, "短", y=40.0)
-    put(s, "設定画面の操作から始まる文章で長いもの", y=60.0)
-    put(s, "大きな見出し", y=80.0, size=15.5)
-    put(s, "太い見出し", y=90.0, size=12.0, bold=True)
-    put(s, "続きの文です 1.2 次", page=2, size=15.0)
-    assert s.done and s.parts == [
-        ("p", "この節では多くのことを説明"), ("p", "本文です。"), ("h", "### 短"), ("h", "## 設定画面の操作"), ("p", "から始まる文章で長いもの"), ("h", "## 大きな見出し"), ("h", "### 太い見出し"), ("p", "続きの文です"),
+    items = [
+        item("前の節の終わり"), item("1.1 開始の方法 この節では多くのことを説明", y=5.0, size=16.0), item("本文です。", y=20.0), item("短", y=40.0), item("設定画面の操作から始まる文章で長いもの", y=60.0),
+        item("大きな見出し", y=80.0, size=15.5, level=2), item("太い見出し", y=90.0, size=12.0, level=3), item("続きの文です 1.2 次", page=2, size=15.0), item("次の節", page=2, y=50.0),
     ]
+    assert section(items) == ([
+        ("p", "この節では多くのことを説明"), ("p", "本文です。"), ("h", "### 短"), ("h", "## 設定画面の操作"), ("p", "から始まる文章で長いもの"), ("h", "## 大きな見出し"), ("h", "### 太い見出し"), ("p", "続きの文です"),
+    ], True)
+
+
+def test_section_without_its_title():
+    assert section([item("前の節")]) == ([], False) and section([]) == ([], False) and section([], starts=True) == ([], True)
+    assert section([item("前の節"), item("本文", page=2)], following=None) == ([("p", "本文")], True)
+    assert section([item("前の節"), item("1.1 開始の方法", y=9.0)], following=None) == ([], True)
+
+
+def test_heading_levels(spark):
+    rows = [("alpha", "題", 15.0, False), ("alpha", "題。", 15.0, False), ("alpha", "太い", 12.0, True), ("alpha", "太い", 12.0, False), ("alpha", "太いしま", 12.0, True), ("alpha", "2設定", 12.0, True), ("alpha", "2.設定", 12.6, True), ("alpha", "x" * 60, 20.0, True), ("gamma", "太い", 12.0, True), ("other", "題", 20.0, True)]
+    table = spark.createDataFrame(rows, "vendor string, text string, size double, bold boolean")
+    assert [r[0] for r in table.select(assemble.heading_level(F.col("text"), F.col("size"), F.col("bold"), F.col("vendor"))).collect()] == [2, None, 3, None, None, None, 2, None, 3, None]
 
 
 def test_steps_and_same_line_values():
-    s = section(started=True, following=None)
-    put(s, "操作手順1.開く。2.閉じる。")
-    put(s, "3ファイルを選んでから開くを押します。", size=11.0)
-    put(s, "ラベル", y=50.0)
-    put(s, "値", y=52.0, x=100.0)
-    assert s.parts == [("p", "**操作手順**"), ("p", "1.開く。"), ("p", "2.閉じる。"), ("p", "3. ファイルを選んでから開くを押します。"), ("p", "ラベル：値")]
+    items = [item("操作手順1.開く。2.閉じる。"), item("3ファイルを選んでから開くを押します。", y=20.0, size=11.0), item("ラベル", y=50.0), item("値", y=52.0, x=100.0), item("次の行", y=60.0, x=100.0)]
+    assert section(items, starts=True, following=None)[0] == [("p", "**操作手順**"), ("p", "1.開く。"), ("p", "2.閉じる。"), ("p", "3. ファイルを選んでから開くを押します。"), ("p", "ラベル：値"), ("p", "次の行")]
 
 
 def test_table_goes_on_over_the_page_and_headers_are_borrowed():
-    s = section(started=True, following=None)
-    rows = [["名前", "説明の列"], ["a", "1" * 30]]
-    kind, text, own = s.table_item(rows)
-    put(s, text, kind=kind, rows=own, bottom=780.0)
-    assert not s.continues(1, 3, 50.0, 90.0, [["b", "2" * 30]]) and not s.continues(1, 2, 300.0, 390.0, [["b", "2" * 30]])
-    assert not s.continues(1, 2, 50.0, 90.0, [["別の", "見出し"], ["b", "2"]])
-    assert s.continues(1, 2, 50.0, 90.0, [["名前", "説明の列"], ["b", "2" * 30]])
-    assert s.parts[0][1].count("\n") == 4 and s.parts[0][1].count("名前") == 1
-    assert s.table_item([["c", "3" * 30]])[1].startswith("| 名前 | 説明の列 |")
-    assert s.table_item([["c", "3" * 30, "x"]]) is None
+    head, long = ["名前", "説明の列"], "1" * 30
+    first = item("", kind="table", rows=[head, ["a", long]], y=700.0, low=780.0, number=1)
+    run = lambda *more: section([first, *more], starts=True, following=None, last_page=3)[0]
+    after = lambda rows, page=2, y=50.0, low=90.0, number=1: item("", page=page, kind="table", rows=rows, y=y, low=low, number=number)
+    assert len(run(after([["b", long]], page=3))) == 2 and len(run(after([["b", long]], y=300.0))) == 2
+    assert len(run(after([["別の", "見出し"], ["b", long]]))) == 2
+    whole = run(after([head, ["b", long]]))
+    assert len(whole) == 1 and whole[0][1].count("\n") == 4 and whole[0][1].count("名前") == 1
+    # Over two pages; what follows on the page stays a table, and borrows the header.
+    three = run(after([["b", long]], low=780.0), after([["c", long]], page=3), after([["d", long]], page=3, y=300.0, number=2))
+    assert [t.count(long) for _, t in three] == [3, 1] and three[1][1].startswith("| 名前 | 説明の列 |")
+    assert len(run(after([["c", long, "x"]]))) == 1  # one row of another width is no table
 
 
 def test_postprocess():
