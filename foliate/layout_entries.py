@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .layout_config import LAYOUTS
 from .operators import assemble, layout, tables, toc
 from .sources import layout_view as view
 from .sources.scratch import materialize
@@ -50,8 +51,21 @@ def _tables(s, d):
     return tables.tables_of_pages(view.cells(_docs(s, d)), _lines(s, d), _boxes(s, d))
 
 
-def _items(s, d):
-    return layout.page_items(view.spans(_docs(s, d)), _boxes(s, d), layout.config_table(s))
+def _figures(s, d, found):
+    """All figures, from the boxes and the tables found."""
+    drawn = _boxes(s, d).where("kind <> 'table'").drop("box")
+    own = found.where("kind = 'table'").select("vendor", "page", "kind", "x0", "y0", "x1", "y1", F.lit(0).alias("n_items"))
+    return layout.all_figures(layout.figure_boxes(drawn.unionByName(own)), found)
+
+
+def _boxed(s, d):
+    """Tables, made once for all that reads them, and figures."""
+    found = materialize(_tables(s, d), "tables")
+    return found, materialize(_figures(s, d, found), "figures")
+
+
+def _items(s, d, boxed=None):
+    return layout.page_items(view.spans(_docs(s, d)), *(boxed or _boxed(s, d)), layout.config_table(s))
 
 
 def _units(s, d):
@@ -59,8 +73,8 @@ def _units(s, d):
     entries = materialize(_toc(s, d), "toc")
     found = materialize(toc.build_sections(entries, view.page_counts(_docs(s, d))), "sections")
     subs = materialize(toc.sub_headings(found, entries), "sub-headings")
-    figures = layout.figure_boxes(_boxes(s, d))
-    return assemble.assemble(found, _items(s, d), subs, _tables(s, d), figures)
+    boxed = _boxed(s, d)
+    return assemble.assemble(found, _items(s, d, boxed), subs, *boxed)
 
 
 @_query("l0_toc", _TOC + "SELECT * FROM toc")
@@ -121,6 +135,10 @@ sections AS (SELECT vendor, CAST(ord AS INTEGER) AS ord, num, title, cat, page,
 """
 
 
+_PADDED = lambda x: f"(CASE WHEN length({x}) < 2 THEN '0' ELSE '' END || {x})"
+_SLUG = f"""CASE WHEN regexp_full_match(num, '(?:付|A-?)\\d+') THEN 'ap-' || {_PADDED("regexp_extract(num, '([0-9]+)$', 1)")} ELSE list_aggregate(list_transform(regexp_split_to_array(num, '[.-]'), lambda x: {_PADDED("x")}), 'string_agg', '-') END"""
+
+
 @_query("x1_sections", _SECTIONS + "SELECT * FROM sections")
 def _(s, d):
     return _sections(s, d).drop("slug")
@@ -161,37 +179,68 @@ def _(s, d):
     return _sections(s, d).select("vendor", "ord", "num")
 
 
-@_query("x6_block_stats")
+# ---- Layout. A page has one table at most (two halves of one are merged) and two figures, so SQL needs no running state.
+_BLANK = "[ \\t\\r\\f\\x0B]"
+_AREA = lambda x0, y0, x1, y1: f"(greatest(0.0, {x1} - {x0}) * greatest(0.0, {y1} - {y0}))"
+_BOTH = lambda a, b: _AREA(f"greatest({a}.x0, {b}.x0)", f"greatest({a}.y0, {b}.y0)", f"least({a}.x1, {b}.x1)", f"least({a}.y1, {b}.y1)")
+_OWN = lambda a: _AREA(f"{a}.x0", f"{a}.y0", f"{a}.x1", f"{a}.y1")
+_CONFIG = ", ".join(f"('{v}', {', '.join(f'{float(x)}::DOUBLE' for x in c.body_box)}, '{'|'.join(c.running)}')" for v, c in LAYOUTS.items())
+_LAY = f"""WITH {view.BASE_SQL}, {view.LINES_SQL},
+config AS (SELECT * FROM (VALUES {_CONFIG}) t(vendor, x0, y0, x1, y1, running)),
+pieces AS (
+  SELECT b.* FROM layout_boxes b JOIN config c USING (vendor) WHERE kind <> 'table' AND {_BOTH("b", "c")} > 0.5 * {_OWN("b")} AND {_OWN("b")} < 0.92 * 595 * 842
+    AND CASE kind WHEN 'raster' THEN b.x1 - b.x0 >= 100 AND b.y1 - b.y0 >= 40 ELSE b.x1 - b.x0 >= 150 AND b.y1 - b.y0 >= 60 AND (n_items >= 6 OR EXISTS (
+      SELECT 1 FROM layout_boxes r WHERE r.vendor = b.vendor AND r.page = b.page AND r.kind = 'raster' AND r.x1 - r.x0 >= 100 AND r.y1 - r.y0 >= 40 AND {_BOTH("r", "b")} > 0)) END
+),
+figures AS (
+  SELECT p.vendor, p.page, CAST(row_number() OVER (PARTITION BY p.vendor, p.page ORDER BY p.y0, p.x0) AS INTEGER) AS fig, least(p.x0, coalesce(q.x0, p.x0)) AS x0, least(p.y0, coalesce(q.y0, p.y0)) AS y0,
+    greatest(p.x1, coalesce(q.x1, p.x1)) AS x1, greatest(p.y1, coalesce(q.y1, p.y1)) AS y1
+  FROM pieces p LEFT JOIN pieces q ON q.vendor = p.vendor AND q.page = p.page AND p.kind = 'raster' AND q.kind = 'vector' AND {_BOTH("p", "q")} > 0.25 * least({_OWN("p")}, {_OWN("q")})
+  WHERE NOT EXISTS (SELECT 1 FROM pieces r WHERE r.vendor = p.vendor AND r.page = p.page AND r.kind = 'raster' AND p.kind = 'vector' AND {_BOTH("p", "r")} > 0.25 * least({_OWN("p")}, {_OWN("r")}))
+),
+taken AS (SELECT vendor, page, x0 - 1 AS x0, y0 - 1 AS y0, x1 + 1 AS x1, y1 + 1 AS y1 FROM figures UNION ALL SELECT vendor, page, x0 - 2, y0 - 2, x1 + 2, y1 + 2 FROM layout_boxes WHERE kind = 'table'),
+free AS (SELECT * FROM layout_lines l WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.vendor = l.vendor AND t.page = l.page AND (l.x0 + l.x1) / 2 BETWEEN t.x0 AND t.x1 AND (l.y0 + l.y1) / 2 BETWEEN t.y0 AND t.y1)),
+body AS (SELECT l.* FROM layout_lines l JOIN config c USING (vendor) WHERE abs(dir_x) >= 0.5 AND (l.x0 + l.x1) / 2 BETWEEN c.x0 AND c.x1 AND (l.y0 + l.y1) / 2 BETWEEN c.y0 AND c.y1),
+items AS (
+  SELECT vendor, page, l.y0 AS y, l.x0 AS x, 'text' AS kind, regexp_replace(text, '{_BLANK}+$', '') AS text, size, bold FROM body l JOIN (SELECT vendor, page, block FROM free) USING (vendor, page, block) JOIN config c USING (vendor)
+  WHERE regexp_matches(text, '[^ \\t\\r\\f\\x0B]') AND NOT regexp_matches(regexp_replace(text, '^{_BLANK}+|{_BLANK}+$', '', 'g'), '^(?:' || running || ')')
+),
+ordered AS (SELECT *, CAST(row_number() OVER (PARTITION BY vendor, page ORDER BY round(y, 1), x, kind, text) AS INTEGER) AS seq FROM items)
+"""
+_LINE = "vendor, page, block, line, x0, y0, x1, y1, dir_x, text, size, bold"
+
+
+@_query("x6_block_stats", _LAY + "SELECT vendor, page, block, size, bold FROM layout_lines")
 def _(s, d):
     return layout.block_stats(_lines(s, d))
 
 
-@_query("f4_in_body_box")
+@_query("f4_in_body_box", _LAY + f"SELECT {_LINE} FROM body")
 def _(s, d):
     return layout.in_body_box(_lines(s, d), layout.config_table(s))
 
 
-@_query("f5_drop_blank")
+@_query("f5_drop_blank", _LAY + f"SELECT {_LINE} FROM layout_lines WHERE regexp_matches(text, '[^ \\t\\r\\f\\x0B]')")
 def _(s, d):
     return layout.drop_blank(_lines(s, d))
 
 
-@_query("j12_text_outside_boxes")
+@_query("j12_text_outside_boxes", _LAY + f"SELECT {_LINE} FROM free")
 def _(s, d):
-    return layout.text_outside_boxes(_lines(s, d), _boxes(s, d))
+    return layout.text_outside_boxes(_lines(s, d), layout.taken(*_boxed(s, d)))
 
 
-@_query("f3_page_items")
+@_query("f3_page_items", _LAY + "SELECT * FROM items")
 def _(s, d):
     return _items(s, d)
 
 
-@_query("w8_reading_order")
+@_query("w8_reading_order", _LAY + "SELECT * FROM ordered")
 def _(s, d):
     return layout.reading_order(_items(s, d))
 
 
-@_query("x2_figure_boxes")
+@_query("x2_figure_boxes", _LAY + "SELECT * FROM figures")
 def _(s, d):
     return layout.figure_boxes(_boxes(s, d))
 
@@ -201,19 +250,57 @@ def _(s, d):
     return _tables(s, d)
 
 
-@_query("w7_figure_names")
+# A table holds the cells by rows of three; a merged cell takes the value above it, and the second half follows the first.
+_GRID = """, grid AS (SELECT vendor, page, doc_id, n_cells, split_table, cells AS w, CAST(ceil(n_cells / 3) AS BIGINT) AS h FROM layout_words WHERE n_cells > 1),
+sized AS (SELECT *, CASE WHEN split_table THEN CAST(ceil(h / 2) AS BIGINT) ELSE h END AS first, CASE WHEN n_cells = 2 THEN 2 ELSE 3 END AS width FROM grid),
+filled AS (SELECT *, list_transform(range(h * 3), lambda i: CASE WHEN i = 6 AND doc_id % 15 = 0 AND first > 2 THEN w[4] ELSE coalesce(w[i + 1], '') END) AS c FROM sized)
+"""
+
+
+@_query("w13_table_texts", _LAY + _GRID + """SELECT vendor, page, 1 AS number, CAST(h AS INTEGER) AS n_rows, CAST(width AS INTEGER) AS n_columns,
+  list_aggregate(list_transform(range(h), lambda r: list_aggregate(c[r * 3 + 1 : r * 3 + width], 'string_agg', '|')), 'string_agg', chr(10)) AS grid FROM filled""")
+def _(s, d):
+    found = _tables(s, d).where("kind = 'table'")
+    text = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n")
+    return found.select("vendor", "page", "number", F.size("rows").alias("n_rows"), F.array_max(F.transform("rows", F.size)).alias("n_columns"), text.alias("grid"))
+
+
+_CELL = "replace(x, '|', chr(92) || '|')"
+_ROW = f"'| ' || list_aggregate(list_transform(c[r * 3 + 1 : r * 3 + 3], lambda x: {_CELL}), 'string_agg', ' | ') || ' |' || chr(10)"
+
+
+@_query("x8_markdown", _LAY + _GRID + f"""SELECT vendor, page, CASE WHEN list_sum(list_transform(c, lambda x: length(x))) < 14 OR h < 2 OR len(list_filter(c, lambda x: x <> '')) <= 4 AND len(list_filter(c, lambda x: length(x) > 150)) > 0 THEN NULL
+  ELSE list_transform([0], lambda r: {_ROW})[1] || '|---|---|---|' || chr(10) || coalesce(list_aggregate(list_transform(range(1, h), lambda r: {_ROW}), 'string_agg', ''), '') END AS markdown FROM filled""")
 def _(s, d):
-    figures = layout.figure_boxes(_boxes(s, d)).select("vendor", "page", F.col("y0").alias("y"), F.col("x0").alias("x"))
+    return tables.markdown(_tables(s, d).where("kind = 'table'")).select("vendor", "page", "markdown")
+
+
+@_query("w7_figure_names", _SECTIONS.replace("WITH ", _LAY + ", ", 1).replace(view.BASE_SQL + ", toc", "toc", 1) + f""", f AS (SELECT s.vendor, {_SLUG} AS slug, f.page, fig FROM sections s JOIN figures f ON f.vendor = s.vendor AND f.page BETWEEN s.page AND s.page_end)
+SELECT *, CAST(row_number() OVER w AS INTEGER) AS seq, slug || '-' || CASE WHEN row_number() OVER w < 10 THEN '0' ELSE '' END || CAST(row_number() OVER w AS VARCHAR) || '.webp' AS name FROM f WINDOW w AS (PARTITION BY vendor, slug ORDER BY page, fig)""")
+def _(s, d):
+    _, figures = _boxed(s, d)
     own = _sections(s, d).select("vendor", "slug", F.explode(F.sequence("page", "page_end")).alias("page"))
-    return layout.figure_names(own.join(figures, ["vendor", "page"]))
+    return layout.figure_names(own.join(figures.select("vendor", "page", "fig"), ["vendor", "page"]))
 
 
-@_query("p11_match_key")
+@_query("p11_match_key", _TOC + "SELECT vendor, pos, regexp_replace(title, '\\s+', '', 'g') AS key FROM toc")
 def _(s, d):
     return _toc(s, d).select("vendor", "pos", assemble.match_keys("title").alias("key"))
 
 
-@_query("j13_toc_headings")
+@_query("p11_full_width_key", _TOC + "SELECT vendor, pos, regexp_replace(title, '\\s+', '', 'g') AS key FROM toc")
+def _(s, d):
+    # The titles in full-width forms have the keys of the plain ones.
+    wide = F.translate("title", "0123456789 ADST.-", "０１２３４５６７８９　ＡＤＳＴ．－")
+    return _toc(s, d).select("vendor", "pos", assemble.match_keys(wide).alias("key"))
+
+
+@_query("j13_toc_headings", _SECTIONS.replace("WITH ", _LAY + ", ", 1).replace(view.BASE_SQL + ", toc", "toc", 1) + f""", m AS (SELECT s.vendor, {_SLUG.replace("num", "s.num")} AS slug, s.pos AS at, t.pos, t.level, t.title, t.page, s.level AS own, (SELECT min(x.pos) FROM toc x WHERE x.vendor = s.vendor AND x.pos > s.pos AND x.level <= s.level) AS bound,
+  (SELECT min(x.pos) FROM toc x WHERE x.vendor = s.vendor AND x.pos > s.pos AND x.page >= s.page_end AND x.page > s.page) AS past FROM sections s JOIN toc t ON t.vendor = s.vendor AND t.pos > s.pos),
+subs AS (SELECT vendor, slug, pos, CAST(least(4, level - own + 1) AS INTEGER) AS level, regexp_replace(title, '\\s+', '', 'g') AS key FROM m WHERE pos < coalesce(bound, 1000000000) AND pos < coalesce(past, 1000000000) AND level > own),
+placed AS (SELECT s.vendor, {_SLUG.replace("num", "s.num")} AS slug, CAST(o.page * 10000 + o.seq AS INTEGER) AS seq, o.text, regexp_replace(o.text, '\\s+', '', 'g') AS norm FROM sections s JOIN ordered o ON o.vendor = s.vendor AND o.page BETWEEN s.page AND s.page_end),
+hit AS (SELECT p.vendor, p.slug, p.seq, arg_min(level, pos) AS toc_level FROM placed p JOIN subs USING (vendor, slug) WHERE norm = key OR length(key) > 6 AND starts_with(norm, key) GROUP BY ALL)
+SELECT p.vendor, p.slug, p.seq, text, toc_level FROM placed p LEFT JOIN hit USING (vendor, slug, seq)""")
 def _(s, d):
     found = _sections(s, d)
     own = found.select("vendor", "slug", F.explode(F.sequence("page", "page_end")).alias("page"))

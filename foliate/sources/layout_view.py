@@ -12,6 +12,7 @@ BLOCKS_ON_A_PAGE = 45
 PAGES = 4
 BODY_HEIGHT = 585.0
 COLUMNS = 3
+CELL_WORDS = 8
 
 _BASE = """
   doc_id, text, CAST(FLOOR(doc_id / 3) AS BIGINT) AS k, CASE doc_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END AS vendor
@@ -59,9 +60,11 @@ def page_counts(documents: DataFrame) -> DataFrame:
 def spans(documents: DataFrame) -> DataFrame:
     """A block for each line of text, a span for each of its halves; some lines in the margin or upright.
 
-    A section's first block is its title. Its lines fill four pages; the more there are, the closer they stand.
+    A section's first blocks are its title and a heading, its last one begins with another heading.
+    Its lines fill four pages; the more there are, the closer they stand.
     """
-    lines = F.concat(F.array(F.concat(F.lit("Section "), F.col("doc_id").cast("string"))), F.split("text", "\n"))
+    numbered = lambda before, after="": F.array(F.concat(F.lit(before), F.col("doc_id").cast("string"), F.lit(after)))
+    lines = F.concat(numbered("Section "), numbered("Topic "), F.split("text", "\n"), numbered("More on ", " in short"))
     rows = _based(documents).withColumn("lines", lines).withColumn("per", F.greatest(F.lit(BLOCKS_ON_A_PAGE), F.ceil(F.size("lines") / PAGES)).cast("long"))
     rows = rows.select("vendor", "doc_id", "page", "per", F.posexplode("lines").alias("n", "line"))
     half = F.floor(F.length("line") / 2).cast("int")
@@ -83,30 +86,35 @@ _BOXES = (
     ("doc_id % 8 = 0", "vector", "120", "220", "250 + doc_id % 6 * 20", "270 + doc_id % 9 * 10", "2"),
     ("doc_id % 4 = 1", "vector", "100", "200", "300", "300", "doc_id % 12"),
     ("doc_id % 6 = 2", "vector", "60", "190", "80", "210", "9"),
-    ("n_words > 1", "table", "60", "400", "360", "CASE WHEN split_table THEN 510 ELSE 460 END", "0"),
+    ("n_cells > 1", "table", "60", "400", "360", "CASE WHEN split_table THEN 510 ELSE 460 END", "0"),
 )
-_WORD = r"[^ \t\n\r\f\x0B]+"
+_WORD, _BLANKS = r"[^ \t\n\r\f\x0B]+", r"[ \t\n\r\f\x0B]+"
 
 BOXES_SQL = "\nUNION ALL\n".join(
     f"SELECT vendor, doc_id, page, '{kind}' AS kind, CAST({x0} AS DOUBLE) AS x0, CAST({y0} AS DOUBLE) AS y0, CAST({x1} AS DOUBLE) AS x1, CAST({y1} AS DOUBLE) AS y1, CAST({n} AS INTEGER) AS n_items FROM layout_words WHERE {when}" for when, kind, x0, y0, x1, y1, n in _BOXES
 )
 #: Common table expressions: the words of each text, the lines of its pages put together, its boxes.
-LINES_SQL = f"""layout_words AS (SELECT *, doc_id % 10 = 0 AND n_words >= 12 AS split_table FROM (SELECT *, len(regexp_extract_all(text, '{_WORD}')) AS n_words FROM layout_base)),
+LINES_SQL = f"""layout_words AS (SELECT *, doc_id % 10 = 0 AND n_cells >= 12 AS split_table FROM (SELECT *, len(cells) AS n_cells FROM (
+  SELECT *, list_transform(range(CAST(ceil(len(words) / {CELL_WORDS}) AS BIGINT)), lambda i: list_aggregate(words[i * {CELL_WORDS} + 1 : i * {CELL_WORDS} + {CELL_WORDS}], 'string_agg', ' ')) AS cells
+  FROM (SELECT *, regexp_extract_all(text, '{_WORD}') AS words FROM layout_base)))),
 layout_lines AS (
   SELECT vendor, doc_id, CAST(page + n // per AS INTEGER) AS page, n AS block, CAST(0 AS INTEGER) AS line, CASE WHEN doc_id % 11 = 3 THEN 5.0 ELSE 60.0 END::DOUBLE AS x0, 90.0::DOUBLE + (n % per) * step AS y0,
     CASE WHEN doc_id % 11 = 3 THEN 295.0 ELSE 350.0 END::DOUBLE AS x1, 90.0::DOUBLE + (n % per) * step + least(10.0::DOUBLE, step) AS y1, CASE WHEN n % 37 = 36 THEN 0.0 ELSE 1.0 END::DOUBLE AS dir_x, x AS text,
     CASE WHEN NOT regexp_matches(x, '[^ \\t\\r\\f\\x0B]') THEN 0.0 WHEN n = 0 THEN 18.0 WHEN n % 9 = 8 THEN 13.5 ELSE 10.0 END::DOUBLE AS size, n % 9 = 8 AND regexp_matches(x, '[^ \\t\\r\\f\\x0B]') AS bold
   FROM (SELECT *, {BODY_HEIGHT}::DOUBLE / per AS step FROM (
     SELECT vendor, doc_id, page, unnest(l) AS x, unnest(range(len(l))) AS n, greatest({BLOCKS_ON_A_PAGE}, CAST(ceil(len(l) / {PAGES}) AS BIGINT)) AS per
-    FROM (SELECT *, string_split('Section ' || CAST(doc_id AS VARCHAR) || chr(10) || text, chr(10)) AS l FROM layout_base)))
+    FROM (SELECT *, list_concat(list_concat(['Section ' || CAST(doc_id AS VARCHAR), 'Topic ' || CAST(doc_id AS VARCHAR)], string_split(text, chr(10))), ['More on ' || CAST(doc_id AS VARCHAR) || ' in short']) AS l FROM layout_base)))
 ),
 layout_boxes AS ({BOXES_SQL})"""
 
 
 def _fitted(documents: DataFrame) -> DataFrame:
-    """The base rows with ``words``, ``n_words`` and ``split_table``: whether the words fill two tables."""
-    rows = _based(documents).withColumn("words", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).withColumn("n_words", F.size("words"))
-    return rows.withColumn("split_table", (F.col("doc_id") % 10 == 0) & (F.col("n_words") >= 12))
+    """The base rows with ``cells``, runs of words, ``n_cells`` and ``split_table``: whether they fill two tables."""
+    # One pass over the text, however often the column is read: no expression looks up single words of it.
+    run = rf"{_WORD}(?:{_BLANKS}{_WORD}){{0,{CELL_WORDS - 1}}}"
+    found = F.transform(F.regexp_extract_all("text", F.lit(run), F.lit(0)), lambda x: F.regexp_replace(x, _BLANKS, " "))
+    rows = _based(documents).withColumn("cells", found).withColumn("n_cells", F.size("cells"))
+    return rows.withColumn("split_table", (F.col("doc_id") % 10 == 0) & (F.col("n_cells") >= 12))
 
 
 def boxes(documents: DataFrame) -> DataFrame:
@@ -117,13 +125,14 @@ def boxes(documents: DataFrame) -> DataFrame:
 
 
 def cells(documents: DataFrame) -> DataFrame:
-    """Tables of three columns that hold all words of the document; merged cells have no rectangle.
+    """Tables of three columns that hold all words of the document, some to a cell; merged cells have no rectangle.
 
     Some texts fill two tables, one right below the other, half of the rows each.
     """
-    rows = _fitted(documents).where("n_words > 0").withColumn("height", F.ceil(F.col("n_words") / COLUMNS).cast("int"))
+    rows = _fitted(documents).where("n_cells > 0").withColumn("height", F.ceil(F.col("n_cells") / COLUMNS).cast("int"))
     rows = rows.withColumn("first", F.when(F.col("split_table"), F.ceil(F.col("height") / 2).cast("int")).otherwise(F.col("height")))
-    grid = rows.select("vendor", "page", "doc_id", "height", "first", "words", F.explode(F.sequence(F.lit(0), F.col("height") * COLUMNS - 1)).alias("i")).withColumns({"row": F.floor(F.col("i") / COLUMNS).cast("int"), "c": (F.col("i") % COLUMNS).cast("int")})
+    padded = F.concat("cells", F.array_repeat(F.lit(""), F.col("height") * COLUMNS - F.col("n_cells")))
+    grid = rows.select("vendor", "page", "doc_id", "height", "first", F.posexplode(padded).alias("i", "word")).withColumns({"row": F.floor(F.col("i") / COLUMNS).cast("int"), "c": (F.col("i") % COLUMNS).cast("int")})
     second = F.col("row") >= F.col("first")
     r = F.when(second, F.col("row") - F.col("first")).otherwise(F.col("row"))
     step = F.when(second, F.lit(40.0) / (F.col("height") - F.col("first"))).otherwise(F.lit(60.0) / F.col("first"))
@@ -133,5 +142,5 @@ def cells(documents: DataFrame) -> DataFrame:
     top = F.when(second, 470.0).otherwise(400.0) + r * step
     left = 60.0 + F.col("c") * 100.0
     rect = lambda v: F.when(~merged, v)
-    text = F.when(merged, "").otherwise(F.coalesce(F.get("words", F.col("i")), F.lit("")))
+    text = F.when(merged, "").otherwise(F.col("word"))
     return grid.select("vendor", "page", F.when(second, 2).otherwise(1).alias("table"), r.cast("int").alias("r"), "c", text.alias("text"), rect(left).alias("x0"), rect(top).alias("y0"), rect(left + 100).alias("x1"), rect(top + step * tall).alias("y1"))
