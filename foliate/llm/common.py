@@ -31,6 +31,17 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """``names`` and the whole row as ``row``, so that no column of ``docs`` can clash with those that an operator adds."""
+    column = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return docs.select(F.struct(*map(column, docs.columns)).alias("row"), *map(column, names))
+
+
+def row_keys() -> list[Column]:
+    """``k1`` and ``k2``: 128 bits that equal rows of doc_id and text share."""
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(9), "doc_id").alias("k2")]
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets into them (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -24,8 +24,9 @@ STEPS = 64
 HIDDEN = 8
 #: Windows run side by side.
 WIDTH = 8192
-#: Bounds of the training sample: languages, texts of each, and characters of each text.
-LANGUAGES = 256
+#: Bounds of the training sample: texts in all, texts of each language, and characters of each text.
+#: The more languages, the fewer texts of each; none is left out.
+TEXTS = 1 << 18
 TEXTS_PER_LANGUAGE = 1200
 TEXT_CHARS = 256
 TRAIN_STEPS = 300
@@ -189,16 +190,17 @@ def training_sample(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, cha
     Repeated rows count once; so do texts with the same slice.
     """
     rows = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and text <> ''").where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 != 1)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(chance).alias("least")).orderBy("lang").collect()
     if not counts:
         return []
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.2 * per_language / r["n"]))])
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
+    per_language = max(1, min(per_language, TEXTS // len(counts)))
+    share = docs.sparkSession.createDataFrame([(r["lang"], max(r["least"], min(1.0, 1.2 * per_language / r["n"]))) for r in counts], "lang string, share double")
     size = F.greatest(F.lit(1), F.length("text") - chars + 1).cast("long")
     cut = F.substring(F.col("text"), (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), size) + 1).cast("int"), F.lit(chars))
-    picked = rows.where(chance < share[F.col("lang")]).select("lang", cut.alias("text"), chance.alias("at")).groupBy("lang", "text").agg(F.min("at").alias("at"))
+    picked = rows.join(F.broadcast(share), "lang").where(chance <= F.col("share")).select("lang", cut.alias("text"), chance.alias("at")).groupBy("lang", "text").agg(F.min("at").alias("at"))
     taken: dict[str, list[str]] = {}
-    for r in picked.orderBy("at", "text").limit(2 * per_language * len(counts)).collect():
+    for r in picked.orderBy("at", "text").limit((2 * per_language + 8) * len(counts)).collect():
         if len(own := taken.setdefault(r["lang"], [])) < per_language:
             own.append(r["text"])
     return [(lang, text) for lang in sorted(taken) for text in taken[lang]]

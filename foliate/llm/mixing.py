@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, packed
 
 MARGINS = ("source", "lang", "topic")
 #: A margin's target shares are its own shares to this power, so small categories gain.
@@ -182,7 +182,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, bud
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rules=TOPICS) -> DataFrame:
     """The rows of ``docs`` that ``mix`` keeps."""
     found = chances(materialize(features(docs, rules), "features"), targets, budget)
-    own = features(docs.select("*", F.struct(*docs.columns).alias("row")), rules, "row")
+    own = features(packed(docs, "doc_id", "text", "source", "lang"), rules, "row")
     return _decided(own, found).where("kept").select("row.*")
 
 

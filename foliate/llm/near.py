@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mixed, powers, slices, text_bytes
+from .common import components, materialize, mixed, packed, powers, row_keys, slices, text_bytes
 from .paragraphs import BUCKET_PARAGRAPHS, RECALL, SHINGLE_WORDS, SIMILARITY, SLICE_BYTES, Words, _links, _minhashes, _shingles, _shingles_of_rows, bands
 from .simhash import first_rows
 
@@ -74,7 +74,7 @@ def representatives(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     A pair of the least similarity meets with a probability of ``recall`` or more. Texts without
     words are equal. Ties are settled as in ``simhash.representatives``.
     """
-    rows = docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(9), "doc_id")})
+    rows = packed(docs, "doc_id", "text").select("*", *row_keys())
     found = materialize(_sketches(rows, bands(similarity, recall)), "sketches")
     place = F.struct("k1", "k2")
     unique = materialize(found.groupBy("fp").agg(F.min(F.struct(place.alias("place"), "bands")).alias("own")), "unique-documents")
@@ -85,4 +85,4 @@ def representatives(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     sets = materialize(_sets(rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"])).dropDuplicates(["content"]), "shingle-sets")
     labels = components(_links(banded.join(sets, "content"), similarity, bucket)).select(F.col("node").alias("fp"), F.col("label").alias("root"))
     roots = unique.select("fp").join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return first_rows(rows, found, roots, docs.columns)
+    return first_rows(rows, found, roots)

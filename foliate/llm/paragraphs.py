@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mixed, powers, slices, text_bytes
+from .common import components, materialize, mixed, packed, powers, row_keys, slices, text_bytes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -262,8 +262,7 @@ def _links(met: DataFrame, similarity: float, most: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    keys = [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(9), "doc_id").alias("k2")]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keys)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *row_keys())
 
 
 def classes(rows: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, least: int = LEAST_WORDS, bucket: int = BUCKET_PARAGRAPHS) -> DataFrame:
@@ -335,12 +334,11 @@ def repeated(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
 def deduplicate(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """The rows of ``docs``, their texts without the paragraphs that stand first elsewhere."""
-    columns = docs.columns
-    keys = {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(9), "doc_id")}
     own = classes(_keyed(docs), least=least).select("k1", "k2", "number", "first").distinct()
     stays = (F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2")) & (F.col("first.number") == F.col("number"))
     gone = own.where(~stays).groupBy("k1", "k2").agg(F.collect_list("number").alias("gone"))
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    out = docs.withColumns(keys).join(gone, ["k1", "k2"], "left").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
-    return out.select(*columns)
+    rows = packed(docs, "doc_id", "text").select("*", *row_keys())
+    out = rows.join(gone, ["k1", "k2"], "left").withColumn("row", F.col("row").withField("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)))
+    return out.select("row.*")

@@ -16,6 +16,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import packed
 
 BLOCK = 1024
 LEVEL = 3
@@ -141,9 +144,11 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
     A null text scores like an empty one. One row for each input row; other columns are left out.
     """
+    if clash := set(keep) & {"score", "n_bytes", "good_bytes", "bad_bytes"}:
+        raise ValueError(f"columns to keep that the score adds: {sorted(clash)}; see accepted()")
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
     kept = [f for f in rows.schema.fields if f.name != "text" or "text" in keep]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "score double, n_bytes long, good_bytes long, bad_bytes long"
+    schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "good_bytes", "bad_bytes"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,6 +161,11 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     return rows.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns, whatever their names."""
+    return score(packed(docs, "text"), model, keep=("row",)).where(F.col("score") >= threshold).select("row.*")
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The query's rows: doc_id, held_out, score, predicted, and the sizes behind the score."""
     scored = score(docs, fit(docs, labels))

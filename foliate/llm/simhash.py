@@ -1,8 +1,10 @@
 """SimHash near-duplicates, searched with BK-trees over shards of the fingerprints.
 
-A fingerprint has 64 bits; two within ``RADIUS`` differing bits agree on one of ``RADIUS + 1`` bit
-blocks at least. So each distinct fingerprint goes to one shard for each block and value, and every
-shard builds a BK-tree: children are keyed by their Hamming distance to the parent, and a search
+A fingerprint has 64 bits, cut into blocks; two within ``RADIUS`` differing bits agree on all blocks
+but ``RADIUS`` at least. So each distinct fingerprint goes to one shard for each choice of so many
+blocks and their values, and every shard builds a BK-tree: the more fingerprints, the more blocks and
+the longer the shards' keys, so that a shard keeps to one tree. In it
+children are keyed by their Hamming distance to the parent, and a search
 follows only the edges within the radius. A shard of more than ``TREE_NODES`` fingerprints becomes
 several trees, and the fingerprints of the earlier ones are looked up in each later one. The trees
 are built where the shard's rows are dealt to: sending them from the driver would bring the
@@ -11,15 +13,16 @@ fingerprints of all documents there.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, packed, row_keys
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -118,14 +121,32 @@ class BKTree:
         return [self.value[i] for i in links]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
+def shard_blocks(n: int, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> int:
+    """Into how many blocks to cut the bits, so that a shard of ``n`` random fingerprints fits a tree."""
+    blocks = radius + 1
+    while n >> 64 * (blocks - radius) // blocks > tree_nodes // 2 and blocks < 16:
+        blocks += 1
+    return blocks
+
+
+def shard_keys(blocks: int, radius: int = RADIUS) -> list[Column]:
+    """A key for each choice of ``blocks`` - ``radius`` blocks: two fingerprints within the radius share one at least."""
+    bounds = [64 * i // blocks for i in range(blocks + 1)]
+    out = []
+    for number, some in enumerate(itertools.combinations(range(blocks), blocks - radius)):
+        mask = sum((1 << bounds[i + 1]) - (1 << bounds[i]) for i in some)
+        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
+        out.append(F.xxhash64(F.col("fp").bitwiseAND(F.lit(signed)), F.lit(number)))
+    return out
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES, blocks: int | None = None) -> DataFrame:
     """Edges ``(a, b)`` between distinct fingerprints, enough to connect all that link.
 
-    ``nodes`` has one column ``fp`` of distinct non-null values.
+    ``nodes`` has one column ``fp`` of distinct non-null values. ``blocks`` is ``shard_blocks`` of their
+    number unless given; it decides how the work is spread, not what is found.
     """
-    blocks = radius + 1
-    bounds = [64 * i // blocks for i in range(blocks + 1)]
-    keys = [F.shiftrightunsigned("fp", lo).bitwiseAND((1 << hi - lo) - 1).bitwiseOR(F.lit(i << 32)) for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False))]
+    keys = shard_keys(blocks or shard_blocks(nodes.count(), radius, tree_nodes), radius)
     placed = nodes.select("fp", F.explode(F.array(*keys)).alias("shard"))
     sizes = placed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard", F.ceil(F.col("n") / tree_nodes).cast("int").alias("trees"))
     dealt = placed.join(sizes, "shard").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
@@ -154,7 +175,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES)
 
 def _roots(prints: DataFrame, radius: int) -> DataFrame:
     """``(fp, root, low, n)``: each fingerprint's component, its smallest doc_id and its number of rows."""
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes")
     labels = components(links(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "label")
     return nodes.join(labels, "fp", "left").withColumn("root", F.coalesce("label", "fp")).drop("label")
 
@@ -180,19 +201,17 @@ def representatives(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_
     Among texts that share this doc_id, a hash decides; of repeated rows one stays. A component of
     null doc_ids keeps one row too.
     """
-    columns = docs.columns
-    keys = {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(9), "doc_id")}
-    rows = docs.withColumns(keys)
+    rows = packed(docs, "doc_id", "text").select("*", *row_keys())
     prints = materialize(fingerprints(rows, words, ("k1", "k2")), "fingerprints")
-    return first_rows(rows, prints, _roots(prints, radius).select("fp", "root"), columns)
+    return first_rows(rows, prints, _roots(prints, radius).select("fp", "root"))
 
 
-def first_rows(rows: DataFrame, prints: DataFrame, roots: DataFrame, columns: list[str]) -> DataFrame:
-    """The first row of each root, from ``rows`` with keys, ``prints (doc_id, k1, k2, fp)`` and ``roots (fp, root)``."""
+def first_rows(rows: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """The first row of each root, from ``rows (row, k1, k2)``, ``prints (doc_id, k1, k2, fp)`` and ``roots (fp, root)``."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")).alias("first")
     own = prints.groupBy("fp").agg(first).join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))
     kept = own.select("first.k1", "first.k2")
     kept = materialize(prints.join(kept, ["k1", "k2"]).groupBy("k1", "k2").agg(F.count("*").alias("copies")), "representatives")
-    held = rows.join(kept, ["k1", "k2"])
-    single = held.where("copies = 1").select(*columns)
-    return single.unionByName(held.where("copies > 1").dropDuplicates(["k1", "k2"]).select(*columns))
+    held = rows.select("row", "k1", "k2").join(kept, ["k1", "k2"])
+    single = held.where("copies = 1").select("row.*")
+    return single.unionByName(held.where("copies > 1").dropDuplicates(["k1", "k2"]).select("row.*"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mixed, powers, slices, text_bytes
+from .common import materialize, mixed, powers, row_keys, slices, text_bytes
 
 STRING = 400
 GRAM = 100
@@ -293,8 +293,7 @@ def remove_repeats(docs: DataFrame, string: int = STRING, gram: int = GRAM, anch
     another row's; all copies go. A null or empty text has no bytes. Repeated rows are copies of each
     other.
     """
-    keys = [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(9), "doc_id").alias("k2")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keys)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *row_keys())
     filed = materialize(_file(rows, string, gram), "pieces")
     often = filed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     # Written first, so that the join deals out both sides itself and can split a hot anchor.
