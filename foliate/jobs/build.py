@@ -13,7 +13,7 @@ from ..sources.pages import write_agent_index, write_nav, write_search
 def run(pages: DataFrame, common: DataFrame, out: str, vendors: DataFrame, categories: DataFrame, config: Site = Site()) -> None:
     """Writes ``nav``, ``search``, ``agent_index`` and ``sitemap`` below ``out``."""
     rows = index.entries(pages)
-    write_nav(index.nested_nav(rows), f"{out}/nav")
+    write_nav(index.nav_rows(rows), f"{out}/nav")
     write_search(index.search_docs(pages, common), f"{out}/search")
     write_agent_index(index.agent_index(rows, vendors, categories), f"{out}/agent_index")
     site.sitemap(site.routes(rows, categories), config).write.mode("overwrite").json(f"{out}/sitemap")

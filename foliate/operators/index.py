@@ -71,8 +71,16 @@ def listing_grid(rows: DataFrame, vendors: DataFrame, categories: DataFrame) ->
     return counted.join(v, "vendor").join(c, "cat").select("vendor_ord", "cat_ord", "vendor", "cat", "n_pages")
 
 
+def nav_rows(rows: DataFrame) -> DataFrame:
+    """``(vendor, cat, position, slug, num, title)``: each pair's pages as rows in navigation order, however many they are."""
+    return category_listing(rows).select("vendor", "cat", F.col("ord").alias("position"), "slug", "num", "title")
+
+
 def nested_nav(rows: DataFrame) -> DataFrame:
-    """``(vendor, cat, pages)``: the pages of each pair as an array of (key, slug, num, title) in order."""
+    """``(vendor, cat, pages)``: the pages of each pair as an array of (key, slug, num, title) in order.
+
+    For what a reader's menu can hold, since a pair is one row; ``nav_rows`` has no such limit.
+    """
     return rows.groupBy("vendor", "cat").agg(F.array_sort(F.collect_list(F.struct("key", "slug", "num", "title"))).alias("pages"))
 
 

@@ -12,7 +12,7 @@ def pages(spark):
 def test_index_job(spark, tmp_path):
     common = spark.createDataFrame([("common", "setup", "# a\n# b\n")], "vendor string, slug string, text string")
     build.run(pages(spark), common, str(tmp_path), vendors(spark), categories(spark))
-    assert spark.read.json(f"{tmp_path}/nav").count() == 3 and spark.read.json(f"{tmp_path}/search").count() == 6
+    assert spark.read.json(f"{tmp_path}/nav").select("vendor", "cat").distinct().count() == 3 and spark.read.json(f"{tmp_path}/nav").count() == 5 and spark.read.json(f"{tmp_path}/search").count() == 6
     assert spark.read.json(f"{tmp_path}/sitemap").select("loc").distinct().count() == 1 + 9 + 5
     lines = [r["value"] for r in spark.read.text(f"{tmp_path}/agent_index").collect()]
     assert sum(x.startswith("- [") for x in lines) == 5 and sum(x.startswith("## ") for x in lines) == 3 and sum(x.startswith("### ") for x in lines) == 3
