@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jobs.extract import boxes_of_pages
 from .layout_config import LAYOUTS
 from .operators import assemble, layout, tables, toc
 from .sources import layout_view as view
@@ -51,17 +52,8 @@ def _tables(s, d):
     return tables.tables_of_pages(view.cells(_docs(s, d)), _lines(s, d), _boxes(s, d))
 
 
-def _figures(s, d, found):
-    """All figures, from the boxes and the tables found."""
-    drawn = _boxes(s, d).where("kind <> 'table'").drop("box")
-    own = found.where("kind = 'table'").select("vendor", "page", "kind", "x0", "y0", "x1", "y1", F.lit(0).alias("n_items"))
-    return layout.all_figures(layout.figure_boxes(drawn.unionByName(own)), found)
-
-
 def _boxed(s, d):
-    """Tables, made once for all that reads them, and figures."""
-    found = materialize(_tables(s, d), "tables")
-    return found, materialize(_figures(s, d, found), "figures")
+    return boxes_of_pages(view.spans(_docs(s, d)), _boxes(s, d), view.cells(_docs(s, d)))
 
 
 def _items(s, d, boxed=None):
@@ -308,6 +300,104 @@ def _(s, d):
     return assemble.toc_headings(items.select("vendor", "slug", "seq", "text"), toc.sub_headings(found, _toc(s, d)))
 
 
+# ---- Rules on lines, rows and tables, on what each document's text makes of them.
+_PAIRS = """, pairs AS (SELECT vendor, page, block // 2 AS pair, block, text, size, x0 + block % 7 * 60 AS x0, x1 + block % 7 * 60 AS x1, CASE WHEN block % 4 = 1 THEN first_value(y0) OVER w ELSE y0 END AS y0,
+  CASE WHEN block % 4 = 1 THEN first_value(y1) OVER w ELSE y1 END AS y1, row_number() OVER w AS k FROM layout_lines WINDOW w AS (PARTITION BY vendor, page, block // 2 ORDER BY block)),
+met AS (SELECT a.vendor, a.page, a.pair, a.text AS t, b.text AS u, b.text IS NOT NULL AND b.size < 11.5 AND least(b.y1, a.y1) - greatest(b.y0, a.y0) > (b.y1 - b.y0) * 0.5 AND b.x0 > a.x1 + 3 AND NOT regexp_matches(trim(a.text), '^[0-9.\\-]{1,8}$') AS beside,
+  CASE WHEN length(trim(b.text)) <= 1 OR b.x0 <= a.x1 + 10 THEN '' WHEN length(a.text) <= 24 AND NOT contains(a.text, '。') AND NOT regexp_matches(a.text, '[：:、，]$') THEN '：' ELSE ' ' END AS mark
+  FROM pairs a LEFT JOIN pairs b ON b.vendor = a.vendor AND b.page = a.page AND b.pair = a.pair AND b.k = 2 WHERE a.k = 1)
+"""
+
+
+@_query("x4_same_row_lines", _LAY + _PAIRS + "SELECT vendor, page, pair, CASE WHEN beside THEN t || mark || u ELSE t || coalesce(chr(10) || u, '') END AS text FROM met")
+def _(s, d):
+    # Lines two by two; of every second pair the second line stands in the row of the first.
+    n = F.col("block")
+    rows = _lines(s, d).withColumns({"x0": F.col("x0") + n % 7 * 60, "x1": F.col("x1") + n % 7 * 60, "pair": F.floor(n / 2)})
+    own = rows.groupBy("vendor", "page", "pair").agg(F.array_sort(F.collect_list(F.struct("block", "y0", "x0", "y1", "x1", "size", "text"))).alias("own"))
+    first = F.get("own", F.lit(0))
+    level = lambda n, c: F.when(n["block"] % 4 == 1, first[c]).otherwise(n[c]).alias(c)
+    own = own.withColumn("own", F.transform("own", lambda n: F.struct(level(n, "y0"), n["x0"].alias("x0"), level(n, "y1"), n["x1"].alias("x1"), n["size"].alias("size"), n["text"].alias("text"))))
+    return own.select("vendor", "page", "pair", F.array_join(layout.merge_same_row_lines(F.col("own")), "\n").alias("text"))
+
+
+_ENDS, _BEGINS = "[0-9A-Za-z)\\]%.,:;]", "[0-9A-Za-z(\\[]"
+_ONCE = lambda x: f"regexp_replace({x}, '({_ENDS})\\x01+({_BEGINS})', '\\1 \\2', 'g')"
+
+
+@_query("x5_join_lines", _LAY + f"SELECT vendor, page, replace({_ONCE(_ONCE('j'))}, chr(1), '') AS text FROM (SELECT vendor, page, string_agg(regexp_replace(text, '{_BLANK}+$', ''), chr(1) ORDER BY block) AS j FROM layout_lines GROUP BY ALL)")
+def _(s, d):
+    own = F.array_sort(F.collect_list(F.struct("block", "text")))
+    rows = _lines(s, d).groupBy("vendor", "page").agg(F.transform(own, lambda x: x["text"]).alias("own"))
+    return rows.select("vendor", "page", layout.join_lines(F.col("own")).alias("text"))
+
+
+# Rows of four words; some columns are blank, or blank below their header.
+_ROWS4 = """, w4 AS (SELECT doc_id, w, CAST(ceil(len(w) / 4) AS BIGINT) AS h FROM (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+') AS w FROM layout_base) WHERE len(w) > 0),
+r4 AS (SELECT doc_id, h, list_transform(range(h * 4), lambda i: CASE WHEN i % 4 = 1 AND doc_id % 4 = 0 OR i % 4 = 2 AND i > 3 AND doc_id % 3 = 0 THEN '' ELSE coalesce(w[i + 1], '') END) AS c FROM w4)
+"""
+_FILLED = lambda least: f"len(list_filter(range({least}, h), lambda r: c[r * 4 + k + 1] <> '')) > 0"
+
+
+def _rows4(s, d):
+    words = F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))
+    rows = view._based(_docs(s, d)).select("doc_id", words.alias("w")).where("size(w) > 0")
+    blank = lambda i: (i % 4 == 1) & (F.col("doc_id") % 4 == 0) | (i % 4 == 2) & (i > 3) & (F.col("doc_id") % 3 == 0)
+    # Materialized as an array by the generator, so that no row looks single words up in the text.
+    each = rows.select("doc_id", F.posexplode("w").alias("i", "word")).select("doc_id", F.floor(F.col("i") / 4).alias("r"), (F.col("i") % 4).alias("c"), F.when(blank(F.col("i")), "").otherwise(F.col("word")).alias("word"))
+    each = each.groupBy("doc_id", "r").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "word"))), lambda x: x["word"]).alias("row"))
+    return each.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "row"))), lambda x: x["row"]).alias("rows"))
+
+
+@_query("x7_clean_columns", f"WITH {view.BASE_SQL}{_ROWS4}, k4 AS (SELECT *, list_filter(range(LEAST(4, CASE WHEN h > 1 THEN 4 ELSE (SELECT len(w) FROM w4 WHERE w4.doc_id = r4.doc_id) END)), lambda k: {_FILLED(0)} AND NOT (h >= 4 AND c[k + 1] <> '' AND NOT {_FILLED(1)})) AS keep FROM r4) SELECT doc_id, list_aggregate(list_transform(range(h), lambda r: coalesce(list_aggregate(list_transform(keep, lambda k: c[r * 4 + k + 1]), 'string_agg', '|'), '')), 'string_agg', chr(10)) AS grid FROM k4")
+def _(s, d):
+    return _rows4(s, d).select("doc_id", F.array_join(F.transform(tables.clean_columns_column(F.col("rows")), lambda r: F.array_join(r, "|")), "\n").alias("grid"))
+
+
+@_query("x10_header_like", f"WITH {view.BASE_SQL}{_ROWS4} SELECT doc_id, CAST(r AS INTEGER) AS r, len(list_filter(x, lambda v: v <> '')) >= 2 AND len(list_filter(x, lambda v: length(v) > 22 OR contains(v, '「') OR contains(v, '。'))) = 0 AS header_like FROM (SELECT doc_id, r, c[r * 4 + 1 : r * 4 + 4] AS x FROM (SELECT doc_id, c, unnest(range(h)) AS r FROM r4))")
+def _(s, d):
+    return _rows4(s, d).select("doc_id", F.posexplode("rows").alias("r", "row")).select("doc_id", "r", tables.header_like_column(F.col("row")).alias("header_like"))
+
+
+# Three tables below one another; how far apart, how wide and where they begin depends on the document.
+_THREE = (("0", "40", "0", "doc_id % 2"), ("40 + doc_id % 20", "100", "doc_id % 25", "0"), ("100 + doc_id * 7 % 20", "160", "doc_id * 3 % 25", "doc_id % 5 % 2"))
+_NEAR = lambda gap, x, wide: f"({gap}) < 16 AND abs({x}) < 20 AND {wide}"
+
+
+@_query("w10_merged_neighbours", f"""WITH t AS (SELECT doc_id, {_NEAR("doc_id % 20", "doc_id % 25", "doc_id % 2 = 0")} AS one, CASE WHEN {_NEAR("doc_id % 20", "doc_id % 25", "doc_id % 2 = 0")} THEN 0 ELSE doc_id % 25 END AS left_edge FROM documents WHERE doc_id IS NOT NULL),
+u AS (SELECT doc_id, one, {_NEAR("doc_id * 7 % 20", "left_edge - doc_id * 3 % 25", "doc_id % 5 % 2 = 0")} AS two FROM t)
+SELECT doc_id, CAST(3 - one::INT - two::INT AS INTEGER) AS n, CASE WHEN one AND two THEN '0-160' WHEN one THEN '0-100 ' || (100 + doc_id * 7 % 20) || '-160' WHEN two THEN '0-40 ' || (40 + doc_id % 20) || '-160' ELSE '0-40 ' || (40 + doc_id % 20) || '-100 ' || (100 + doc_id * 7 % 20) || '-160' END AS ends FROM u""")
+def _(s, d):
+    table = lambda top, low, x, wide: F.struct(*[F.expr(f"cast({v} as double)").alias(c) for c, v in (("y0", top), ("x0", x), ("y1", low))], F.lit(300.0).alias("x1"), F.array(F.array_repeat(F.lit("c"), F.expr(f"cast(2 + {wide} as int)"))).alias("rows"))
+    merged = tables.merge_neighbours(F.array(*[table(*t) for t in reversed(_THREE)]))
+    rows = _docs(s, d).where("doc_id is not null").select("doc_id", merged.alias("m"))
+    return rows.select("doc_id", F.size("m").alias("n"), F.array_join(F.transform("m", lambda t: F.concat(t["y0"].cast("long").cast("string"), F.lit("-"), t["y1"].cast("long").cast("string"))), " ").alias("ends"))
+
+
+# A section of two pages for each document: a table at the foot of one, another at the head of the next, or further down.
+_W11 = "FROM documents WHERE doc_id IS NOT NULL"
+
+
+@_query("w11_continued_tables", f"SELECT 's' || doc_id AS slug, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS n_tables, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 5 = 0 THEN 1 ELSE 1 END AS INTEGER) AS n_headers, 2 AS n_rows {_W11}")
+def _(s, d):
+    """On the next page doc_id % 3 = 0: too far down, so a table of its own that borrows the header; % 5 = 0: of a header of its own."""
+    docs = _docs(s, d).where("doc_id is not null").select("doc_id", F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("slug"), (F.col("doc_id") * 2 + 1).cast("int").alias("page"))
+    found = docs.select(F.lit("beta").alias("vendor"), F.col("doc_id").cast("int").alias("ord"), "slug", F.lit("1-1").alias("num"), F.lit("T").alias("title"), F.lit("setup").alias("cat"), "page", (F.col("page") + 1).alias("page_end"))
+    value = F.concat(F.lit("value "), F.col("doc_id").cast("string"), F.lit(" that is long enough"))
+    rows = lambda *r: F.array(*[F.array(*[x if not isinstance(x, str) else F.lit(x) for x in own]) for own in r])
+    again = (F.col("doc_id") % 2 == 0) & (F.col("doc_id") % 3 != 0)
+    second = F.when((F.col("doc_id") % 5 == 0) & (F.col("doc_id") % 3 != 0), rows(("other", "kind"), ("b", value))).when(again, rows(("name", "meaning"), ("b", value))).otherwise(rows(("b", value)))
+    top = F.when(F.col("doc_id") % 3 == 0, 300.0).otherwise(60.0)
+    one = lambda page, y0, y1, own: F.struct(page.cast("int").alias("page"), F.lit(1).alias("number"), F.lit("table").alias("kind"), F.lit(50.0).alias("x0"), y0.alias("y0"), F.lit(400.0).alias("x1"), y1.alias("y1"), own.alias("rows"))
+    both = F.array(one(F.col("page"), F.lit(600.0), F.lit(690.0), rows(("name", "meaning"), ("a", value))), one(F.col("page") + 1, top, top + 50, second))
+    boxes = docs.select(F.lit("beta").alias("vendor"), F.explode(both).alias("t")).select("vendor", "t.*")
+    none = s.createDataFrame([], "vendor string, page int, y double, x double, kind string, text string, size double, bold boolean")
+    figures, subs = s.createDataFrame([], "vendor string, page int, fig int, x0 double, y0 double, x1 double, y1 double"), s.createDataFrame([], "vendor string, slug string, pos int, level int, title string")
+    made = assemble.assemble(found, none, subs, boxes, figures)
+    count = lambda x: F.regexp_count("text", F.lit(x)).cast("int")
+    return made.select("slug", count(r"\|---\|---\|").alias("n_tables"), count(r"\| name \| meaning \|").alias("n_headers"), count("that is long enough").alias("n_rows"))
+
+
 @_query("j14_map_glyphs")
 def _(s, d):
     glyph = F.expr("concat(text, decode(unhex(hex(61440 + doc_id % 256)), 'utf-16be'))")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import COMMON
-from ..functions.ordering import in_order
+from ..functions.ordering import in_order, with_stretches
 from .parse import excerpt, headings, page_entries, search_heads, sort_key, split_front_matter
 
 COMMON_SUFFIX = "(3社対応表)"  # Fixed value: marks a common guide's title.
@@ -36,15 +36,20 @@ def search_docs(pages: DataFrame, common: DataFrame | None = None) -> DataFrame:
     return rows.unionByName(guides)
 
 
-def nav_order(rows: DataFrame) -> DataFrame:
-    """``entries`` with ``position`` and the pages before and after within the vendor.
+def _ordered(rows: DataFrame, outer: list[str], values: list[str]) -> DataFrame:
+    """Pages in navigation order within each outer part: by sort key, then slug.
 
-    The order is sort key, then slug. Pages are ordered within a chapter, and the chapters one after
-    the other, so no task sorts a vendor.
+    Ordered by stretches of about equal size, so that no task sorts a vendor, nor all of its pages
+    without a number.
     """
-    keyed = rows.withColumns({"key_a": F.col("key.a"), "key_b": F.col("key.b")})
-    values = {"slug": F.col("slug"), "num": F.col("num"), "title": F.col("title")}
-    return in_order(keyed, ["vendor"], ["key_a"], ["key_b", "slug"], values).drop("key_a", "key_b")
+    light = rows.select(*dict.fromkeys([*outer, "vendor", "slug", "num", "title", "cat"]), F.col("key.a").alias("key_a"), F.col("key.b").alias("key_b"))
+    order = ["key_a", "key_b", "slug"]
+    return in_order(with_stretches(light, outer, order), outer, ["stretch"], order, {v: F.col(v) for v in values}).drop("key_a", "key_b", "stretch")
+
+
+def nav_order(rows: DataFrame) -> DataFrame:
+    """``(vendor, slug, num, title, cat)`` with ``position`` and the pages before and after within the vendor."""
+    return _ordered(rows, ["vendor"], ["slug", "num", "title"])
 
 
 def first_pages(rows: DataFrame, vendors: DataFrame) -> DataFrame:
@@ -86,9 +91,7 @@ def nested_nav(rows: DataFrame) -> DataFrame:
 
 def category_listing(rows: DataFrame) -> DataFrame:
     """``(cat, vendor, ord, slug, num, title)``: each category's pages in navigation order within each vendor."""
-    keyed = rows.withColumns({"key_a": F.col("key.a"), "key_b": F.col("key.b")})
-    ordered = in_order(keyed, ["cat", "vendor"], ["key_a"], ["key_b", "slug"], {"slug": F.col("slug")})
-    return ordered.select("cat", "vendor", F.col("position").alias("ord"), "slug", "num", "title")
+    return _ordered(rows, ["cat", "vendor"], ["slug"]).select("cat", "vendor", F.col("position").alias("ord"), "slug", "num", "title")
 
 
 def agent_index(rows: DataFrame, vendors: DataFrame, categories: DataFrame, heading: str = "Manuals") -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import in_order, running_last
 from .parse import section_slug
 
 
@@ -64,12 +65,20 @@ def _int(c: Column) -> Column:
     return F.nullif(c, F.lit("")).try_cast("int")
 
 
+#: Positions, or pages, that are ordered together.
+STRETCH = 40_000
+
+
+def _stretch(c: str) -> Column:
+    return F.floor(F.col(c) / STRETCH)
+
+
 def toc_chapters(toc: DataFrame) -> DataFrame:
     """``toc`` (vendor, pos, level, title, page) with ``chapter``, the last one begun, and ``in_appendix``."""
     number = _int(F.regexp_extract("title", r"\A(\d+)\s+.+\z", 1))
-    running = Window.partitionBy("vendor").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.coalesce(F.max(F.when((F.col("level") == 1) & F.col("title").startswith("付"), 1)).over(running), F.lit(0))
-    return toc.withColumns({"chapter": F.last(F.when(F.col("level") == 2, number), ignorenulls=True).over(running), "in_appendix": mark == 1})
+    mark = F.when((F.col("level") == 1) & F.col("title").startswith("付"), True)
+    rows = running_last(toc, ["vendor"], _stretch("pos"), [F.col("pos")], {"chapter": F.when(F.col("level") == 2, number), "in_appendix": mark})
+    return rows.withColumn("in_appendix", F.coalesce("in_appendix", F.lit(False)))
 
 
 def category(num: Column, chapter: Column, scheme: Scheme) -> Column:
@@ -151,13 +160,12 @@ def build_sections(toc: DataFrame, page_counts: DataFrame, schemes: dict[str, Sc
         found = part if found is None else found.unionByName(part)
         cut = breaks_of(own, scheme)
         breaks = cut if breaks is None else breaks.unionByName(cut)
-    order = Window.partitionBy("vendor").orderBy("k1", "k2", "pos")
-    found = found.withColumns({"ord": F.row_number().over(order), "next_page": F.lead("page").over(order)})
-    # The next break after a page: the smallest break page in what follows, over sections and breaks together.
+    found = in_order(found.withColumn("stretch", _stretch("k1")), ["vendor"], ["stretch"], ["k1", "k2", "pos"], {"page": F.col("page")})
+    found = found.withColumnRenamed("position", "ord").drop("stretch", "previous_page")
+    # The next break after a page: from the highest page down, the last break so far; on one page sections come before breaks.
     both = found.select("vendor", "page", "ord", F.lit(None).cast("int").alias("at")).unionByName(breaks.select("vendor", "page", F.lit(None).cast("int").alias("ord"), F.col("page").cast("int").alias("at")))
-    # From the end, so that the frame grows: a frame that shrinks is summed up anew for every row.
-    later = Window.partitionBy("vendor").orderBy(F.desc("page")).rangeBetween(Window.unboundedPreceding, -1)
-    after = both.withColumn("next_break", F.min("at").over(later)).where(F.col("ord").isNotNull()).select("vendor", "ord", "next_break")
+    both = running_last(both, ["vendor"], _stretch("page"), [F.desc("page"), F.col("at").isNotNull()], {"next_break": F.col("at")}, backwards=True)
+    after = both.where(F.col("ord").isNotNull()).select("vendor", "ord", "next_break")
     joined = found.join(after, ["vendor", "ord"]).join(page_counts, "vendor", "left")
     end = F.coalesce("next_page", "pages", F.lit(10**9))
     end = F.when(F.col("next_break") < end, F.col("next_break") - 1).otherwise(end)
@@ -177,20 +185,21 @@ def sub_headings(sections: DataFrame, toc: DataFrame) -> DataFrame:
 
     They follow it in the table of contents, up to an entry of its level or above, or one that starts
     at or past its end (unless it starts on the section's first page). Levels count from the section,
-    4 at most. Every entry is given the last section before it, by windows over the entries;
+    4 at most. Every entry is given the last section before it, stretch by stretch;
     chapters' overviews, inside which other sections begin, are gone through apart from these.
     """
     entries = toc.select("vendor", F.col("pos").alias("at"), F.col("level").alias("deep"), F.col("title").alias("text"), F.col("page").alias("on"))
-    after = Window.partitionBy("vendor").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
-    nexts = F.array(*[F.min(F.when(F.col("deep") <= k, F.col("at"))).over(after) for k in range(1, DEEPEST + 1)])
-    entries = entries.withColumn("bound", F.coalesce(F.get(nexts, F.col("deep") - 1), F.lit(2**31 - 1).cast(dict(toc.dtypes)["pos"])))
+    # Where the next entry of each level or above stands.
+    nexts = {f"next_{k}": F.when(F.col("deep") <= k, F.col("at")) for k in range(1, DEEPEST + 1)}
+    entries = running_last(entries, ["vendor"], _stretch("at"), [F.desc("at")], nexts, backwards=True, inclusive=False)
+    bound = F.get(F.array(*nexts), F.col("deep") - 1)
+    entries = entries.withColumn("bound", F.coalesce(bound, F.lit(2**31 - 1).cast(dict(toc.dtypes)["pos"]))).drop(*nexts)
     own = sections.select("vendor", F.col("pos").alias("at"), F.struct("slug", "level", F.col("page").alias("begins"), "page_end").alias("s"), F.col("num").endswith(".0").alias("overview"))
     out = None
     for overview in (False, True):
         part = entries.join(own.where(F.col("overview") == overview).drop("overview"), ["vendor", "at"], "left")
-        before = Window.partitionBy("vendor").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-        last = F.last(F.when(F.col("s").isNotNull(), F.struct("s", "at", "bound")), ignorenulls=True).over(before)
-        part = part.withColumn("of", last).where(F.col("of").isNotNull() & (F.col("at") < F.col("of.bound")))
+        part = running_last(part, ["vendor"], _stretch("at"), [F.col("at")], {"of": F.when(F.col("s").isNotNull(), F.struct("s", "at", "bound"))}, inclusive=False)
+        part = part.where(F.col("of").isNotNull() & (F.col("at") < F.col("of.bound")))
         past = (F.col("on") >= F.col("of.s.page_end")) & (F.col("on") > F.col("of.s.begins"))
         running = Window.partitionBy("vendor", "of.at").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
         part = part.withColumn("over", F.max(past.cast("int")).over(running)).where(F.col("over") == 0).where(F.col("deep") > F.col("of.s.level"))

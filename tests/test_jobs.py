@@ -31,3 +31,22 @@ def test_audit_job(spark, tmp_path):
     assert check.run(pages(spark), none, f"{tmp_path}/good")
     bad = pages(spark).limit(1).selectExpr("vendor", "slug", "concat(text, '![x](gone.webp)') as text")
     assert not check.run(bad, none, f"{tmp_path}/bad") and spark.read.parquet(f"{tmp_path}/bad").count() == 1
+
+
+def test_extraction_goes_on_where_it_stopped(spark, tmp_path):
+    from foliate.jobs import extract
+    from foliate.sources import layout_view as view
+
+    docs = spark.createDataFrame([(i, f"First line of {i}.\nSecond line with more words in it {i}.\n" * 3) for i in range(45)], "doc_id long, text string")
+    out = str(tmp_path / "out")
+    given = (view.toc(docs), view.page_counts(docs), view.spans(docs), view.boxes(docs), view.cells(docs), out)
+    spark.createDataFrame([("alpha", "01-01", "old", True)], extract.PAGES).write.parquet(f"{out}/pages")
+    extract.run(*given)
+    pages = {(r["vendor"], r["slug"]): r["text"] for r in extract.pages_of(spark, out).collect()}
+    assert pages["alpha", "01-01"] == "old" and len(pages) > 30
+    text = next(t for (v, slug), t in pages.items() if v == "gamma" and "Section 5" in t)
+    assert "Second line with more words in it 5." in text and text.startswith("---\nvendor: gamma")
+    catalog = spark.read.json(f"{out}/catalog")
+    assert {(r["vendor"], r["slug"]) for r in catalog.collect()} == set(pages)
+    extract.run(*given)
+    assert extract.pages_of(spark, out).count() == len(pages)
