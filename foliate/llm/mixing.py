@@ -25,6 +25,10 @@ ROUNDS = 12
 #: Rounds in one plan; the cells are written after each such run.
 ROUNDS_AT_ONCE = 4
 CAP_ROUNDS = 8
+#: Raking under the cap ends when no margin is further from its reach, in shares of the budget, or when a run brings
+#: less than a tenth, or after so many rounds.
+TOLERANCE = 1e-3
+MOST_ROUNDS = 48
 #: So many cells at most are raked in one task and broadcast; their number doesn't depend on that of the documents.
 SMALL_CELLS = 100_000
 #: Topic rules in order, the first that fits wins: a name and the strings of which the text holds one. Others are "prose".
@@ -106,7 +110,8 @@ def _factor(have: Column, want: Column, total: Column, part: list[str], tie: lis
 
 
 def rake_bounded(
-    cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, temper: float = TEMPER, together: bool = False
+    cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rounds: int = MOST_ROUNDS, temper: float = TEMPER, together: bool = False,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """Cells with ``p``, the probability of keeping a document, so that the expected tokens are the
     budget's share and meet every margin's target as nearly as can be.
@@ -125,15 +130,26 @@ def rake_bounded(
         reach = F.least("room", F.col("goal") * _factor(F.col("room"), F.col("goal"), F.col("total"), [], [m]))
         now = now.join(kinds.select(m, reach.alias(f"reach_{m}")), m)
     now = one(materialize(now, "cells"))
+    before = float("inf")
     for r in range(rounds):
         for m in MARGINS:
             factor = _factor(F.col("room"), F.col("weight"), F.col(f"reach_{m}"), [m], list(MARGINS))
             now = now.withColumn("weight", F.least("room", F.col("weight") * factor))
         if (r + 1) % ROUNDS_AT_ONCE == 0:
             now = one(materialize(now, "cells"))
+            off = _off(now)
+            if off <= tolerance or off > 0.9 * before:
+                break
+            before = off
     return now.withColumn("p", F.round(F.col("weight") / F.col("room"), 9))
 
 
+def _off(cells: DataFrame) -> float:
+    """How far the margin that is furthest from its reach is from it."""
+    margins = [cells.groupBy(m).agg(F.abs(F.sum("weight") - F.first(f"reach_{m}")).alias("off")).select("off") for m in MARGINS]
+    return margins[0].unionByName(margins[1]).unionByName(margins[2]).agg(F.max("off")).first()[0] or 0.0
+
+
 def probabilities(cells: DataFrame, budget: float = BUDGET, rounds: int = CAP_ROUNDS) -> DataFrame:
     """Raked cells with ``p``, cut at one without regard to the margins: the expected tokens are the budget's share."""
     everywhere = Window.partitionBy()

@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch_path
 
 SLOTS = 4096
 SHARDS = 40
@@ -80,9 +80,24 @@ def rebalanced(shards: list[int], sizes: list[int], n: int, tolerance: float = 0
     return now
 
 
-def map_table(spark: SparkSession, versions: list[tuple[int, list[int]]]) -> DataFrame:
-    """All versions of the slot map as a table: ``(version, n_shards, vslot, shard)``."""
-    return spark.createDataFrame([(v, n, slot, shard) for v, (n, shards) in enumerate(versions, 1) for slot, shard in enumerate(shards)], MAP)
+def load_maps(spark: SparkSession, path: str) -> DataFrame:
+    """All versions stored at ``path``."""
+    return spark.read.schema(MAP).parquet(path)
+
+
+def append_version(spark: SparkSession, path: str, n: int, shards: list[int]) -> int:
+    """Stores a version after those at ``path`` and returns its number; the ones before stay as they are."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stored = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    version = 1 + ((load_maps(spark, path).agg(F.max("version")).first()[0] or 0) if stored else 0)
+    rows = [(version, n, slot, shard) for slot, shard in enumerate(shards)]
+    spark.createDataFrame(rows, MAP).coalesce(1).write.mode("append").parquet(path)
+    return version
+
+
+def version_of(maps: DataFrame, version: int) -> list[int]:
+    """A version as a list, a shard for each slot: it has as many entries as there are slots, whatever the input."""
+    return [r["shard"] for r in maps.where(F.col("version") == version).orderBy("vslot").collect()]
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -109,17 +124,23 @@ def place(rows: DataFrame, maps: DataFrame, version: int = 1) -> DataFrame:
     return rows.withColumn("within", within).join(F.broadcast(spread), "vslot").withColumn("slot", (F.col("first") + F.col("within") - 1).cast("long")).drop("first", "within")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """``(doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, vslot_bytes)`` for each input row.
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """``(doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, vslot_bytes, rebalanced_shard)`` for each input row.
 
     The law is ``key``: doc_id and the number of shards decide. ``grown_shard`` is the shard once
-    there is one more; it differs only where that is the new one. A null text has no bytes and
-    crc32 0, a null doc_id counts as an empty key; repeated rows get slots of their own.
+    there is one more; it differs only where that is the new one. ``rebalanced_shard`` is the shard
+    after slots have moved so that the shards' bytes are even, which the law doesn't do. A null text
+    has no bytes and crc32 0, a null doc_id counts as an empty key; repeated rows get slots of their
+    own, ties are settled by size and crc32. The three maps are versions of one table, stored at ``path`` (a new one) if given.
     """
     spark = docs.sparkSession
     first = slot_map(shards, slots)
-    maps = materialize(map_table(spark, [(shards, first), (shards + 1, grown(first, shards))]), "slot-map")
+    path = path or scratch_path(spark, "slot-map")
     rows = materialize(records(docs, slots), "records")
-    later = maps.where("version = 2").select("vslot", F.col("shard").alias("grown_shard"))
-    out = place(rows, maps).join(F.broadcast(later), "vslot").withColumn("law", F.lit("key"))
-    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "vslot", "vslot_bytes")
+    loads = {r["vslot"]: r["bytes"] for r in slot_loads(rows).collect()}  # a row for each slot
+    even = rebalanced(first, [loads.get(s, 0) for s in range(slots)], shards)
+    one, grows, evens = (append_version(spark, path, n, m) for n, m in ((shards, first), (shards + 1, grown(first, shards)), (shards, even)))
+    maps = load_maps(spark, path)
+    of = lambda version, name: F.broadcast(maps.where(F.col("version") == version).select("vslot", F.col("shard").alias(name)))
+    out = place(rows, maps, one).join(of(grows, "grown_shard"), "vslot").join(of(evens, "rebalanced_shard"), "vslot").withColumn("law", F.lit("key"))
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "vslot", "vslot_bytes", "rebalanced_shard")

@@ -118,3 +118,30 @@ def test_more_languages_than_texts_for_each(spark, docs, monkeypatch):
     monkeypatch.setattr(langid, "TEXTS", 40)
     rows = [(i, f"text number {i} of language {i % 30}", f"l{i % 30:02d}", "s", 0) for i in range(300)]
     assert len({lang for lang, _ in langid.training_sample(docs(rows))}) == 30
+
+
+def test_versions_of_the_slot_map(spark, docs, words, tmp_path):
+    rows = [(i, words(1 + (i * i) % 300, i)) for i in range(400)]
+    path = str(tmp_path / "map")
+    found = sharding.shard(docs(rows), 8, 256, path).collect()
+    maps = sharding.load_maps(spark, path)
+    one, grown, even = (sharding.version_of(maps, v) for v in (1, 2, 3))
+    assert one == sharding.slot_map(8, 256) and grown == sharding.grown(one, 8)
+    for r in found:
+        assert (r["shard"], r["grown_shard"], r["rebalanced_shard"]) == (one[r["vslot"]], grown[r["vslot"]], even[r["vslot"]])
+    load = lambda name: [sum(r["size"] for r in found if r[name] == k) for k in range(8)]
+    assert max(load("rebalanced_shard")) - min(load("rebalanced_shard")) < max(load("shard")) - min(load("shard"))
+    assert sharding.append_version(spark, path, 8, even) == 4 and sharding.version_of(sharding.load_maps(spark, path), 1) == one
+    # Numbered as a plain count within each shard: by virtual slot, then doc_id.
+    for k in range(8):
+        own = sorted((r["vslot"], r["doc_id"]) for r in found if r["shard"] == k)
+        assert [r["slot"] for r in sorted((r for r in found if r["shard"] == k), key=lambda r: (r["vslot"], r["doc_id"]))] == list(range(len(own)))
+
+
+def test_passages_below_and_above_the_string_length(docs, words):
+    """op9 takes whole strings of 400 bytes: a shared passage of over 50 words is cut only if it is that long."""
+    short, long = words(60, 901)[:390], words(140, 902)[:410]
+    rows = [(i, f"{words(40, 10 + i)} #{i}# {short} #{i}# {words(40, 50 + i)}") for i in range(2)] + [(10 + i, f"{words(40, 90 + i)} #{i}# {long} #{i}# {words(40, 130 + i)}") for i in range(2)]
+    found = {r["doc_id"]: r["n_removed"] for r in suffix.remove_repeats(docs(rows)).collect()}
+    assert len(short.split()) > 50 and found[0] == found[1] == 0
+    assert found[10] == found[11] >= 410
