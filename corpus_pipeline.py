@@ -50,7 +50,8 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: The classifier, MinHash and the index are beyond SQL; tests hold the stages against plain versions.
+#: The classifier, MinHash and the index are beyond SQL. Tests hold each stage against the operator that it calls, and
+#: the operators against brute force (mixing: against its margins; the classifier: against held-out labels).
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jobs.extract import boxes_of_pages
-from .layout_config import LAYOUTS
+from .layout_config import LAYOUTS, glyph_map
 from .operators import assemble, layout, tables, toc
 from .sources import layout_view as view
 from .sources.scratch import materialize
@@ -398,7 +398,14 @@ def _(s, d):
     return made.select("slug", count(r"\|---\|---\|").alias("n_tables"), count(r"\| name \| meaning \|").alias("n_headers"), count("that is long enough").alias("n_rows"))
 
 
-@_query("j14_map_glyphs")
+def _mapped(vendor: str) -> str:
+    sql = "text || chr(CAST(61440 + doc_id % 256 AS INTEGER))"
+    for glyph, name in glyph_map(vendor).items():
+        sql = f"replace({sql}, chr({ord(glyph)}), '{name}')"
+    return sql
+
+
+@_query("j14_map_glyphs", f"WITH {view.BASE_SQL} SELECT doc_id, CASE vendor WHEN 'alpha' THEN {_mapped('alpha')} WHEN 'beta' THEN {_mapped('beta')} ELSE {_mapped('gamma')} END AS text FROM layout_base")
 def _(s, d):
     glyph = F.expr("concat(text, decode(unhex(hex(61440 + doc_id % 256)), 'utf-16be'))")
     rows = view._based(_docs(s, d)).select("doc_id", "vendor", glyph.alias("text"))

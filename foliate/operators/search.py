@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import COMMON
+from ..sources.scratch import materialize
 from .parse import sort_key
 
 RESULTS = 30
+#: Queries looked at in one pass over the documents.
+QUERY_BLOCK = 1000
 SNIPPET = 70
 # Points for a term in the title, in any heading, in the number.
 POINTS = {"title": 10, "heads": 4, "num": 6}
@@ -63,15 +66,28 @@ def top(docs: DataFrame, query: str, vendor: str | None = None, k: int = RESULTS
 
 
 def top_each(docs: DataFrame, queries: DataFrame, k: int = RESULTS) -> DataFrame:
-    """The same for a table ``(query_id, query)`` of stated size, each row with its ``query_id`` and ``rank``.
+    """The same for a table ``(query_id, query)``: ``(query_id, rank, vendor, slug, score, route)``.
 
-    The queries are sent to every task in one array; a document brings a row for each query that it
-    matches.
+    The queries go to the tasks as one constant array, so many at a time, and a document brings a row
+    for each query that it matches: the plan is as large for many queries as for one.
     """
-    asked = [(r["query_id"], _terms(r["query"])) for r in queries.collect()]
-    hits = [F.struct(F.lit(i).alias("query_id"), reduce(add, [_points(F.lit(t)) for t in terms]).alias("score"), reduce(and_, [F.contains("hay", F.lit(t)) for t in terms]).alias("fits")) for i, terms in asked if terms]
-    if not hits:
-        return _shown(docs.limit(0).withColumns({"query_id": F.lit(0), "score": F.lit(0), "rank": F.lit(0)})).select("query_id", "rank", "vendor", "slug", "score", "route")
-    rows = docs.withColumn("hit", F.explode(F.filter(F.array(*hits), lambda h: h["fits"]))).select("*", "hit.query_id", "hit.score")
+    terms = F.filter(F.split(F.lower("query"), r"\s+"), lambda t: t != "")
+    kind = dict(queries.dtypes)["query_id"]
+    asked = queries.select("query_id", terms.alias("terms")).where("size(terms) > 0")
+    count = asked.count()
+    blocks = max(1, -(-count // QUERY_BLOCK))
+    out = None
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select(F.to_json(F.struct("query_id", "terms"))).collect()
+        found = _matches(docs, F.from_json(F.lit("[" + ",".join(r[0] for r in own) + "]"), f"array<struct<query_id: {kind}, terms: array<string>>>"), k)
+        found = found if blocks == 1 else materialize(found, "search-results")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _matches(docs: DataFrame, asked: Column, k: int) -> DataFrame:
+    score = lambda q: F.aggregate(q["terms"], F.lit(0), lambda n, t: n + _points(t))
+    fits = F.filter(asked, lambda q: F.forall(q["terms"], lambda t: F.contains("hay", t)))
+    rows = docs.withColumn("hit", F.explode(F.transform(fits, lambda q: F.struct(q["query_id"].alias("query_id"), score(q).alias("score"))))).select("*", "hit.query_id", "hit.score")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *_index_order()))).where(F.col("rank") <= k)
     return _shown(ranked).select("query_id", "rank", "vendor", "slug", "score", "route")
