@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize, scratch_path  # noqa: F401
+from ..sources.tables import read_table
 
 #: Rows and bytes of an Arrow batch handed to a Python task: very long texts must not pile up.
 ARROW_ROWS = 1000
@@ -17,7 +18,7 @@ ARROW_BYTES = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, sf_dir, "documents")
 
 
 def tune(spark: SparkSession) -> None:
