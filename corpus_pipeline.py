@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.llm import decontam, mixing, near, quality, sharding
-from foliate.llm.common import materialize, row_key, tune
+from foliate.llm.common import documents, materialize, row_key, tune
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -56,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,6 +13,7 @@ from .operators import audit, blocks, clean, index, parse, toc
 from .sources import japanese_view as view
 from .sources import pages as sources
 from .sources.scratch import scratch_path
+from .sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,7 +30,7 @@ def _query(name: str, sql: str | None = None):
 
 
 def _docs(s, d):
-    return s.read.parquet(f"{d}/documents.parquet")
+    return read_table(s, d, "documents")
 
 
 def _pages(s, d):

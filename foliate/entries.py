@@ -12,6 +12,7 @@ from .jobs import polish as polish_job
 from .operators import audit, blocks, clean, index, parse, search, site, toc
 from .sources.pages import BRIDGE_SQL, bridge, bridge_images
 from .sources.scratch import materialize
+from .sources.tables import read_table
 
 SITE = Site()
 SEARCH = "the 1 section"
@@ -19,7 +20,7 @@ SEARCHES = ((1, "the 1 section"), (2, "Section 7"), (3, "setup"), (4, "of of 2-1
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return read_table(spark, d, "documents")
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,7 @@ from .layout_config import LAYOUTS, glyph_map
 from .operators import assemble, layout, tables, toc
 from .sources import layout_view as view
 from .sources.scratch import materialize
+from .sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,7 +30,7 @@ def _query(name: str, sql: str | None = None):
 
 
 def _docs(s, d):
-    return s.read.parquet(f"{d}/documents.parquet")
+    return read_table(s, d, "documents")
 
 
 def _toc(s, d):
@@ -374,6 +375,67 @@ def _(s, d):
     return rows.select("doc_id", F.size("m").alias("n"), F.array_join(F.transform("m", lambda t: F.concat(t["y0"].cast("long").cast("string"), F.lit("-"), t["y1"].cast("long").cast("string"))), " ").alias("ends"))
 
 
+_LEVELS = " ".join(
+    f"WHEN vendor = '{v}' THEN CASE WHEN size >= {c.title_size} AND NOT contains(text, '。') AND length(text) < 60 THEN 2 WHEN bold AND length(text) < 55 AND NOT contains(text, '。') AND NOT regexp_matches(text, '(しま|できま|されま|につい|を行|とな)$') "
+    f"AND NOT regexp_matches(text, '^[1-9][0-9]?[^0-9.\\-]') THEN CASE {' '.join(f'WHEN size >= {least} THEN {level}' for least, level in c.tiers)} END END" for v, c in LAYOUTS.items()
+)
+
+
+@_query("x11_heading_level", _LAY + f"SELECT vendor, page, block, CAST(coalesce(CASE {_LEVELS} END, 0) AS INTEGER) AS level FROM layout_lines")
+def _(s, d):
+    level = assemble.heading_level(F.col("text"), F.col("size"), F.col("bold"), F.col("vendor"))
+    return _lines(s, d).select("vendor", "page", "block", F.coalesce(level, F.lit(0)).alias("level"))
+
+
+#: Parts before and after, as kind and text in turn; "#" stands for the document's number.
+_POSTPROCESSED = (
+    (("p", "1"), ("p", "開く #"), ("p", "2"), ("img", "![x](y)"), ("p", "●項目 #")),
+    (("p", "1. 開く #"), ("p", "2."), ("img", "![x](y)"), ("p", "- 項目 #")),
+    (("p", "■題 #"), ("p", "→ → 参照"), ("p", "a • b # • c d e")),
+    (("p", "**題 #**"), ("p", "→ 参照"), ("p", "- a"), ("p", "- b #"), ("p", "- c d e")),
+    (("p", "文章が途中で切れている場"), ("p", "合の例 #"), ("h", "## x  y")),
+    (("p", "文章が途中で切れている場合の例 #"), ("h", "## x y")),
+)
+_REPAIRED = (
+    (("h", "## 保存 #"), ("p", "x"), ("h", "## 保存 #"), ("p", "を押します")),
+    (("h", "## 保存 #"), ("p", "x"), ("p", "保存 #を押します")),
+    (("p", "開く #(→ 参照"), ("h", "## 先) 2. 次の手順")),
+    (("p", "開く #(→ 参照先)"), ("p", "2. 次の手順")),
+    (("h", "## 3 開く("), ("p", ")を押す #"), ("h", "## 終わります")),
+    (("p", "3. 開く"), ("p", "を押す #"), ("p", "終わります")),
+    (("p", "開きます。2ファイル # を選びます。3つあります。"), ("h", "## a"), ("h", "## a")),
+    (("p", "開きます。"), ("p", "2. ファイル # を選びます。3つあります。"), ("h", "## a")),
+)
+_AS_TEXT = lambda parts: "~".join(f"{k}={t}" for k, t in parts)
+
+
+def _cases_sql(cases) -> str:
+    # Heading marks are no places for the number.
+    after = ", ".join("'" + _AS_TEXT(c).replace("##", "@@") + "'" for c in cases[1::2])
+    return f"WITH {view.BASE_SQL} SELECT doc_id, replace(replace([{after}][doc_id % {len(cases) // 2} + 1], '#', CAST(doc_id AS VARCHAR)), '@@', '##') AS parts FROM layout_base"
+
+
+def _case_rows(s, d, cases, run) -> DataFrame:
+    """Every document's number in one of the cases, and what becomes of it."""
+    number = F.col("doc_id").cast("string")
+    part = lambda k, t: F.struct(F.lit(k).alias("kind"), F.replace(F.lit(t.replace("##", "@@")), F.lit("#"), number).alias("text"))
+    plain = lambda p: F.struct(p["kind"].alias("kind"), F.replace(p["text"], F.lit("@@"), F.lit("##")).alias("text"))
+    choices = F.array(*[F.transform(F.array(*[part(*p) for p in c]), plain) for c in cases[::2]])
+    rows = view._based(_docs(s, d)).select("doc_id", "vendor", choices[F.pmod("doc_id", F.lit(len(cases) // 2)).cast("int")].alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: F.concat(p["kind"], F.lit("="), p["text"])), "~")
+    return assemble.rewritten_parts(rows, run).select("doc_id", text.alias("parts"))
+
+
+@_query("x13_postprocess", _cases_sql(_POSTPROCESSED))
+def _(s, d):
+    return _case_rows(s, d, _POSTPROCESSED, assemble.postprocess)
+
+
+@_query("x14_repair_structure", _cases_sql(_REPAIRED))
+def _(s, d):
+    return _case_rows(s, d, _REPAIRED, lambda _, parts: assemble.repair_structure(parts))
+
+
 # A section of two pages for each document: a table at the foot of one, another at the head of the next, or further down.
 _W11 = "FROM documents WHERE doc_id IS NOT NULL"
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import in_order, running_last
+from ..sources.scratch import materialize
 from .parse import section_slug
 
 
@@ -147,7 +148,7 @@ def build_sections(toc: DataFrame, page_counts: DataFrame, schemes: dict[str, Sc
     contents. A section ends on the next one's first page (``page_counts``: vendor, pages), but
     before a break that comes earlier.
     """
-    rows = toc_chapters(toc)
+    rows = materialize(toc_chapters(toc), "chapters")  # each vendor's sections and breaks are read from it
     found = breaks = None
     for vendor, scheme in schemes.items():
         own = rows.where(F.col("vendor") == vendor)
@@ -193,7 +194,7 @@ def sub_headings(sections: DataFrame, toc: DataFrame) -> DataFrame:
     nexts = {f"next_{k}": F.when(F.col("deep") <= k, F.col("at")) for k in range(1, DEEPEST + 1)}
     entries = running_last(entries, ["vendor"], _stretch("at"), [F.desc("at")], nexts, backwards=True, inclusive=False)
     bound = F.get(F.array(*nexts), F.col("deep") - 1)
-    entries = entries.withColumn("bound", F.coalesce(bound, F.lit(2**31 - 1).cast(dict(toc.dtypes)["pos"]))).drop(*nexts)
+    entries = materialize(entries.withColumn("bound", F.coalesce(bound, F.lit(2**31 - 1).cast(dict(toc.dtypes)["pos"]))).drop(*nexts), "bounded-entries")
     own = sections.select("vendor", F.col("pos").alias("at"), F.struct("slug", "level", F.col("page").alias("begins"), "page_end").alias("s"), F.col("num").endswith(".0").alias("overview"))
     out = None
     for overview in (False, True):
