@@ -85,14 +85,14 @@ def load_maps(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MAP).parquet(path)
 
 
-def append_version(spark: SparkSession, path: str, n: int, shards: list[int]) -> int:
-    """Stores a version after those at ``path`` and returns its number; the ones before stay as they are."""
+def append_versions(spark: SparkSession, path: str, maps: list[tuple[int, list[int]]]) -> list[int]:
+    """Stores maps ``(shards, a shard for each slot)`` after those at ``path``, which stay as they are; their version numbers."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     stored = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-    version = 1 + ((load_maps(spark, path).agg(F.max("version")).first()[0] or 0) if stored else 0)
-    rows = [(version, n, slot, shard) for slot, shard in enumerate(shards)]
+    last = (load_maps(spark, path).agg(F.max("version")).first()[0] or 0) if stored else 0
+    rows = [(last + v, n, slot, shard) for v, (n, shards) in enumerate(maps, 1) for slot, shard in enumerate(shards)]
     spark.createDataFrame(rows, MAP).coalesce(1).write.mode("append").parquet(path)
-    return version
+    return [last + v for v in range(1, len(maps) + 1)]
 
 
 def version_of(maps: DataFrame, version: int) -> list[int]:
@@ -139,7 +139,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str |
     rows = materialize(records(docs, slots), "records")
     loads = {r["vslot"]: r["bytes"] for r in slot_loads(rows).collect()}  # a row for each slot
     even = rebalanced(first, [loads.get(s, 0) for s in range(slots)], shards)
-    one, grows, evens = (append_version(spark, path, n, m) for n, m in ((shards, first), (shards + 1, grown(first, shards)), (shards, even)))
+    one, grows, evens = append_versions(spark, path, [(shards, first), (shards + 1, grown(first, shards)), (shards, even)])
     maps = load_maps(spark, path)
     of = lambda version, name: F.broadcast(maps.where(F.col("version") == version).select("vslot", F.col("shard").alias(name)))
     out = place(rows, maps, one).join(of(grows, "grown_shard"), "vslot").join(of(evens, "rebalanced_shard"), "vslot").withColumn("law", F.lit("key"))

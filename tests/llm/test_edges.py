@@ -131,7 +131,7 @@ def test_versions_of_the_slot_map(spark, docs, words, tmp_path):
         assert (r["shard"], r["grown_shard"], r["rebalanced_shard"]) == (one[r["vslot"]], grown[r["vslot"]], even[r["vslot"]])
     load = lambda name: [sum(r["size"] for r in found if r[name] == k) for k in range(8)]
     assert max(load("rebalanced_shard")) - min(load("rebalanced_shard")) < max(load("shard")) - min(load("shard"))
-    assert sharding.append_version(spark, path, 8, even) == 4 and sharding.version_of(sharding.load_maps(spark, path), 1) == one
+    assert sharding.append_versions(spark, path, [(8, even)]) == [4] and sharding.version_of(sharding.load_maps(spark, path), 1) == one
     # Numbered as a plain count within each shard: by virtual slot, then doc_id.
     for k in range(8):
         own = sorted((r["vslot"], r["doc_id"]) for r in found if r["shard"] == k)
