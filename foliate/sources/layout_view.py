@@ -60,11 +60,12 @@ def page_counts(documents: DataFrame) -> DataFrame:
 def spans(documents: DataFrame) -> DataFrame:
     """A block for each line of text, a span for each of its halves; some lines in the margin or upright.
 
-    A section's first blocks are its title and a heading, its last one begins with another heading.
+    A section's first blocks are its title, as the table of contents has it (but for appendices), and a heading, its last one begins with another heading.
     Its lines fill four pages; the more there are, the closer they stand.
     """
     numbered = lambda before, after="": F.array(F.concat(F.lit(before), F.col("doc_id").cast("string"), F.lit(after)))
-    lines = F.concat(numbered("Section "), numbered("Topic "), F.split("text", "\n"), numbered("More on ", " in short"))
+    title = F.concat(F.col("ch").cast("string"), F.when(F.col("vendor") == "alpha", ".").otherwise("-"), (F.col("se") + 1).cast("string"), F.lit(" Section "), F.col("doc_id").cast("string"))
+    lines = F.concat(F.array(title), numbered("Topic "), F.split("text", "\n"), numbered("More on ", " in short"))
     rows = _based(documents).withColumn("lines", lines).withColumn("per", F.greatest(F.lit(BLOCKS_ON_A_PAGE), F.ceil(F.size("lines") / PAGES)).cast("long"))
     rows = rows.select("vendor", "doc_id", "page", "per", F.posexplode("lines").alias("n", "line"))
     half = F.floor(F.length("line") / 2).cast("int")
@@ -103,7 +104,7 @@ layout_lines AS (
     CASE WHEN NOT regexp_matches(x, '[^ \\t\\r\\f\\x0B]') THEN 0.0 WHEN n = 0 THEN 18.0 WHEN n % 9 = 8 THEN 13.5 ELSE 10.0 END::DOUBLE AS size, n % 9 = 8 AND regexp_matches(x, '[^ \\t\\r\\f\\x0B]') AS bold
   FROM (SELECT *, {BODY_HEIGHT}::DOUBLE / per AS step FROM (
     SELECT vendor, doc_id, page, unnest(l) AS x, unnest(range(len(l))) AS n, greatest({BLOCKS_ON_A_PAGE}, CAST(ceil(len(l) / {PAGES}) AS BIGINT)) AS per
-    FROM (SELECT *, list_concat(list_concat(['Section ' || CAST(doc_id AS VARCHAR), 'Topic ' || CAST(doc_id AS VARCHAR)], string_split(text, chr(10))), ['More on ' || CAST(doc_id AS VARCHAR) || ' in short']) AS l FROM layout_base)))
+    FROM (SELECT *, list_concat(list_concat([CAST(ch AS VARCHAR) || CASE vendor WHEN 'alpha' THEN '.' ELSE '-' END || CAST(se + 1 AS VARCHAR) || ' Section ' || CAST(doc_id AS VARCHAR), 'Topic ' || CAST(doc_id AS VARCHAR)], string_split(text, chr(10))), ['More on ' || CAST(doc_id AS VARCHAR) || ' in short']) AS l FROM layout_base)))
 ),
 layout_boxes AS ({BOXES_SQL})"""
 
