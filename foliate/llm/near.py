@@ -1,22 +1,75 @@
-"""Near copies of whole documents: MinHash banding, exact Jaccard, components.
+"""SimHash near-duplicates by similarity: long fingerprints in BK-trees, then exact Jaccard.
 
 Two documents are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8
-or more. Equal word sequences are looked at once. The others meet in the buckets of their MinHash
-bands, where the exact similarity decides, as for paragraphs.
+or more. Sets of similarity s, of about one size, share c = 2s / (1 + s) of their shingles, and each
+bit of their fingerprints differs with a probability of arccos(c) / pi: at 0.8 about 15 %. That is
+too many of 64 bits for the exact shards of ``simhash.links``. So the fingerprints have ``BITS``
+bits, and a shard is the fingerprints that agree on a fixed choice of bits; there are so many
+choices that a pair of the least similarity meets in one with a probability of ``RECALL``. The
+choices take more bits the more fingerprints there are, so that shards stay small.
+
+In every shard a BK-tree, as for ``simhash``, links what lies within ``radius``. The exact similarity
+decides within the components of these links. Equal word sequences are looked at once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize, mixed, packed, powers, row_keys, slices, text_bytes
-from .paragraphs import BUCKET_PARAGRAPHS, RECALL, SHINGLE_WORDS, SIMILARITY, SLICE_BYTES, Words, _links, _minhashes, _shingles, _shingles_of_rows, bands
-from .simhash import first_rows
+from .paragraphs import BUCKET_PARAGRAPHS, RECALL, SHINGLE_WORDS, SIMILARITY, SLICE_BYTES, Words, _links, _shingles
+from .simhash import SHINGLES_AT_ONCE, TREE_NODES, first_rows, search
+
+BITS = 128
+#: Unrelated fingerprints that a shard is meant to hold, as a power of two.
+SHARD_POWER = 5
+LEAST_KEY_BITS = 8
+
+
+def differing(similarity: float) -> float:
+    """The share of bits at which fingerprints of this similarity are expected to differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def radius(similarity: float = SIMILARITY, bits: int = BITS) -> int:
+    """Two and a half deviations above the bits expected to differ."""
+    p = differing(similarity)
+    return math.ceil(bits * p + 2.5 * math.sqrt(bits * p * (1 - p)))
+
+
+def key_bits(n: int) -> int:
+    """Bits of a shard's key for n fingerprints."""
+    return max(LEAST_KEY_BITS, n.bit_length() - SHARD_POWER)
+
+
+def choices(size: int, similarity: float = SIMILARITY, recall: float = RECALL) -> list[list[int]]:
+    """Sets of ``size`` bits, so many that a pair of this similarity agrees on one with a probability of ``recall``."""
+    meets = (1 - differing(similarity)) ** size
+    rng, out = np.random.default_rng(11), []
+    while len(out) < math.log(1 - recall) / math.log(1 - meets):
+        if len(out) % (BITS // size) == 0:
+            order = rng.permutation(BITS).tolist()
+        at = len(out) % (BITS // size) * size
+        out.append(sorted(order[at : at + size]))
+    return out
+
+
+def _signed(bits: list[int]) -> Column:
+    mask = sum(1 << i for i in bits)
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask)
+
+
+def _shard_keys(chosen: list[list[int]]) -> list[Column]:
+    return [
+        F.xxhash64(F.col("low").bitwiseAND(_signed([i for i in own if i < 64])), F.col("high").bitwiseAND(_signed([i - 64 for i in own if i >= 64])), F.lit(number))
+        for number, own in enumerate(chosen)
+    ]
 
 
 def _contents(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -26,63 +79,80 @@ def _contents(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mixed((sums[first[1:]] - sums[first[:-1]]) * down[first[:-1]] + np.diff(first).astype(np.uint64))
 
 
-def _sketches(rows: DataFrame, shape: tuple[int, int]) -> DataFrame:
-    """``(k1, k2, doc_id, fp, bands)`` of all texts; fp is equal for equal words, a text of fewer words than a shingle has itself as its only one."""
-    count, height = shape
-    names = ["k1", "k2", "doc_id", "fp", "bands"]
+def _shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """``(start, contents, sets)`` of some texts at a time; a text of fewer words than a shingle has itself as its only one."""
+    raw, offsets = text_bytes(texts)
+    for i, j in slices(offsets, SLICE_BYTES):
+        words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        content, first = _contents(words.hashes, words.first), words.first.tolist()
+        yield i, content, [np.unique(own) if len(own := _shingles(words.hashes[a:b], SHINGLE_WORDS)) else content[t : t + 1] for t, (a, b) in enumerate(zip(first, first[1:], strict=False))]
+
+
+def _fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """``BITS`` bits as two numbers; a bit is set if it is set in over half the shingles' hashes."""
+    count = np.zeros(BITS, np.int64)
+    for at in range(0, len(shingles), SHINGLES_AT_ONCE):
+        part = shingles[at : at + SHINGLES_AT_ONCE]
+        both = np.column_stack([mixed(part + np.uint64(k)) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F)])
+        count += np.unpackbits(both.view(np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(2 * count > len(shingles), bitorder="little").view(np.uint64)
+
+
+def _sketches(rows: DataFrame) -> DataFrame:
+    """``(k1, k2, doc_id, fp, low, high)`` of all texts; fp is equal for equal words, low and high are the fingerprint."""
+    names = ["k1", "k2", "doc_id", "fp", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = text_bytes(batch.column("text"))
-            for i, j in slices(offsets, SLICE_BYTES):
-                words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                content = _contents(words.hashes, words.first)
-                shingles = _shingles(words.hashes, SHINGLE_WORDS)
-                short = np.diff(words.first) < SHINGLE_WORDS
-                begin = np.where(short, len(shingles) + np.cumsum(short) - 1, words.first[:-1])
-                end = np.where(short, begin + 1, words.first[1:] - SHINGLE_WORDS + 1)
-                small = _minhashes(np.concatenate([shingles, content[short]]), begin, end, count * height)
-                keys = [_shingles_of_rows(small[:, b * height : (b + 1) * height], b) for b in range(count)]
-                flat = pa.array(np.column_stack(keys).reshape(-1).view(np.int64))
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * count, pa.int32()), flat)
-                columns = [*(batch.column(c).slice(i, j - i) for c in ("k1", "k2", "doc_id")), pa.array(content.view(np.int64)), listed]
+            for i, content, sets in _shingle_sets(batch.column("text")):
+                found = np.array([_fingerprint(own) for own in sets], np.uint64).reshape(-1, 2).view(np.int64)
+                columns = [batch.column(c).slice(i, len(sets)) for c in ("k1", "k2", "doc_id")]
+                columns += [pa.array(content.view(np.int64)), pa.array(found[:, 0]), pa.array(found[:, 1])]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.select("k1", "k2", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "k1 long, k2 long, doc_id long, fp long, bands array<long>")
+    return rows.select("k1", "k2", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """``(content, shingles)`` from ``(fp, text)``."""
+    """``(content, shingles)`` from ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = text_bytes(batch.column("text"))
-            for i, j in slices(offsets, SLICE_BYTES):
-                words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                content, first = _contents(words.hashes, words.first), words.first.tolist()
-                sets = [np.unique(own) if len(own := _shingles(words.hashes[a:b], SHINGLE_WORDS)) else content[t : t + 1] for t, (a, b) in enumerate(zip(first, first[1:], strict=False))]
+            for _, content, sets in _shingle_sets(batch.column("text")):
                 ends = np.cumsum([0, *map(len, sets)])
                 listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("fp").slice(i, j - i), listed], names=["content", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), listed], names=["content", "shingles"])
+
+    return rows.select("text").mapInArrow(run, "content long, shingles array<long>")
+
 
-    return rows.select("fp", "text").mapInArrow(run, "content long, shingles array<long>")
+def groups(unique: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """``(fp, group)`` of the texts ``(fp, low, high)`` whose fingerprints have links to others, or equal ones."""
+    node = F.xxhash64("low", "high")
+    prints = unique.select("low", "high").distinct()
+    keys = _shard_keys(choices(key_bits(unique.count()), similarity, recall))
+    found = search(prints.select("low", "high", F.explode(F.array(*keys)).alias("shard")), ("low", "high"), radius(similarity), tree_nodes)
+    edges = found.select(F.xxhash64("a_low", "a_high").alias("a"), F.xxhash64("b_low", "b_high").alias("b"))
+    labels = components(edges).withColumnRenamed("label", "root")
+    grouped = unique.select("fp", node.alias("node")).join(labels, "node", "left").select("fp", F.coalesce("root", "node").alias("group"))
+    several = materialize(grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "groups")
+    return grouped.join(several, "group")
 
 
-def representatives(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, bucket: int = BUCKET_PARAGRAPHS) -> DataFrame:
+def representatives(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, bucket: int = BUCKET_PARAGRAPHS, tree_nodes: int = TREE_NODES) -> DataFrame:
     """The rows of ``docs``, one of each component of near copies: that with the smallest doc_id.
 
-    A pair of the least similarity meets with a probability of ``recall`` or more. Texts without
-    words are equal. Ties are settled as in ``simhash.representatives``.
+    A pair of the least similarity meets with a probability of about ``recall``; texts of a few words
+    meet less surely. Texts without words are equal. Ties are settled as in ``simhash.representatives``.
     """
     rows = packed(docs, "doc_id", "text").select("*", *row_keys())
-    found = materialize(_sketches(rows, bands(similarity, recall)), "sketches")
-    place = F.struct("k1", "k2")
-    unique = materialize(found.groupBy("fp").agg(F.min(F.struct(place.alias("place"), "bands")).alias("own")), "unique-documents")
-    banded = unique.select(F.col("fp").alias("content"), F.explode("own.bands").alias("band")).distinct()
-    shared = materialize(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared-band-keys")
-    banded = materialize(banded.join(shared, "band"), "shared-bands")
-    wanted = unique.join(banded.select(F.col("content").alias("fp")).distinct(), "fp", "left_semi").select("own.place.k1", "own.place.k2", "fp")
+    found = materialize(_sketches(rows), "sketches")
+    unique = found.groupBy("fp").agg(F.min(F.struct("k1", "k2", "low", "high")).alias("own")).select("fp", "own.*")
+    unique = materialize(unique, "unique-documents")
+    grouped = materialize(groups(unique, similarity, recall, tree_nodes), "grouped-documents")
+    wanted = unique.join(grouped.select("fp"), "fp", "left_semi").select("k1", "k2")
     sets = materialize(_sets(rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"])).dropDuplicates(["content"]), "shingle-sets")
-    labels = components(_links(banded.join(sets, "content"), similarity, bucket)).select(F.col("node").alias("fp"), F.col("label").alias("root"))
+    met = grouped.select(F.col("fp").alias("content"), F.col("group").alias("band"))
+    labels = components(_links(met.join(sets, "content"), similarity, bucket)).select(F.col("node").alias("fp"), F.col("label").alias("root"))
     roots = unique.select("fp").join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return first_rows(rows, found, roots)

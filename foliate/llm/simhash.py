@@ -148,18 +148,29 @@ def links(nodes: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES,
     """
     keys = shard_keys(blocks or shard_blocks(nodes.count(), radius, tree_nodes), radius)
     placed = nodes.select("fp", F.explode(F.array(*keys)).alias("shard"))
+    return search(placed, ("fp",), radius, tree_nodes).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct()
+
+
+def search(placed: DataFrame, words: tuple[str, ...], radius: int, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """Edges ``(a_<word>, b_<word>)`` between fingerprints of a shard, enough to connect all within the radius.
+
+    ``placed`` has a row for each shard of each distinct fingerprint: ``shard`` and the long columns
+    ``words`` that make up the fingerprint.
+    """
     sizes = placed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard", F.ceil(F.col("n") / tree_nodes).cast("int").alias("trees"))
-    dealt = placed.join(sizes, "shard").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
+    dealt = placed.join(sizes, "shard").withColumn("own", F.pmod(F.xxhash64(*words), F.col("trees")).cast("int"))
     # Its own tree comes first in `tree`; each later tree only looks it up.
     dealt = dealt.withColumn("tree", F.explode(F.sequence("own", F.col("trees") - 1)))
-    dealt = dealt.select("shard", "tree", (F.col("own") != F.col("tree")).cast("int").alias("guest"), "fp")
-    dealt = dealt.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "guest", "fp")
+    dealt = dealt.select("shard", "tree", (F.col("own") != F.col("tree")).cast("int").alias("guest"), *words)
+    dealt = dealt.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "guest", *words)
+    names = [f"{end}_{word}" for end in "ab" for word in words]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, at = BKTree(radius), None
+        tree, at, low = BKTree(radius), None, (1 << 64) - 1
         for batch in batches:
             out: list[tuple[int, int]] = []
-            values = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64).tolist()
+            parts = [batch.column(w).to_numpy(zero_copy_only=False).view(np.uint64).tolist() for w in words]
+            values = [sum(v << 64 * k for k, v in enumerate(own)) for own in zip(*parts, strict=True)] if len(words) > 1 else parts[0]
             for shard, part, guest, x in zip(batch.column("shard").to_pylist(), batch.column("tree").to_pylist(), batch.column("guest").to_pylist(), values, strict=True):
                 if (shard, part) != at:
                     tree, at = BKTree(radius), (shard, part)
@@ -167,10 +178,10 @@ def links(nodes: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES,
                     out += [(x, tree.value[i]) for i in tree.touched(x)]
                 else:
                     out += [(x, y) for y in tree.add(x)]
-            pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            columns = [[pair[end] >> 64 * k & low for pair in out] for end in (0, 1) for k in range(len(words))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns], names=names)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _roots(prints: DataFrame, radius: int) -> DataFrame:

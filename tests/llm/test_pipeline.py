@@ -4,7 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 import corpus_pipeline
-from foliate.llm import decontam, mixing, quality, simhash
+from foliate.llm import decontam, mixing, near, quality, simhash
 
 
 def tables(tmp_path, words):
@@ -90,3 +90,29 @@ def test_near_copies_at_a_similarity_of_eight_tenths_go(spark, docs, words):
         want.add(200 + k)
     found = corpus_pipeline.near_duplicate_stage(spark, docs(rows).repartition(3), "")
     assert {r["doc_id"] for r in found.collect()} == want
+
+
+def test_choices_of_bits_meet_as_often_as_they_promise():
+    for n in (0, 1000, 250_000, 20_000_000):
+        size = near.key_bits(n)
+        chosen = near.choices(size)
+        assert all(len(set(own)) == size and max(own) < near.BITS for own in chosen)
+        assert 1 - (1 - (1 - near.differing(0.8)) ** size) ** len(chosen) >= near.RECALL
+    assert near.differing(1.0) == 0 and near.differing(0.8) * near.BITS < near.radius() < near.BITS // 2
+
+
+def test_recall_at_the_threshold_whatever_the_trees(spark, docs, words):
+    r = random.Random(8)
+    rows = []
+    for k in range(300):
+        base = words(240, 5000 + k).split()
+        copy = list(base)
+        for at in r.sample(range(10, 230, 10), 5):  # five changed words: 25 of 236 shingles, Jaccard 0.81
+            copy[at] = f"other{k}x{at}"
+        rows += [(k, " ".join(base)), (1000 + k, " ".join(copy))]
+    kept = {}
+    for nodes in (20_000, 3):
+        kept[nodes] = {x["doc_id"] for x in near.representatives(docs(rows), tree_nodes=nodes).collect()}
+        assert set(range(300)) <= kept[nodes]  # none falls without its copy
+        assert len(kept[nodes]) <= 300 + 300 * 0.03
+    assert kept[3] == kept[20_000]
