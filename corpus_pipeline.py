@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, five-word Jaccard 0.8 or more; SimHash and its 4 bits are op1's contract."""
+    """One document of each component of near copies, five-word Jaccard 0.8 or more, found by SimHash fingerprints in BK-trees."""
     tune(spark)
     return near.representatives(docs.select(*COLUMNS))
 
@@ -50,7 +50,7 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: The classifier, MinHash and the index are beyond SQL. Tests hold each stage against the operator that it calls, and
+#: The classifier, BK-trees and the index are beyond SQL. Tests hold each stage against the operator that it calls, and
 #: the operators against brute force (mixing: against its margins; the classifier: against held-out labels).
 ORACLE_SQL = None
 
