@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, paragraphs, quality, secrets, sharding, simhash, suffix, topk
+from . import decontam, divergence, langid, mixing, paragraphs, quality, secrets, sharding, simhash, suffix, topk
 from .common import documents, tune
 
 
@@ -59,6 +59,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_exact_topk": op2_exact_topk,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_compression_quality": op8_compression_quality,
     "op9_repeated_strings": op9_repeated_strings,
     "op10_sharding": op10_sharding,
+    "op12_divergence": op12_divergence,
 }
 
-SQL: dict[str, str] = {"op2_exact_topk": topk.NEIGHBOURS_SQL, "op3_mixing": mixing.mix_sql()}
+SQL: dict[str, str] = {"op2_exact_topk": topk.NEIGHBOURS_SQL, "op3_mixing": mixing.mix_sql(), "op12_divergence": divergence.audit_sql()}
