@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, divergence, langid, mixing, paragraphs, quality, secrets, sharding, simhash, suffix, topk
+from . import decontam, divergence, fingerprints, langid, mixing, paragraphs, quality, secrets, sharding, simhash, suffix, topk
 from .common import documents, tune
 
 
@@ -63,6 +63,11 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return fingerprints.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_exact_topk": op2_exact_topk,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeated_strings": op9_repeated_strings,
     "op10_sharding": op10_sharding,
     "op12_divergence": op12_divergence,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 SQL: dict[str, str] = {"op2_exact_topk": topk.NEIGHBOURS_SQL, "op3_mixing": mixing.mix_sql(), "op12_divergence": divergence.audit_sql()}
