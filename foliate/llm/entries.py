@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, divergence, fingerprints, langid, mixing, paragraphs, quality, secrets, sharding, simhash, suffix, topk
+from ..sources.tables import read_table
+from . import decontam, divergence, fingerprints, langid, mixing, paragraphs, quality, repair, secrets, sharding, simhash, suffix, topk
 from .common import documents, tune
 
 
@@ -59,6 +60,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return repair.repair(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_compression_quality": op8_compression_quality,
     "op9_repeated_strings": op9_repeated_strings,
     "op10_sharding": op10_sharding,
+    "op11_repair": op11_repair,
     "op12_divergence": op12_divergence,
     "op13_fingerprints": op13_fingerprints,
 }
