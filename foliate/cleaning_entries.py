@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions.text import lines
 from .jobs import polish as polish_job
 from .operators import audit, blocks, clean, index, parse, toc
+from .sources import corpus
 from .sources import japanese_view as view
 from .sources import pages as sources
 from .sources.scratch import scratch_path
@@ -38,9 +39,11 @@ def _pages(s, d):
 
 
 # ---- lines. ``own`` is the document's text with its lines trimmed on the right, ``bare`` its blocks.
+_LINED = "regexp_replace({}, '[ \\t\\r\\f\\x0B]+(\\n|$)', '\\1', 'g')".format
+_bare = lambda x: f"regexp_replace(regexp_replace(regexp_replace({_LINED(x)}, '\\n{{2,}}', chr(10) || chr(10), 'g'), '^\\n+', ''), '\\n+$', '')"
 _CASES = f"""WITH c AS ({view.CASES_SQL}),
-t AS (SELECT *, regexp_replace(own, '[ \\t\\r\\f\\x0B]+(\\n|$)', '\\1', 'g') AS lined FROM c),
-b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lined, '\\n{{2,}}', chr(10) || chr(10), 'g'), '^\\n+', ''), '\\n+$', '') AS bare FROM t)
+t AS (SELECT *, {_LINED("own")} AS lined, {_bare("own")} AS bare FROM c),
+b AS (SELECT * FROM t)
 """
 _JP, _GAP = "぀-ヿ㐀-鿿々〆ヶー", "[ \\t　]+"
 _SPACING = (
@@ -113,24 +116,27 @@ def _(s, d):
     return blocks.polish_bodies(_bodies(s, d))
 
 
-# Pages without front matter follow each other by slug; the rules of the overlap are C1's.
+# Pages without front matter follow each other by slug; the rules of the overlap are C1's. A page that is cut loses its case.
 _POLISHED = f""", l AS (SELECT *, string_split(own || chr(10) || chr(10) || before, chr(10)) AS l FROM b),
 a AS (SELECT *, list_filter(list_transform(l, lambda x: trim(x, ' \t')), lambda x: x <> '' AND NOT regexp_matches(x, '^(#|\\||!\\[|---)') AND length(regexp_replace(x, '[*_`]', '', 'g')) >= 12)[1] AS anchor FROM l),
 n AS (SELECT *, lead(anchor) OVER (PARTITION BY vendor ORDER BY slug) AS next_anchor FROM a),
 o AS (SELECT *, list_max(list_filter(range(1, len(l) + 1), lambda i: trim(l[i], ' \t') = next_anchor AND i - 1 >= greatest(8, CAST(floor(len(l) * 0.52) AS BIGINT)))) AS cut FROM n),
-p AS (SELECT vendor, slug, cut IS NOT NULL AS overlap, own || chr(10) || chr(10) || before || chr(10) AS was, chr(10) || {_PAGE("joined")} || chr(10) AS text, c1, c2, c3, c4, c5 FROM o)
+q AS (SELECT *, regexp_replace(list_aggregate(l[1:cut - 1], 'string_agg', chr(10)), '\\s+$', '') AS left_over FROM o),
+p AS (SELECT vendor, slug, cut IS NOT NULL AS overlap, coalesce(left_over, own || chr(10) || chr(10) || before) || chr(10) AS was,
+  chr(10) || CASE WHEN cut IS NULL THEN {_PAGE("joined")} ELSE {_bare("left_over")} END || chr(10) AS text,
+  {", ".join(f"CASE WHEN cut IS NULL THEN c{k} ELSE 0 END AS c{k}" for k in range(1, 6))} FROM q)
 """
 
 
-@_query("c13_japanese_polish", _CASES + _POLISHED + f"SELECT vendor, slug, text, text <> was AS changed, {_COUNTS} FROM p WHERE NOT overlap")
+@_query("c13_japanese_polish", _CASES + _POLISHED + f"SELECT vendor, slug, text, text <> was AS changed, {_COUNTS} FROM p")
 def _(s, d):
     done = polish_job.polish(_pages(s, d).select("vendor", "slug", "text"))
-    return done.where("not overlap").select("vendor", "slug", "text", "changed", *blocks.COUNTERS)
+    return done.select("vendor", "slug", "text", "changed", *blocks.COUNTERS)
 
 
-@_query("a6_japanese_totals", _CASES + _POLISHED + "SELECT " + ", ".join(f"CAST(sum(c{k}) AS BIGINT) AS {name}" for k, name in enumerate(blocks.COUNTERS, 1)) + ", count(*) FILTER (overlap) AS overlaps, count(*) FILTER (text <> was) AS changed_pages FROM p WHERE NOT overlap")
+@_query("a6_japanese_totals", _CASES + _POLISHED + "SELECT " + ", ".join(f"CAST(sum(c{k}) AS BIGINT) AS {name}" for k, name in enumerate(blocks.COUNTERS, 1)) + ", count(*) FILTER (overlap) AS overlaps, count(*) FILTER (text <> was) AS changed_pages FROM p")
 def _(s, d):
-    return blocks.counter_totals(polish_job.polish(_pages(s, d).select("vendor", "slug", "text")).where("not overlap"))
+    return polish_job.counted(polish_job.polish(_pages(s, d).select("vendor", "slug", "text")))[1]
 
 
 # ---- rules that Latin text does not break
@@ -164,11 +170,13 @@ def _(s, d):
     return _bytes(s, d).select("slug", sources.decode_replace(F.col("content")).alias("text"))
 
 
-@_query("s4_write_pages", _CASES + _POLISHED + "SELECT vendor, slug, text FROM p WHERE text <> was AND NOT overlap")
+@_query("s4_write_pages", _CASES + _POLISHED + "SELECT vendor, slug, text FROM p")
 def _(s, d):
-    path = scratch_path(s, "written-pages")
-    sources.write_pages(polish_job.polish(_pages(s, d).select("vendor", "slug", "text")).where("not overlap"), path)
-    return s.read.parquet(path).select("vendor", "slug", "text")
+    """The corpus as it was, then the cleaned pages merged into it."""
+    path, pages = scratch_path(s, "corpus"), _pages(s, d).select("vendor", "slug", "text")
+    corpus.merge_pages(pages, path)
+    polish_job.run(corpus.read_corpus(s, path), path)
+    return corpus.read_corpus(s, path)
 
 
 _ENTRIES = "SELECT vendor, slug, 'setup' AS cat, CAST(doc_id AS VARCHAR) AS num FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END AS vendor, 'p' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS slug FROM documents WHERE text IS NOT NULL)"

@@ -26,11 +26,6 @@ def decode_replace(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def write_pages(df: DataFrame, out: str) -> None:
-    """Changed pages as a table, a folder for each vendor."""
-    df.where("changed").select("vendor", "slug", "text").write.mode("overwrite").partitionBy("vendor").parquet(out)
-
-
 def write_nav(nav: DataFrame, out: str) -> None:
     nav.write.mode("overwrite").json(out)
 
