@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from .dims import CATEGORIES, VENDORS, Site, categories, labelled, vendors
 from .jobs import polish as polish_job
-from .operators import audit, blocks, clean, index, parse, search, site, toc
+from .operators import audit, blocks, clean, index, parse, postings, search, site, toc
 from .sources.pages import BRIDGE_SQL, bridge, bridge_images
-from .sources.scratch import materialize
+from .sources.scratch import materialize, scratch_path
 from .sources.tables import read_table
 
 SITE = Site()
 SEARCH = "the 1 section"
 SEARCHES = ((1, "the 1 section"), (2, "Section 7"), (3, "setup"), (4, "of of 2-1"), (5, "and"))
+#: Terms of one and two characters, rare ones, accents, terms of no document.
+MORE_SEARCHES = ((6, "1"), (7, "é th"), (8, "section 12 overview"), (9, "zzz the"), (10, "-1 ion"), (11, "Ändern é"), (12, "ti on 3"), (13, "q"))
+RARE = "section 12 ing"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -44,6 +47,13 @@ def _search_index(spark: SparkSession, d: str) -> DataFrame:
     return materialize(search.prepared(_search_docs(spark, d)), "search-index")
 
 
+def _postings(spark: SparkSession, d: str) -> str:
+    """The posting index of the search documents."""
+    path = scratch_path(spark, "search-postings")
+    postings.write_index(search.prepared(_search_docs(spark, d)), path)
+    return path
+
+
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -242,6 +252,16 @@ def _(s, d):
     return search.top_each(_search_index(s, d), s.createDataFrame(list(SEARCHES), "query_id int, query string"))
 
 
+@_query("f1_search_indexed", f"SELECT vendor, slug, CAST({_search_sql(RARE)[1]} AS INTEGER) AS score FROM docs WHERE vendor = 'beta' AND {_search_sql(RARE)[0]}")
+def _(s, d):
+    return postings.match(s, _postings(s, d), RARE, "beta").select("vendor", "slug", "score")
+
+
+@_query("k1_search_indexed", " UNION ALL ".join(f"SELECT * FROM (SELECT {i} AS query_id, CAST(row_number() OVER (ORDER BY {_search_sql(q)[1]} DESC, vendor, ka, kb, slug) AS INTEGER) AS rank, vendor, slug, CAST({_search_sql(q)[1]} AS INTEGER) AS score, '/' || vendor || '/' || slug AS route FROM docs WHERE {_search_sql(q)[0]}) WHERE rank <= 30" for i, q in (*SEARCHES, *MORE_SEARCHES)))
+def _(s, d):
+    return postings.top_each(s, _postings(s, d), s.createDataFrame([*SEARCHES, *MORE_SEARCHES, (99, "  ")], "query_id int, query string"))
+
+
 @_query("j1_with_search_doc", "SELECT e.vendor, e.slug, e.num, d.excerpt FROM entries e LEFT JOIN docs d USING (vendor, slug)")
 def _(s, d):
     return site.with_search_doc(_entries(s, d), _search_docs(s, d)).select("vendor", "slug", "num", "excerpt")
