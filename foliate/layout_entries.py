@@ -250,6 +250,14 @@ filled AS (SELECT *, list_transform(range(h * 3), lambda i: CASE WHEN i = 6 AND
 """
 
 
+@_query("x3_damaged_tables", f"WITH {view.BASE_SQL}, {view.LINES_SQL}, {view.DAMAGED_SQL} SELECT vendor, page, number, CAST(row_number() OVER (PARTITION BY vendor, page, number ORDER BY r) - 1 AS INTEGER) AS r, list_aggregate(list(text ORDER BY c), 'string_agg', '|') AS cells FROM rebuilt GROUP BY vendor, page, number, r")
+def _(s, d):
+    """Tables rebuilt from their edges, the texts of missing cells from loose lines."""
+    docs = _docs(s, d)
+    found = tables.tables_of_pages(view.damaged_cells(docs), view.damaged_lines(docs), view.boxes(docs).limit(0))
+    return found.where("kind = 'table'").select("vendor", "page", "number", F.posexplode("rows").alias("r", "own")).select("vendor", "page", "number", "r", F.array_join("own", "|").alias("cells"))
+
+
 @_query("w13_table_texts", _LAY + _GRID + """SELECT vendor, page, 1 AS number, CAST(h AS INTEGER) AS n_rows, CAST(width AS INTEGER) AS n_columns,
   list_aggregate(list_transform(range(h), lambda r: list_aggregate(c[r * 3 + 1 : r * 3 + width], 'string_agg', '|')), 'string_agg', chr(10)) AS grid FROM filled""")
 def _(s, d):

@@ -145,3 +145,41 @@ def cells(documents: DataFrame) -> DataFrame:
     rect = lambda v: F.when(~merged, v)
     text = F.when(merged, "").otherwise(F.col("word"))
     return grid.select("vendor", "page", F.when(second, 2).otherwise(1).alias("table"), r.cast("int").alias("r"), "c", text.alias("text"), rect(left).alias("x0"), rect(top).alias("y0"), rect(left + 100).alias("x1"), rect(top + step * tall).alias("y1"))
+
+
+# ---- tables that a parser has read with gaps
+DAMAGED_STEP, DAMAGED_ROWS, DAMAGED_APART = 12.0, 150, 100.0
+#: A cell that is missing, by its row in the table and its column; and whether its text goes on in the row below.
+_MISSING, _GOES_ON = "c = doc_id % 3 AND r % 5 IN (1, 2)", "doc_id % 4 = 1 AND c = doc_id % 3 AND r % 5 = 1"
+
+
+def _damaged(documents: DataFrame) -> DataFrame:
+    """All words of each document in tables of three columns and at most 150 rows, one below the other on the section's first page; without the missing cells' rectangles."""
+    rows = _fitted(documents).where("n_cells > 0").withColumn("all", F.concat("cells", F.array_repeat(F.lit("-"), F.pmod(-F.col("n_cells"), F.lit(COLUMNS)).cast("int"))))
+    rows = rows.select("vendor", "page", "doc_id", F.posexplode("all").alias("i", "word")).withColumns({"row": F.floor(F.col("i") / COLUMNS).cast("int"), "c": (F.col("i") % COLUMNS).cast("int")})
+    rows = rows.withColumns({"table": F.floor(F.col("row") / DAMAGED_ROWS).cast("int") + 1, "r": F.pmod("row", F.lit(DAMAGED_ROWS))})
+    top = F.lit(DAMAGED_APART) + (F.col("table") - 1) * (DAMAGED_ROWS * DAMAGED_STEP + DAMAGED_APART) + F.col("r") * DAMAGED_STEP
+    return rows.select("vendor", "page", "doc_id", "table", "r", "c", F.concat("word", F.when(F.expr(_GOES_ON), "、").otherwise("")).alias("text"), (60.0 + F.col("c") * 100.0).alias("x"), top.alias("y"), F.expr(_MISSING).alias("missing"))
+
+
+def damaged_cells(documents: DataFrame) -> DataFrame:
+    """The cells that a parser found: vendor, page, table, r, c, text, x0 to y1."""
+    found = _damaged(documents).where("not missing")
+    return found.select("vendor", "page", "table", "r", "c", "text", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 100).alias("x1"), (F.col("y") + DAMAGED_STEP).alias("y1"))
+
+
+def damaged_lines(documents: DataFrame) -> DataFrame:
+    """The texts of the missing cells, as loose lines where these would be."""
+    found = _damaged(documents).where("missing")
+    return found.select("vendor", "page", F.col("x").alias("x0"), (F.col("y") + 1).alias("y0"), (F.col("x") + 100).alias("x1"), (F.col("y") + DAMAGED_STEP - 1).alias("y1"), F.lit(1.0).alias("dir_x"), "text")
+
+
+#: ``(vendor, page, number, r, cells)``: the rows of those tables, rebuilt. In a run of two missing cells whose text goes on, both have all of it.
+DAMAGED_SQL = f"""damaged AS (
+  SELECT *, CAST(row // {DAMAGED_ROWS} AS INTEGER) + 1 AS number, CAST(row % {DAMAGED_ROWS} AS INTEGER) AS r FROM (
+    SELECT vendor, page, doc_id, i // {COLUMNS} AS row, i % {COLUMNS} AS c, word FROM (
+      SELECT vendor, page, doc_id, unnest(l) AS word, unnest(range(len(l))) AS i FROM (
+        SELECT *, list_concat(cells, list_transform(range(({COLUMNS} - n_cells % {COLUMNS}) % {COLUMNS}), lambda x: '-')) AS l FROM layout_words WHERE n_cells > 0)))),
+rebuilt AS (
+  SELECT a.*, CASE WHEN doc_id % 4 = 1 AND c = doc_id % 3 AND r % 5 = 1 THEN a.word || '、' || coalesce(below, '') WHEN doc_id % 4 = 1 AND c = doc_id % 3 AND r % 5 = 2 THEN above || '、' || a.word ELSE a.word END AS text
+  FROM (SELECT *, lead(word) OVER w AS below, lag(word) OVER w AS above FROM damaged WINDOW w AS (PARTITION BY doc_id, number, c ORDER BY r)) a)"""
