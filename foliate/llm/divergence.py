@@ -10,7 +10,10 @@ it. No pair ever meets a term that neither has.
 from __future__ import annotations
 
 import string
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCUMENTS = 10
 #: What shares are multiplied by, and the counts added to each term.
 SCALE, ADDED = 1_000_000_000, 2
+#: Counts that a task holds before it passes them on.
+ENTRIES = 300_000
 #: Terms told of each source.
 TOP = 10
 PAIR, TERMS = "pair", "term"
@@ -38,16 +43,40 @@ def gap(p: str, q: str) -> str:
     return f"(({p} - {q}) * ({p} - {q}) div ({p} + {q}))"
 
 
+#: Each byte of UTF-8 as it stands in a term; a blank where it can't. Bytes of letters beyond ASCII stay.
+_BYTES = bytes(ord(chr(b).lower()) if chr(b).isascii() and chr(b).isalpha() else b if b >= 0x80 else 0x20 for b in range(256))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts summed over the task's documents, passed on whenever ``ENTRIES`` terms of all sources have come together."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+    def passed_on() -> pa.RecordBatch:
+        rows = [(*key, term, n, docs[term]) for key, (ns, docs) in held.items() for term, n in ns.items()]
+        held.clear()
+        lang, source, term, n, docs = zip(*rows, strict=True) if rows else ((),) * 5
+        columns = [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+
+    for batch in batches:
+        for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            terms = text.translate(_BYTES).split()
+            ns, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            ns.update(terms)
+            docs.update(set(terms))
+        if sum(len(ns) for ns, _ in held.values()) > ENTRIES:
+            yield passed_on()
+    if held:
+        yield passed_on()
+
+
 def counts(docs: DataFrame) -> DataFrame:
-    """``(lang, source, term, n, docs)``: occurrences of each term and documents with it.
+    """``(lang, source, term, n, docs)``: occurrences of each term and documents with it. ``docs``: lang, source, text without nulls.
 
-    Each document's terms are sorted, so that a term's first occurrence is known by its predecessor:
-    one aggregation, combined before the shuffle, counts both. ``docs``: lang, source, text without nulls.
+    Tasks count terms over their batches before the shuffle, so a frequent word is a row for each task and source, not for each document.
     """
-    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
-    terms = docs.select("lang", "source", F.array_sort(F.regexp_extract_all(lower, F.lit(TERM), F.lit(0))).alias("terms"))
-    firsts = "explode(transform(terms, (t, i) -> struct(t AS term, if(i = 0 or terms[i - 1] <> t, 1, 0) AS first)))"
-    return terms.select("lang", "source", F.expr(firsts).alias("x")).groupBy("lang", "source", "x.term").agg(F.count("*").alias("n"), F.sum("x.first").alias("docs"))
+    found = docs.select("lang", "source", "text").mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def index(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -66,6 +66,7 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
     return divergence.audit(documents(spark, sf_dir))
 
 
