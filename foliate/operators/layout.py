@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 import pandas as pd
@@ -18,6 +20,8 @@ RASTER_IN_TABLE, VECTOR_IN_TABLE = 0.6, 0.4
 VECTOR_ITEMS = 6
 IN_BODY, OF_PAGE, SAME_FIGURE, COVERED = 0.5, 0.92, 0.25, 0.5
 TABLE_MARGIN, FIGURE_MARGIN = 2, 1
+#: Side and number of the tiles, either way, that boxes of a page are filed under.
+TILE, TILES = 64, 32
 ROW_GAP, CLOSE_GAP, LABEL_CHARS, LARGE = 3, 10, 24, 11.5
 
 
@@ -69,15 +73,25 @@ def drop_blank(rows: DataFrame) -> DataFrame:
     return rows.where(strip(F.col("text")) != "")
 
 
+def _tile(v: Column) -> Column:
+    """The tile of a coordinate; what lies outside of the grid counts to its edge, so that a point in a box is always in a tile of the box."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(TILES - 1.0), F.floor(v / TILE))).cast("int")
+
+
 def text_outside_boxes(rows: DataFrame, boxes: DataFrame) -> DataFrame:
     """Lines whose centre lies in no table and no figure of their page, margins included.
 
-    ``boxes`` as ``taken`` makes them: vendor, page, kind (``table`` or ``figure``), x0 to y1. Joined by page.
+    ``boxes`` as ``taken`` makes them: vendor, page, kind (``table`` or ``figure``), x0 to y1. A box is filed under each tile of its page that it
+    touches, and a line looks among the boxes of its own tile. A line without coordinates is in no box.
     """
     margin = F.when(F.col("kind") == "table", TABLE_MARGIN).otherwise(FIGURE_MARGIN)
-    b = boxes.select("vendor", "page", *[(F.col(c) + s * margin).alias(f"b{c}") for c, s in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))])
+    b = boxes.select("vendor", "page", *[(F.col(c) + s * margin).alias(f"b{c}") for c, s in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))]).distinct().where("bx0 <= bx1 and by0 <= by1")
+    for axis in "xy":
+        b = b.withColumn(f"t{axis}", F.explode(F.sequence(_tile(F.col(f"b{axis}0")), _tile(F.col(f"b{axis}1")))))
     r = rows.withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2})
-    inside = (r["vendor"] == b["vendor"]) & (r["page"] == b["page"]) & F.col("cx").between(F.col("bx0"), F.col("bx1")) & F.col("cy").between(F.col("by0"), F.col("by1"))
+    r = r.withColumns({"tx": _tile(F.col("cx")), "ty": _tile(F.col("cy"))})
+    there = reduce(and_, [r[c] == b[c] for c in ("vendor", "page", "tx", "ty")])
+    inside = there & F.col("cx").between(F.col("bx0"), F.col("bx1")) & F.col("cy").between(F.col("by0"), F.col("by1"))
     return r.join(b, inside, "left_anti").select(*rows.columns)
 
 
@@ -157,22 +171,54 @@ def reading_order(items: DataFrame) -> DataFrame:
     return items.withColumn("seq", F.row_number().over(Window.partitionBy("vendor", "page").orderBy(F.round("y", 1), "x", "kind", "text")))
 
 
+class Tiled:
+    """Boxes of a page, filed under the tiles that they touch."""
+
+    def __init__(self, boxes: Iterable[Rect] = ()):
+        self.boxes: list[Rect] = []
+        self.tiles: dict[tuple[int, int], list[int]] = {}
+        for box in boxes:
+            self.add(box)
+
+    @staticmethod
+    def _touched(r: Rect) -> Iterator[tuple[int, int]]:
+        (i, k), (j, n) = ((int(max(0, min(TILES - 1, v // TILE))) for v in ends) for ends in ((r.x0, r.x1), (r.y0, r.y1)))
+        return ((x, y) for x in range(i, k + 1) for y in range(j, n + 1))
+
+    def add(self, box: Rect) -> None:
+        self.boxes.append(box)
+        for t in self._touched(box):
+            self.tiles.setdefault(t, []).append(len(self.boxes) - 1)
+
+    def grow(self, at: int, box: Rect) -> None:
+        old = set(self._touched(self.boxes[at]))
+        self.boxes[at] = box
+        for t in self._touched(box):
+            if t not in old:
+                self.tiles.setdefault(t, []).append(at)
+
+    def near(self, r: Rect) -> list[int]:
+        """The numbers of the boxes in the tiles that ``r`` touches, in the order in which they came: all that share anything with it are among them."""
+        return sorted({i for t in self._touched(r) for i in self.tiles.get(t, ())})
+
+
 def figures_of(rasters: list[Rect], vectors: list[tuple[Rect, int]], tables: list[Rect], body: Rect, page: Rect) -> list[Rect]:
-    """The figures of one page, see ``figure_boxes``."""
+    """The figures of one page, see ``figure_boxes``. Boxes are compared with those of their tiles only; others share nothing with them."""
+    tables_, found = Tiled(tables), Tiled()
 
     def fits(r: Rect, size: tuple[int, int], share: float) -> bool:
-        return r.x1 - r.x0 >= size[0] and r.y1 - r.y0 >= size[1] and all(r.shared(t) <= share * r.area for t in tables)
+        return r.x1 - r.x0 >= size[0] and r.y1 - r.y0 >= size[1] and all(r.shared(tables[i]) <= share * r.area for i in tables_.near(r))
 
     images = [r for r in rasters if fits(r, RASTER_SIZE, RASTER_IN_TABLE)]
-    drawn = [r for r, n in vectors if fits(r, VECTOR_SIZE, VECTOR_IN_TABLE) and (n >= VECTOR_ITEMS or any(r.shared(i) > 0 for i in images))]
-    found: list[Rect] = []
+    images_ = Tiled(images)
+    drawn = [r for r, n in vectors if fits(r, VECTOR_SIZE, VECTOR_IN_TABLE) and (n >= VECTOR_ITEMS or any(r.shared(images[i]) > 0 for i in images_.near(r)))]
     for r in sorted((r for r in images + drawn if r.shared(body) > IN_BODY * r.area and r.area < OF_PAGE * page.area), key=lambda r: (r.y0, r.x0)):
-        at = next((k for k, f in enumerate(found) if r.shared(f) > SAME_FIGURE * min(r.area, f.area)), None)
+        at = next((k for k in found.near(r) if r.shared(found.boxes[k]) > SAME_FIGURE * min(r.area, found.boxes[k].area)), None)
         if at is None:
-            found.append(r)
+            found.add(r)
         else:
-            found[at] = found[at].around(r)
-    return found
+            found.grow(at, found.boxes[at].around(r))
+    return found.boxes
 
 
 def figure_boxes(boxes: DataFrame, layouts: dict[str, Layout] = LAYOUTS, page: Rect = Rect(0, 0, 595, 842)) -> DataFrame:
@@ -231,12 +277,22 @@ def figure_names(figures: DataFrame) -> DataFrame:
     return figures.withColumn("seq", seq).withColumn("name", F.concat("slug", F.lit("-"), two, F.lit(".webp")))
 
 
+def transducer(glyphs: dict[str, str]) -> dict[int, str]:
+    """A map of single characters as one table: what each becomes once it and, in what it has become, all later entries have been replaced."""
+    if any(len(g) != 1 for g in glyphs):
+        raise ValueError("glyphs are single characters")
+    out: dict[int, str] = {}
+    for glyph, name in reversed(glyphs.items()):
+        out[ord(glyph)] = name.translate(out)
+    return out
+
+
 def map_glyphs(text: Column, vendor: Column, vendors: tuple[str, ...] = tuple(LAYOUTS)) -> Column:
-    """Private-use glyphs as text, by the vendor's map; those that it lacks stay."""
-    out = F.when(F.lit(False), text)
-    for v in vendors:
-        own = text
-        for glyph, name in glyph_map(v).items():
-            own = F.replace(own, F.lit(glyph), F.lit(name))
-        out = out.when(vendor == v, own)
-    return out.otherwise(text)
+    """Private-use glyphs as text, by the vendor's map; those that it lacks stay. A text is gone through once, however large the map is."""
+    maps = {v: transducer(glyph_map(v)) for v in vendors}
+
+    @F.pandas_udf("string")
+    def mapped(texts: pd.Series, of: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or t.isascii() else t.translate(maps.get(v, {})) for t, v in zip(texts, of, strict=True)], dtype=object)
+
+    return mapped(text, vendor)
