@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..layout_config import LAYOUTS, Layout
-from ..operators import assemble, layout, tables, toc
+from ..operators import assemble, changes, layout, tables, toc
+from ..sources import corpus
 from ..sources.pages import write_catalog
 from ..sources.scratch import materialize, scratch_removed
 
-PAGES = "vendor string, slug string, text string, started boolean"
+def manifest_of(spark: SparkSession, out: str) -> DataFrame:
+    """``changes.MANIFEST``: the sections that are done, and what they were made from."""
+    rows = corpus.read_corpus(spark, f"{out}/manifest")
+    return rows.select("vendor", "slug", F.from_json("text", "digest string, started boolean").alias("m")).select("vendor", "slug", "m.*")
 
 
 def pages_of(spark: SparkSession, out: str) -> DataFrame:
-    """The pages written so far, none where there is no such table yet."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/pages")
-    exists = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(PAGES).parquet(f"{out}/pages") if exists else spark.createDataFrame([], PAGES)
+    """``(vendor, slug, text, started)``: the pages of the sections that are done; none where there is no such corpus yet."""
+    return corpus.read_corpus(spark, f"{out}/pages").join(manifest_of(spark, out).drop("digest"), ["vendor", "slug"])
 
 
 def boxes_of_pages(spans: DataFrame, boxes: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -33,20 +35,24 @@ def run(
     contents: DataFrame, page_counts: DataFrame, spans: DataFrame, boxes: DataFrame, cells: DataFrame, out: str,
     layouts: dict[str, Layout] = LAYOUTS, schemes: dict[str, toc.Scheme] = toc.SCHEMES,
 ) -> DataFrame:
-    """Adds the sections that ``out/pages`` lacks, writes the catalog of all as ``out/catalog``, and returns its outliers.
+    """Makes the sections that are new or were made from something else, writes the catalog of all as ``out/catalog``, and returns its outliers.
 
-    ``contents``: (vendor, pos, level, title, page). A run that failed is simply repeated.
+    ``contents``: (vendor, pos, level, title, page). Pages are merged into the corpus ``out/pages`` and only then the sections'
+    digests into ``out/manifest``: a section counts as done once both are there, so a run that failed is simply repeated.
     """
     spark = contents.sparkSession
     with scratch_removed(spark):
         entries = materialize(contents, "toc")
         sections = materialize(toc.build_sections(entries, page_counts, schemes), "sections")
-        left = materialize(toc.skip_done(sections, pages_of(spark, out)).select("vendor", "slug"), "left")
+        subs = materialize(toc.sub_headings(sections, entries), "sub-headings")
+        known = changes.section_digests(sections, subs, changes.page_digests(spans, boxes, cells), repr(layouts))
+        left = materialize(changes.skip_unchanged(known, manifest_of(spark, out)).select("vendor", "slug", "digest"), "left")
         if not left.isEmpty():
-            subs = materialize(toc.sub_headings(sections, entries), "sub-headings")
             found, figures = boxes_of_pages(spans, boxes, cells)
             items = layout.page_items(spans, found, figures, layout.config_table(spark, layouts))
-            made = assemble.assemble(sections, items, subs, found, figures, layouts, only=left)
-            made.select("vendor", "slug", "text", "started").write.mode("append").parquet(f"{out}/pages")
+            made = materialize(assemble.assemble(sections, items, subs, found, figures, layouts, only=left), "sections-made")
+            corpus.merge_pages(made, f"{out}/pages")
+            done = made.join(left, ["vendor", "slug"]).select("vendor", "slug", F.to_json(F.struct("digest", "started")).alias("text"))
+            corpus.merge_pages(done, f"{out}/manifest")
         write_catalog(toc.catalog(sections, pages_of(spark, out)), f"{out}/catalog")
     return toc.outliers(spark.read.json(f"{out}/catalog"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .jobs.extract import boxes_of_pages
 from .layout_config import LAYOUTS, glyph_map
-from .operators import assemble, layout, tables, toc
+from .operators import assemble, changes, layout, tables, toc
 from .sources import layout_view as view
 from .sources.scratch import materialize
 from .sources.tables import read_table
@@ -143,6 +143,19 @@ def _(s, d):
     return toc.skip_done(found, found.where("ord % 4 = 0")).select("vendor", "num")
 
 
+@_query("j6_changed_sections", _SECTIONS + "SELECT DISTINCT s.vendor, s.num FROM sections s JOIN layout_base b ON b.vendor = s.vendor AND b.page BETWEEN s.page AND s.page_end WHERE b.page % 16 = 1")
+def _(s, d):
+    """What is left to do when the titles of every fourth manual section have changed on their pages."""
+    entries = materialize(_toc(s, d), "toc")
+    found = materialize(toc.build_sections(entries, view.page_counts(_docs(s, d))), "sections")
+    subs, spans = materialize(toc.sub_headings(found, entries), "sub-headings"), view.spans(_docs(s, d))
+    others = (_boxes(s, d), view.cells(_docs(s, d)))
+    manifest = materialize(changes.section_digests(found, subs, changes.page_digests(spans, *others)), "manifest")
+    altered = spans.withColumn("text", F.when((F.col("block") == 0) & (F.col("page") % 16 == 1), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    now = changes.section_digests(found, subs, changes.page_digests(altered, *others))
+    return changes.skip_unchanged(now, manifest).select("vendor", "num")
+
+
 @_query("j7_categories", _SECTIONS + "SELECT vendor, cat, count(*) AS n FROM sections GROUP BY ALL")
 def _(s, d):
     return _sections(s, d).groupBy("vendor", "cat").agg(F.count("*").alias("n"))

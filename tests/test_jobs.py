@@ -33,20 +33,53 @@ def test_audit_job(spark, tmp_path):
     assert not check.run(bad, none, f"{tmp_path}/bad") and spark.read.parquet(f"{tmp_path}/bad").count() == 1
 
 
-def test_extraction_goes_on_where_it_stopped(spark, tmp_path):
-    from foliate.jobs import extract
+def inputs(spark, texts):
     from foliate.sources import layout_view as view
 
-    docs = spark.createDataFrame([(i, f"First line of {i}.\nSecond line with more words in it {i}.\n" * 3) for i in range(45)], "doc_id long, text string")
-    out = str(tmp_path / "out")
-    given = (view.toc(docs), view.page_counts(docs), view.spans(docs), view.boxes(docs), view.cells(docs), out)
-    spark.createDataFrame([("alpha", "01-01", "old", True)], extract.PAGES).write.parquet(f"{out}/pages")
-    extract.run(*given)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return view.toc(docs), view.page_counts(docs), view.spans(docs), view.boxes(docs), view.cells(docs)
+
+
+def test_extraction_makes_what_has_changed(spark, tmp_path, monkeypatch):
+    from foliate.jobs import extract
+    from foliate.operators import assemble
+    from foliate.sources import corpus
+
+    texts = {i: f"First line of {i}.\nSecond line with more words in it {i}.\n" * 3 for i in range(45)}
+    out, made, build = str(tmp_path / "out"), [], assemble.assemble
+
+    def counting(*given, **named):
+        done = build(*given, **named)
+        made.append({(r["vendor"], r["slug"]) for r in done.select("vendor", "slug").collect()})
+        return done
+
+    monkeypatch.setattr(assemble, "assemble", counting)
+    extract.run(*inputs(spark, texts), out)
     pages = {(r["vendor"], r["slug"]): r["text"] for r in extract.pages_of(spark, out).collect()}
-    assert pages["alpha", "01-01"] == "old" and len(pages) > 30
+    assert len(pages) > 30 and made.pop() == set(pages)
     text = next(t for (v, slug), t in pages.items() if v == "gamma" and "Section 5" in t)
     assert "Second line with more words in it 5." in text and text.startswith("---\nvendor: gamma")
     catalog = spark.read.json(f"{out}/catalog")
     assert {(r["vendor"], r["slug"]) for r in catalog.collect()} == set(pages)
-    extract.run(*given)
-    assert extract.pages_of(spark, out).count() == len(pages)
+
+    # The same again: nothing is made, nothing written.
+    versions = corpus.versions(spark, f"{out}/pages"), corpus.versions(spark, f"{out}/manifest")
+    extract.run(*inputs(spark, texts), out)
+    assert not made and versions == (corpus.versions(spark, f"{out}/pages"), corpus.versions(spark, f"{out}/manifest"))
+
+    # One text: its section, and those that share a page with it. A run that breaks off before the manifest counts as not done.
+    merge = corpus.merge_pages
+    monkeypatch.setattr(corpus, "merge_pages", lambda df, root: (_ for _ in ()).throw(OSError("lost")) if root.endswith("manifest") else merge(df, root))
+    texts[5] = texts[5].replace("Second", "Changed")
+    try:
+        extract.run(*inputs(spark, texts), out)
+        raise AssertionError("the run should have failed")
+    except OSError:
+        first = made.pop()
+    monkeypatch.setattr(corpus, "merge_pages", merge)
+    extract.run(*inputs(spark, texts), out)
+    assert made.pop() == first and 1 <= len(first) <= 3
+    after = {(r["vendor"], r["slug"]): r["text"] for r in extract.pages_of(spark, out).collect()}
+    assert {k for k in pages if after[k] != pages[k]} <= first and any("Changed line with more words in it 5." in t for t in after.values())
+    extract.run(*inputs(spark, texts), out)
+    assert not made
