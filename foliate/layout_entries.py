@@ -11,6 +11,7 @@ from .jobs.extract import boxes_of_pages
 from .layout_config import LAYOUTS, glyph_map
 from .operators import assemble, changes, layout, tables, toc
 from .sources import layout_view as view
+from .sources import manual_view as manual
 from .sources.scratch import materialize
 from .sources.tables import read_table
 
@@ -433,16 +434,18 @@ _AS_TEXT = lambda parts: "~".join(f"{k}={t}" for k, t in parts)
 def _cases_sql(cases) -> str:
     # Heading marks are no places for the number.
     after = ", ".join("'" + _AS_TEXT(c).replace("##", "@@") + "'" for c in cases[1::2])
-    return f"WITH {view.BASE_SQL} SELECT doc_id, replace(replace([{after}][doc_id % {len(cases) // 2} + 1], '#', CAST(doc_id AS VARCHAR)), '@@', '##') AS parts FROM layout_base"
+    own = "list_aggregate(list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''), lambda x: 'p=§ ' || x || '~'), 'string_agg', '')"
+    return f"WITH {view.BASE_SQL} SELECT doc_id, coalesce({own}, '') || replace(replace([{after}][doc_id % {len(cases) // 2} + 1], '#', CAST(doc_id AS VARCHAR)), '@@', '##') AS parts FROM layout_base"
 
 
 def _case_rows(s, d, cases, run) -> DataFrame:
-    """Every document's number in one of the cases, and what becomes of it."""
+    """The lines of every document as paragraphs, then one of the cases with its number, and what becomes of them."""
     number = F.col("doc_id").cast("string")
     part = lambda k, t: F.struct(F.lit(k).alias("kind"), F.replace(F.lit(t.replace("##", "@@")), F.lit("#"), number).alias("text"))
     plain = lambda p: F.struct(p["kind"].alias("kind"), F.replace(p["text"], F.lit("@@"), F.lit("##")).alias("text"))
     choices = F.array(*[F.transform(F.array(*[part(*p) for p in c]), plain) for c in cases[::2]])
-    rows = view._based(_docs(s, d)).select("doc_id", "vendor", choices[F.pmod("doc_id", F.lit(len(cases) // 2)).cast("int")].alias("parts"))
+    own = F.transform(F.filter(F.split("text", "\n"), lambda x: x != ""), lambda x: F.struct(F.lit("p").alias("kind"), F.concat(F.lit("§ "), x).alias("text")))
+    rows = view._based(_docs(s, d)).select("doc_id", "vendor", F.concat(own, choices[F.pmod("doc_id", F.lit(len(cases) // 2)).cast("int")]).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["kind"], F.lit("="), p["text"])), "~")
     return assemble.rewritten_parts(rows, run).select("doc_id", text.alias("parts"))
 
@@ -495,6 +498,22 @@ def _(s, d):
     return rows.select("doc_id", layout.map_glyphs(F.col("text"), F.col("vendor")).alias("text"))
 
 
+def _manual(s, d):
+    docs = _docs(s, d)
+    return manual.sections(docs), manual.items(docs), manual.sub_headings(docs), manual.tables(docs), manual.figures(docs)
+
+
+@_query("x12_section_parts", f"WITH {manual.PARTS_SQL} SELECT vendor, slug, true AS started, CAST(n AS INTEGER) AS n, parts[n + 1].kind AS kind, parts[n + 1].text AS text FROM (SELECT *, unnest(range(len(parts))) AS n FROM made)")
+def _(s, d):
+    found = assemble.parts_of_sections(*_manual(s, d))
+    return found.select("vendor", "slug", "started", F.posexplode("parts").alias("n", "part")).select("vendor", "slug", "started", "n", "part.kind", "part.text")
+
+
+@_query("x15_manual_pages", f"WITH {manual.PARTS_SQL} {manual.MARKDOWN_SQL}")
+def _(s, d):
+    return assemble.assemble(*_manual(s, d)).select("vendor", "slug", "text")
+
+
 @_query("x15_markdown")
 def _(s, d):
     return _units(s, d)
