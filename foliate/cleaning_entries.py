@@ -157,7 +157,16 @@ _BYTES = "SELECT 'p' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS slug, doc_id %
 
 def _bytes(s, d):
     content = F.concat(F.col("text").cast("binary"), F.when(F.col("doc_id") % 7 == 0, F.unhex(F.lit("E3FF"))).otherwise(F.unhex(F.lit(""))))
-    return _docs(s, d).where("text is not null").select(F.concat(F.lit("p"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("slug"), content.alias("content"))
+    vendor = F.when(F.col("doc_id") % 3 == 0, "alpha").when(F.col("doc_id") % 3 == 1, "beta").otherwise("gamma")
+    return _docs(s, d).where("text is not null").select(vendor.alias("vendor"), F.concat(F.lit("p"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("slug"), content.alias("content"))
+
+
+@_query("s1_read_pages", f"SELECT CASE doc_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END AS vendor, slug, text || CASE WHEN broken THEN '��' ELSE '' END AS text FROM ({_BYTES.replace('SELECT ', 'SELECT doc_id, ')})")
+def _(s, d):
+    """Every document as a file, and all files read back."""
+    root = scratch_path(s, "page-files")
+    sources.write_page_files(_bytes(s, d), root)
+    return sources.read_pages(s, root).select("vendor", "slug", sources.decode_replace(F.col("content")).alias("text"))
 
 
 @_query("s2_decode_strict", f"SELECT slug, CASE WHEN NOT broken THEN text END AS text FROM ({_BYTES})")

@@ -272,6 +272,15 @@ def _(s, d):
     return found.where("kind = 'table'").select("vendor", "page", "number", F.posexplode("rows").alias("r", "own")).select("vendor", "page", "number", "r", F.array_join("own", "|").alias("cells"))
 
 
+@_query("x9_kinds_of_tables", f"WITH {view.BASE_SQL}, {view.LINES_SQL} {view.KINDS_SQL}")
+def _(s, d):
+    """Grids, callout boxes, single columns, tables that are figures; a table of one column is none."""
+    docs = _docs(s, d)
+    found = tables.tables_of_pages(view.kinds_cells(docs), view.kinds_lines(docs), view.kinds_images(docs))
+    text = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n")
+    return found.select("vendor", "page", "kind", F.size("rows").alias("n_rows"), F.size(F.get("rows", F.lit(0))).alias("n_columns"), text.alias("grid"))
+
+
 @_query("w13_table_texts", _LAY + _GRID + """SELECT vendor, page, 1 AS number, CAST(h AS INTEGER) AS n_rows, CAST(width AS INTEGER) AS n_columns,
   list_aggregate(list_transform(range(h), lambda r: list_aggregate(c[r * 3 + 1 : r * 3 + width], 'string_agg', '|')), 'string_agg', chr(10)) AS grid FROM filled""")
 def _(s, d):
@@ -387,14 +396,20 @@ _THREE = (("0", "40", "0", "doc_id % 2"), ("40 + doc_id % 20", "100", "doc_id %
 _NEAR = lambda gap, x, wide: f"({gap}) < 16 AND abs({x}) < 20 AND {wide}"
 
 
-@_query("w10_merged_neighbours", f"""WITH t AS (SELECT doc_id, {_NEAR("doc_id % 20", "doc_id % 25", "doc_id % 2 = 0")} AS one, CASE WHEN {_NEAR("doc_id % 20", "doc_id % 25", "doc_id % 2 = 0")} THEN 0 ELSE doc_id % 25 END AS left_edge FROM documents WHERE doc_id IS NOT NULL),
-u AS (SELECT doc_id, one, {_NEAR("doc_id * 7 % 20", "left_edge - doc_id * 3 % 25", "doc_id % 5 % 2 = 0")} AS two FROM t)
-SELECT doc_id, CAST(3 - one::INT - two::INT AS INTEGER) AS n, CASE WHEN one AND two THEN '0-160' WHEN one THEN '0-100 ' || (100 + doc_id * 7 % 20) || '-160' WHEN two THEN '0-40 ' || (40 + doc_id % 20) || '-160' ELSE '0-40 ' || (40 + doc_id % 20) || '-100 ' || (100 + doc_id * 7 % 20) || '-160' END AS ends FROM u""")
+@_query("w10_merged_neighbours", f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_NEAR("doc_id % 20", "doc_id % 25", "doc_id % 2 = 0")} AS one, CASE WHEN {_NEAR("doc_id % 20", "doc_id % 25", "doc_id % 2 = 0")} THEN 0 ELSE doc_id % 25 END AS left_edge FROM documents WHERE doc_id IS NOT NULL),
+u AS (SELECT doc_id, text, length(text) // 3 AS third, one, {_NEAR("doc_id * 7 % 20", "left_edge - doc_id * 3 % 25", "doc_id % 5 % 2 = 0")} AS two FROM t)
+SELECT doc_id, CAST(3 - one::INT - two::INT AS INTEGER) AS n, CASE WHEN one AND two THEN '0-160' WHEN one THEN '0-100 ' || (100 + doc_id * 7 % 20) || '-160' WHEN two THEN '0-40 ' || (40 + doc_id % 20) || '-160' ELSE '0-40 ' || (40 + doc_id % 20) || '-100 ' || (100 + doc_id * 7 % 20) || '-160' END AS ends,
+  'y' || CASE WHEN doc_id % 2 = 1 THEN '|y' ELSE '' END || '|' || substr(text, 1, third) || CASE WHEN one THEN chr(1) ELSE chr(2) END || 'y|' || substr(text, third + 1, third) || CASE WHEN two THEN chr(1) ELSE chr(2) END
+    || 'y' || CASE WHEN doc_id % 5 % 2 = 1 THEN '|y' ELSE '' END || '|' || substr(text, 2 * third + 1) AS texts FROM u""")
 def _(s, d):
-    table = lambda top, low, x, wide: F.struct(*[F.expr(f"cast({v} as double)").alias(c) for c, v in (("y0", top), ("x0", x), ("y1", low))], F.lit(300.0).alias("x1"), F.array(F.array_repeat(F.lit("c"), F.expr(f"cast(2 + {wide} as int)"))).alias("rows"))
-    merged = tables.merge_neighbours(F.array(*[table(*t) for t in reversed(_THREE)]))
-    rows = _docs(s, d).where("doc_id is not null").select("doc_id", merged.alias("m"))
-    return rows.select("doc_id", F.size("m").alias("n"), F.array_join(F.transform("m", lambda t: F.concat(t["y0"].cast("long").cast("string"), F.lit("-"), t["y1"].cast("long").cast("string"))), " ").alias("ends"))
+    """A third of each text in each table: which are merged, and in which order their rows stand."""
+    third = lambda n: F.expr(f"substring(text, {n} * floor(length(text) / 3) + 1, " + ("length(text))" if n == 2 else "floor(length(text) / 3))"))
+    row = lambda n, wide: F.concat(F.array_repeat(F.lit("y"), F.expr(f"cast(1 + {wide} as int)")), F.array(third(n)))
+    table = lambda n, top, low, x, wide: F.struct(*[F.expr(f"cast({v} as double)").alias(c) for c, v in (("y0", top), ("x0", x), ("y1", low))], F.lit(300.0).alias("x1"), F.array(row(n, wide)).alias("rows"))
+    merged = tables.merge_neighbours(F.array(*[table(n, *t) for n, t in reversed(list(enumerate(_THREE)))]))
+    rows = _docs(s, d).where("doc_id is not null").withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", merged.alias("m"))
+    texts = F.array_join(F.transform("m", lambda t: F.array_join(F.transform(t["rows"], lambda r: F.array_join(r, "|")), "\1")), "\2")
+    return rows.select("doc_id", F.size("m").alias("n"), texts.alias("texts"), F.array_join(F.transform("m", lambda t: F.concat(t["y0"].cast("long").cast("string"), F.lit("-"), t["y1"].cast("long").cast("string"))), " ").alias("ends"))
 
 
 _LEVELS = " ".join(
@@ -462,26 +477,27 @@ def _(s, d):
 
 # A section of two pages for each document: a table at the foot of one, another at the head of the next, or further down.
 _W11 = "FROM documents WHERE doc_id IS NOT NULL"
+_FLAT = "trim('value ' || doc_id || ' ' || replace(regexp_replace(coalesce(text, ''), '[ \\n]+', ' ', 'g'), '|', chr(92) || '|'), ' ')"
 
 
-@_query("w11_continued_tables", f"SELECT 's' || doc_id AS slug, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS n_tables, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 5 = 0 THEN 1 ELSE 1 END AS INTEGER) AS n_headers, 2 AS n_rows {_W11}")
+@_query("w11_continued_tables", f"SELECT 's' || doc_id AS slug, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS n_tables, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 5 = 0 THEN 1 ELSE 1 END AS INTEGER) AS n_headers, 2 AS n_rows, 'a|' || {_FLAT} || ' that is long enough~b|' || {_FLAT} || ' that is long enough' AS texts {_W11}")
 def _(s, d):
     """On the next page doc_id % 3 = 0: too far down, so a table of its own that borrows the header; % 5 = 0: of a header of its own."""
-    docs = _docs(s, d).where("doc_id is not null").select("doc_id", F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("slug"), (F.col("doc_id") * 2 + 1).cast("int").alias("page"))
+    docs = _docs(s, d).where("doc_id is not null").select("doc_id", "text", F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("slug"), (F.col("doc_id") * 2 + 1).cast("int").alias("page"))
     found = docs.select(F.lit("beta").alias("vendor"), F.col("doc_id").cast("int").alias("ord"), "slug", F.lit("1-1").alias("num"), F.lit("T").alias("title"), F.lit("setup").alias("cat"), "page", (F.col("page") + 1).alias("page_end"))
-    value = F.concat(F.lit("value "), F.col("doc_id").cast("string"), F.lit(" that is long enough"))
+    value = F.concat(F.lit("value "), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("text", F.lit("")), F.lit(" that is long enough"))
     rows = lambda *r: F.array(*[F.array(*[x if not isinstance(x, str) else F.lit(x) for x in own]) for own in r])
     again = (F.col("doc_id") % 2 == 0) & (F.col("doc_id") % 3 != 0)
-    second = F.when((F.col("doc_id") % 5 == 0) & (F.col("doc_id") % 3 != 0), rows(("other", "kind"), ("b", value))).when(again, rows(("name", "meaning"), ("b", value))).otherwise(rows(("b", value)))
+    second = F.when((F.col("doc_id") % 5 == 0) & (F.col("doc_id") % 3 != 0), rows(("other", "kind", "note"), ("b", value, "x"))).when(again, rows(("name", "meaning", "note"), ("b", value, "x"))).otherwise(rows(("b", value, "x")))
     top = F.when(F.col("doc_id") % 3 == 0, 300.0).otherwise(60.0)
     one = lambda page, y0, y1, own: F.struct(page.cast("int").alias("page"), F.lit(1).alias("number"), F.lit("table").alias("kind"), F.lit(50.0).alias("x0"), y0.alias("y0"), F.lit(400.0).alias("x1"), y1.alias("y1"), own.alias("rows"))
-    both = F.array(one(F.col("page"), F.lit(600.0), F.lit(690.0), rows(("name", "meaning"), ("a", value))), one(F.col("page") + 1, top, top + 50, second))
+    both = F.array(one(F.col("page"), F.lit(600.0), F.lit(690.0), rows(("name", "meaning", "note"), ("a", value, "x"))), one(F.col("page") + 1, top, top + 50, second))
     boxes = docs.select(F.lit("beta").alias("vendor"), F.explode(both).alias("t")).select("vendor", "t.*")
     none = s.createDataFrame([], "vendor string, page int, y double, x double, kind string, text string, size double, bold boolean")
     figures, subs = s.createDataFrame([], "vendor string, page int, fig int, x0 double, y0 double, x1 double, y1 double"), s.createDataFrame([], "vendor string, slug string, pos int, level int, title string")
     made = assemble.assemble(found, none, subs, boxes, figures)
     count = lambda x: F.regexp_count("text", F.lit(x)).cast("int")
-    return made.select("slug", count(r"\|---\|---\|").alias("n_tables"), count(r"\| name \| meaning \|").alias("n_headers"), count("that is long enough").alias("n_rows"))
+    return made.select("slug", count(r"\|---\|---\|---\|").alias("n_tables"), count(r"\| name \| meaning \| note \|").alias("n_headers"), count("that is long enough").alias("n_rows"), F.array_join(F.transform(F.regexp_extract_all("text", F.lit(r"\| ([ab] \| value .*? that is long enough) \| x \|"), F.lit(1)), lambda x: F.replace(x, F.lit(" | "), F.lit("|"))), "~").alias("texts"))
 
 
 def _mapped(vendor: str) -> str:

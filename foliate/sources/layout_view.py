@@ -183,3 +183,51 @@ DAMAGED_SQL = f"""damaged AS (
 rebuilt AS (
   SELECT a.*, CASE WHEN doc_id % 4 = 1 AND c = doc_id % 3 AND r % 5 = 1 THEN a.word || '、' || coalesce(below, '') WHEN doc_id % 4 = 1 AND c = doc_id % 3 AND r % 5 = 2 THEN above || '、' || a.word ELSE a.word END AS text
   FROM (SELECT *, lead(word) OVER w AS below, lag(word) OVER w AS above FROM damaged WINDOW w AS (PARTITION BY doc_id, number, c ORDER BY r)) a)"""
+
+
+# ---- tables of every kind
+#: By doc_id % 5: a grid, a callout box, one column, a grid half empty with images in it, a wide grid mostly empty.
+_KIND_STEP = 12.0
+
+
+def kinds_cells(documents: DataFrame) -> DataFrame:
+    """A table for each document, of a kind that depends on its number, with all of its words but for callout boxes, whose text is in ``kinds_lines``."""
+    rows = _fitted(documents).where("n_cells > 0").withColumn("kind", F.pmod("doc_id", F.lit(5)))
+    own = F.col("cells")
+    tail = lambda n: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.lit("-"))
+    padded = F.concat(own, F.array_repeat(F.lit("-"), F.pmod(-F.col("n_cells"), F.lit(COLUMNS)).cast("int")))
+    triples = F.transform(F.sequence(F.lit(0), F.ceil(F.col("n_cells") / COLUMNS).cast("int") - 1), lambda r: F.slice(padded, r * COLUMNS + 1, F.lit(COLUMNS)))
+    at_ends = lambda i: F.when((i == 0) | (i == F.col("n_cells") - 1), "-").otherwise("")
+    halves = F.transform(own, lambda x, i: F.array(x, at_ends(i)))
+    blank = F.array_repeat(F.lit(""), 11)
+    wide = F.concat(F.array(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.concat(F.lit("h"), i.cast("string")))), F.transform(own, lambda x: F.concat(F.array(x), blank)), F.array(tail(12)))
+    grid = F.when(F.col("kind") == 0, triples).when(F.col("kind") == 1, F.array(F.array(F.lit("注 意"), F.lit("")))).when(F.col("kind") == 2, F.transform(own, lambda x: F.array(x))).when(F.col("kind") == 3, halves).otherwise(wide)
+    cells_ = rows.select("vendor", "page", "kind", "n_cells", F.posexplode(grid).alias("r", "row")).select("*", F.posexplode("row").alias("c", "text"))
+    height = F.when(F.col("kind") == 1, F.col("n_cells") * _KIND_STEP).otherwise(_KIND_STEP)
+    x, y = 60.0 + F.col("c") * 40.0, 100.0 + F.col("r") * _KIND_STEP
+    return cells_.select("vendor", "page", F.lit(1).alias("table"), "r", "c", "text", x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + height).alias("y1"))
+
+
+def kinds_lines(documents: DataFrame) -> DataFrame:
+    """The texts in callout boxes, the label among them."""
+    rows = _fitted(documents).where("n_cells > 0 and doc_id % 5 = 1").select("vendor", "page", F.posexplode("cells").alias("i", "text"))
+    y = 100.0 + F.col("i") * _KIND_STEP
+    box = [F.lit(62.0).alias("x0"), (y + 1).alias("y0"), F.lit(110.0).alias("x1"), (y + 11).alias("y1"), F.lit(1.0).alias("dir_x")]
+    label = rows.where("i = 0").select("vendor", "page", *[c for c in box if c is not box[0]], F.lit(61.0).alias("x0"), F.lit("注 意").alias("text"))
+    return rows.select("vendor", "page", *box, "text").unionByName(label)
+
+
+def kinds_images(documents: DataFrame) -> DataFrame:
+    """Two images in every table that is half empty, one in each wide one."""
+    rows = _fitted(documents).where("n_cells > 0 and doc_id % 5 >= 3").select("vendor", "page", F.explode(F.when(F.expr("doc_id % 5 = 3"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("n"))
+    return rows.select("vendor", "page", F.lit("raster").alias("kind"), F.lit(62.0).alias("x0"), F.lit(101.0).alias("y0"), F.lit(80.0).alias("x1"), (110.0 + F.col("n")).alias("y1"))
+
+
+#: ``(vendor, page, kind, n_rows, n_columns, grid)``.
+KINDS_SQL = """SELECT vendor, page, kind, CAST(len(own) AS INTEGER) AS n_rows, CAST(len(own[1]) AS INTEGER) AS n_columns, list_aggregate(list_transform(own, lambda r: list_aggregate(r, 'string_agg', '|')), 'string_agg', chr(10)) AS grid FROM (
+  SELECT vendor, page, CASE WHEN doc_id % 5 = 3 AND n_cells > 1 AND n_cells * 100 < 55 * 2 * (n_cells - 1) OR doc_id % 5 = 4 AND (n_cells + 12) * 10 < 3 * 12 * (n_cells + 1) THEN 'figure' ELSE 'table' END AS kind,
+    CASE doc_id % 5 WHEN 0 THEN list_transform(range((n_cells + 2) // 3), lambda r: list_concat(cells, ['-', '-'])[r * 3 + 1 : r * 3 + 3])
+      WHEN 1 THEN [['__CALLOUT__注意', list_reduce(cells, lambda a, b: a || CASE WHEN regexp_matches(a, '[0-9A-Za-z)\\]%.,:;]$') AND regexp_matches(b, '^[0-9A-Za-z(\\[]') THEN ' ' ELSE '' END || b)]]
+      WHEN 3 THEN list_transform(range(n_cells), lambda i: [cells[i + 1], CASE WHEN i = 0 OR i = n_cells - 1 THEN '-' ELSE '' END])
+      WHEN 4 THEN list_concat(list_concat([list_transform(range(12), lambda i: 'h' || i)], list_transform(cells, lambda x: list_concat([x], list_transform(range(11), lambda i: '')))), [list_transform(range(12), lambda i: '-')]) END AS own
+  FROM layout_words WHERE n_cells > 0 AND doc_id % 5 <> 2)"""

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +32,32 @@ def decode_replace(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
+def write_page_files(pages: DataFrame, root: str) -> int:
+    """Writes each page (vendor, slug, content) as ``root/<vendor>/<slug>.md``, what ``read_pages`` reads; how many.
+
+    Tasks write through the file system that ``root`` names, under another name first: a task that is tried again replaces its files
+    whole. A null content is an empty file; a null or empty vendor or slug, or one with a slash, is an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}")
+        made: set[str] = set()
+        for batch in batches:
+            for vendor, slug, content in zip(*(batch.column(c).to_pylist() for c in ("vendor", "slug", "content")), strict=True):
+                if not vendor or not slug or "/" in vendor + slug:
+                    raise ValueError(f"no file can be named {vendor}/{slug}")
+                if vendor not in made:
+                    fs.create_dir(f"{base}/{vendor}", recursive=True)
+                    made.add(vendor)
+                draft = f"{base}/{vendor}/.{slug}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(draft) as out:
+                    out.write(content or b"")
+                fs.move(draft, f"{base}/{vendor}/{slug}.md")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return pages.select("vendor", "slug", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_nav(nav: DataFrame, out: str) -> None:
     nav.write.mode("overwrite").json(out)
 

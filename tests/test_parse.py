@@ -92,6 +92,18 @@ def test_pages_from_files(spark, tmp_path):
     assert got == {("alpha", "01-01"): ("a\n", "a\n"), ("beta", "02"): (None, b"bad \xff byte \xe3\x81".decode(errors="replace"))}
 
 
+def test_pages_to_files_and_back(spark, tmp_path):
+    rows = [("alpha", "01-01", b"a\xff\n"), ("beta", "02", None), ("beta", "a b=c", "é".encode())]
+    pages = spark.createDataFrame(rows, "vendor string, slug string, content binary")
+    for root in (str(tmp_path / "out"), f"file://{tmp_path}/out"):  # the second time over the first
+        assert source.write_page_files(pages, root) == 3
+        assert {(r["vendor"], r["slug"], bytes(r["content"])) for r in source.read_pages(spark, root).collect()} == {(v, s, c) for v, s, c in rows if c}  # Spark's readers leave out files without bytes
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.endswith(".crc")) == ["01-01.md", "02.md", "a b=c.md"]
+    assert source.write_page_files(pages.limit(0), str(tmp_path / "none")) == 0
+    with pytest.raises(Exception, match="no file can be named"):
+        source.write_page_files(spark.createDataFrame([("alpha", "../x", b"")], pages.schema), str(tmp_path / "out"))
+
+
 def test_agent_index_and_nav_files(spark, tmp_path):
     rows = spark.createDataFrame([(2, 0, "c"), (0, 0, "a"), (0, 1, "b")], "part long, ord long, line string")
     source.write_agent_index(rows, str(tmp_path / "index"))
