@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key
+from .common import materialize, row_keys
 
 #: Code points between two parts that may still belong together.
 SCOPE = 200
@@ -60,15 +60,16 @@ def weak_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+_KEY = ("k1", "k2")
 _PART = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def parts(docs: DataFrame) -> DataFrame:
-    """``(key, doc_id, base, weak)`` for each input row, the spans as arrays of (kind, start, end); no texts.
+    """``(k1, k2, doc_id, base, weak)`` for each input row, the spans as arrays of (kind, start, end); no texts.
 
-    ``key`` is shared by equal rows only. A null text has no parts.
+    ``k1`` and ``k2`` are shared by equal rows only. A null text has no parts.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", row_key("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("*", *row_keys())
 
     def listed(spans: list[tuple[int, int, str]]) -> list[dict]:
         return [{"kind": k, "start": i, "end": j} for i, j, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))]
@@ -81,35 +82,35 @@ def parts(docs: DataFrame) -> DataFrame:
                 base.append(own := listed(base_spans(text)))
                 digest.append(hashlib.sha256(",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in own).encode()).hexdigest())
                 weak.append(listed(weak_spans(text)))
-            columns = [batch.column("key"), batch.column("doc_id"), pa.array(base, pa.list_(_PART)), pa.array(weak, pa.list_(_PART)), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "base", "weak", "base_sha256"])
+            columns = [*(batch.column(c) for c in ("k1", "k2", "doc_id")), pa.array(base, pa.list_(_PART)), pa.array(weak, pa.list_(_PART)), pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "doc_id", "base", "weak", "base_sha256"])
 
     span = "array<struct<kind: string, start: long, end: long>>"
-    return rows.mapInArrow(run, f"key long, doc_id long, base {span}, weak {span}, base_sha256 string")
+    return rows.mapInArrow(run, f"k1 long, k2 long, doc_id long, base {span}, weak {span}, base_sha256 string")
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """``(key, added)``: the weak parts of each text that complementary parts confirm.
+    """``(k1, k2, added)``: the weak parts of each text that complementary parts confirm.
 
     ``found`` comes from ``parts``. Two parts are together if at most ``scope`` code points lie
     between them. A bin has room for a bounded number of parts, so no key brings many pairs.
     """
-    rows = found.where(F.size("weak") > 0).select("key", "base", "weak").dropDuplicates(["key"])
+    rows = found.where(F.size("weak") > 0).select(*_KEY, "base", "weak").dropDuplicates([*_KEY])
     role = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    every = rows.select("key", F.explode(F.concat("base", "weak")).alias("p")).select("key", "p.kind", "p.start", "p.end")
+    every = rows.select(*_KEY, F.explode(F.concat("base", "weak")).alias("p")).select(*_KEY, "p.kind", "p.start", "p.end")
     # A long part lies in every bin that it covers; one bin to either side then reaches the scope.
-    other = every.select("key", role[F.col("kind")].alias("role"), F.col("start").alias("from"), F.col("end").alias("to"))
+    other = every.select(*_KEY, role[F.col("kind")].alias("role"), F.col("start").alias("from"), F.col("end").alias("to"))
     other = other.withColumn("bin", F.explode(F.sequence(F.floor((F.col("from") - scope) / scope), F.floor((F.col("to") + scope) / scope))))
     weak = every.where(F.col("kind").isin(*NEEDS)).withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))))
     near = (F.col("from") <= F.col("end") + scope) & (F.col("to") >= F.col("start") - scope)
-    met = weak.join(other, ["key", "bin"]).where(near).groupBy("key", "kind", "start", "end").agg(*[F.max(F.col("role") == r).alias(r) for r in ("identifier", "secret", "endpoint")])
+    met = weak.join(other, [*_KEY, "bin"]).where(near).groupBy(*_KEY, "kind", "start", "end").agg(*[F.max(F.col("role") == r).alias(r) for r in ("identifier", "secret", "endpoint")])
     good = F.lit(False)
     for kind, needs in NEEDS.items():
         fits = F.col("kind") == kind
         for roles in needs:
             fits = fits & F.greatest(*[F.col(r) for r in roles], F.lit(False))
         good = good | fits
-    return met.where(good).groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    return met.where(good).groupBy(*_KEY).agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -120,7 +121,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     A null text counts as empty.
     """
     found = materialize(parts(docs), "secret-parts")
-    out = found.join(linked(found, scope), "key", "left").withColumn("added", F.coalesce("added", F.array().cast("array<struct<kind: string, start: long, end: long>>")))
+    out = found.join(linked(found, scope), [*_KEY], "left").withColumn("added", F.coalesce("added", F.array().cast("array<struct<kind: string, start: long, end: long>>")))
     order = F.create_map(*[F.lit(x) for pair in zip(KINDS, range(len(KINDS)), strict=True) for x in pair])
     ordered = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     listed = F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
