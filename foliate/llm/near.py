@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mixed, packed, powers, row_keys, slices, text_bytes
-from .paragraphs import BUCKET_PARAGRAPHS, RECALL, SHINGLE_WORDS, SIMILARITY, SLICE_BYTES, Words, _links, _shingles
+from .common import components, materialize, mixed, packed, row_keys, slices, text_bytes
+from .paragraphs import BUCKET_PARAGRAPHS, RECALL, SHINGLE_WORDS, SIMILARITY, SLICE_BYTES, Words, _links, _shingles, contents
 from .simhash import SHINGLES_AT_ONCE, TREE_NODES, first_rows, search
 
 BITS = 128
@@ -72,20 +72,13 @@ def _shard_keys(chosen: list[list[int]]) -> list[Column]:
     ]
 
 
-def _contents(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A hash of each text's words in order."""
-    up, down = powers(len(hashes) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)])
-    return mixed((sums[first[1:]] - sums[first[:-1]]) * down[first[:-1]] + np.diff(first).astype(np.uint64))
-
-
 def _shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """``(start, contents, sets)`` of some texts at a time; a text of fewer words than a shingle has itself as its only one."""
+    """``(start, contents, sets)`` of some texts at a time, a text's content being 128 bits of its words in order; a text of fewer words than a shingle has itself as its only one."""
     raw, offsets = text_bytes(texts)
     for i, j in slices(offsets, SLICE_BYTES):
         words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        content, first = _contents(words.hashes, words.first), words.first.tolist()
-        yield i, content, [np.unique(own) if len(own := _shingles(words.hashes[a:b], SHINGLE_WORDS)) else content[t : t + 1] for t, (a, b) in enumerate(zip(first, first[1:], strict=False))]
+        content, first = contents(words.hashes, words.first[:-1], words.first[1:]), words.first.tolist()
+        yield i, content, [np.unique(own) if len(own := _shingles(words.hashes[a:b], SHINGLE_WORDS)) else content[t : t + 1, 0] for t, (a, b) in enumerate(zip(first, first[1:], strict=False))]
 
 
 def _fingerprint(shingles: np.ndarray) -> np.ndarray:
@@ -99,31 +92,31 @@ def _fingerprint(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
-    """``(k1, k2, doc_id, fp, low, high)`` of all texts; fp is equal for equal words, low and high are the fingerprint."""
-    names = ["k1", "k2", "doc_id", "fp", "low", "high"]
+    """``(k1, k2, doc_id, c1, c2, low, high)`` of all texts; c1 and c2 are equal for equal words, low and high are the fingerprint."""
+    names = ["k1", "k2", "doc_id", "c1", "c2", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, content, sets in _shingle_sets(batch.column("text")):
                 found = np.array([_fingerprint(own) for own in sets], np.uint64).reshape(-1, 2).view(np.int64)
                 columns = [batch.column(c).slice(i, len(sets)) for c in ("k1", "k2", "doc_id")]
-                columns += [pa.array(content.view(np.int64)), pa.array(found[:, 0]), pa.array(found[:, 1])]
+                columns += [pa.array(x) for x in (*content.view(np.int64).T, *found.T)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.select("k1", "k2", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """``(content, shingles)`` from ``text``."""
+    """``(content, shingles)`` from ``content`` and ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, content, sets in _shingle_sets(batch.column("text")):
+            for i, _, sets in _shingle_sets(batch.column("text")):
                 ends = np.cumsum([0, *map(len, sets)])
                 listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), listed], names=["content", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("content").slice(i, len(sets)), listed], names=["content", "shingles"])
 
-    return rows.select("text").mapInArrow(run, "content long, shingles array<long>")
+    return rows.select("content", "text").mapInArrow(run, "content long, shingles array<long>")
 
 
 def groups(unique: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, tree_nodes: int = TREE_NODES) -> DataFrame:
@@ -147,12 +140,13 @@ def representatives(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     """
     rows = packed(docs, "doc_id", "text").select("*", *row_keys())
     found = materialize(_sketches(rows), "sketches")
-    unique = found.groupBy("fp").agg(F.min(F.struct("k1", "k2", "low", "high")).alias("own")).select("fp", "own.*")
-    unique = materialize(unique, "unique-documents")
+    unique = found.groupBy("c1", "c2").agg(F.min(F.struct("k1", "k2", "low", "high")).alias("own")).select("c1", "c2", "own.*")
+    # Each different text has a number of its own from here on: no hash of it has to be unique.
+    unique = materialize(unique.withColumn("fp", F.monotonically_increasing_id()), "unique-documents")
     grouped = materialize(groups(unique, similarity, recall, tree_nodes), "grouped-documents")
-    wanted = unique.join(grouped.select("fp"), "fp", "left_semi").select("k1", "k2")
+    wanted = unique.join(grouped.select("fp"), "fp", "left_semi").select("k1", "k2", F.col("fp").alias("content"))
     sets = materialize(_sets(rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"])).dropDuplicates(["content"]), "shingle-sets")
     met = grouped.select(F.col("fp").alias("content"), F.col("group").alias("band"))
     labels = components(_links(met.join(sets, "content"), similarity, bucket)).select(F.col("node").alias("fp"), F.col("label").alias("root"))
     roots = unique.select("fp").join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return first_rows(rows, found, roots)
+    return first_rows(rows, found.join(unique.select("c1", "c2", "fp"), ["c1", "c2"]), roots)

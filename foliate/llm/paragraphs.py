@@ -57,6 +57,16 @@ def _shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
+def contents(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits, as two columns, of each range of words in order."""
+    up, down = powers(len(hashes) + 1)
+    out = []
+    for own in (hashes, mixed(hashes + np.uint64(0x5851F42D4C957F2D))):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * up[: len(own)], dtype=np.uint64)])
+        out.append(mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)))
+    return np.column_stack(out)
+
+
 class Words:
     """The words of some texts: their hashes, and the texts and lines that they are in."""
 
@@ -99,9 +109,9 @@ def _minhashes(shingles: np.ndarray, begins: np.ndarray, ends: np.ndarray, count
 
 
 def _paragraphs(rows: DataFrame, least: int, shape: tuple[int, int]) -> DataFrame:
-    """``(k1, k2, doc_id, number, words, content, bands)`` of all paragraphs."""
+    """``(k1, k2, doc_id, number, words, c1, c2, bands)`` of all paragraphs; c1 and c2 are equal for equal words."""
     count, height = shape
-    names = ["k1", "k2", "doc_id", "number", "words", "content", "bands"]
+    names = ["k1", "k2", "doc_id", "number", "words", "c1", "c2", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,22 +123,20 @@ def _paragraphs(rows: DataFrame, least: int, shape: tuple[int, int]) -> DataFram
                 if not len(own):
                     continue
                 begin, end = words.line_first[own], words.line_first[own + 1]
-                up, down = powers(len(words.hashes) + 1)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hashes * up[: len(words.hashes)], dtype=np.uint64)])
-                content = mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+                content = contents(words.hashes, begin, end)
                 shingles = _shingles(words.hashes, SHINGLE_WORDS)
                 short = end - begin < SHINGLE_WORDS
                 low = np.where(short, len(shingles) + np.cumsum(short) - 1, begin)
                 high = np.where(short, low + 1, end - SHINGLE_WORDS + 1)
-                small = _minhashes(np.concatenate([shingles, content[short]]), low, high, count * height)
+                small = _minhashes(np.concatenate([shingles, content[short, 0]]), low, high, count * height)
                 keys = [_shingles_of_rows(small[:, b * height : (b + 1) * height], b) for b in range(count)]
                 flat = pa.array(np.column_stack(keys).reshape(-1).view(np.int64))
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * count, pa.int32()), flat)
                 at = pa.array(words.line_texts[own] + i)
-                columns = [*(c.take(at) for c in ids), pa.array(words.line_numbers[own].astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(content.view(np.int64)), listed]
+                columns = [*(c.take(at) for c in ids), pa.array(words.line_numbers[own].astype(np.int32)), pa.array((end - begin).astype(np.int32)), *(pa.array(c) for c in content.view(np.int64).T), listed]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, "k1 long, k2 long, doc_id long, number int, words int, content long, bands array<long>")
+    return rows.mapInArrow(run, "k1 long, k2 long, doc_id long, number int, words int, c1 long, c2 long, bands array<long>")
 
 
 def _shingles_of_rows(small: np.ndarray, band: int) -> np.ndarray:
@@ -188,7 +196,7 @@ def _shingled(rows: DataFrame) -> DataFrame:
                     begin, end = words.line_first[w["number"]], words.line_first[w["number"] + 1]
                     content.append(w["content"])
                     own = _shingles(words.hashes[begin:end], SHINGLE_WORDS).view(np.int64)
-                    sets.append(np.unique(own) if len(own) else np.array([w["content"]], np.int64))
+                    sets.append(np.unique(own) if len(own) else contents(words.hashes, np.array([begin]), np.array([end]))[:, 0].view(np.int64))
             flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
             ends = np.cumsum([0, *map(len, sets)])
             yield pa.RecordBatch.from_arrays([pa.array(content, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["content", "shingles"])
@@ -272,7 +280,9 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     """
     found = materialize(_paragraphs(rows, least, bands(similarity, recall)), "paragraphs")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2", "number")
-    unique = materialize(found.groupBy("content").agg(F.min(F.struct(place.alias("place"), "bands")).alias("own"), F.count("*").alias("n")), "unique-paragraphs")
+    unique = found.groupBy("c1", "c2").agg(F.min(F.struct(place.alias("place"), "bands")).alias("own"), F.count("*").alias("n"))
+    # Each different paragraph has a number of its own from here on, as its content: no hash of it has to be unique.
+    unique = materialize(unique.withColumn("content", F.monotonically_increasing_id()), "unique-paragraphs")
     banded = unique.select("content", F.explode("own.bands").alias("band")).distinct()
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     shared = materialize(shared, "shared-band-keys")
@@ -282,10 +292,10 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     shingled = _shingled(rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "wanted")).dropDuplicates(["content"])
     edges = _links(banded.join(shingled, "content"), similarity, bucket)
     labels = components(edges).select(F.col("node").alias("content"), "label")
-    rooted = unique.join(labels, "content", "left").select("content", F.coalesce("label", "content").alias("class"), "own.place", "n")
+    rooted = unique.join(labels, "content", "left").select("c1", "c2", F.coalesce("label", "content").alias("class"), "own.place", "n")
     groups = rooted.groupBy("class").agg(F.min("place").alias("first"), F.sum("n").alias("n")).where("n > 1")
-    named = rooted.select("content", "class").join(groups, "class").select("content", "class", "first")
-    return found.drop("bands").join(named, "content").drop("content")
+    named = rooted.select("c1", "c2", "class").join(groups, "class").select("c1", "c2", "class", "first")
+    return found.drop("bands").join(named, ["c1", "c2"]).drop("c1", "c2")
 
 
 def passages(rows: DataFrame, passage: int = PASSAGE_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
@@ -305,7 +315,7 @@ def repeated(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
     ``n_repeated`` counts the row's paragraphs whose class has others, ``n_removed`` those of them
     that go because another place is its class's first; ``removed`` are their line numbers from 0.
-    ``n_passage_words`` counts words in repeated passages, ``first_doc_ids`` names the other documents
+    ``n_passage_words`` counts the words of the shingles by which repeated passages were found (parts of these), ``first_doc_ids`` names the other documents
     where the repeats stand first. Null and empty texts have no paragraphs. Repeated rows share one
     place, so they repeat each other only in what is left to ``near_duplicates``.
     """
@@ -333,7 +343,7 @@ def repeated(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """The rows of ``docs``, their texts without the paragraphs that stand first elsewhere."""
+    """The rows of ``docs``, their texts without the paragraphs that stand first elsewhere; passages inside other lines stay."""
     own = classes(_keyed(docs), least=least).select("k1", "k2", "number", "first").distinct()
     stays = (F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2")) & (F.col("first.number") == F.col("number"))
     gone = own.where(~stays).groupBy("k1", "k2").agg(F.collect_list("number").alias("gone"))
