@@ -279,7 +279,7 @@ def _(s, d):
 
 @_query("j4_category_listing", "SELECT cat, vendor, CAST(row_number() OVER (PARTITION BY cat, vendor ORDER BY ka, kb, slug) AS INTEGER) AS ord, slug, num, title FROM entries")
 def _(s, d):
-    return index.category_listing(_entries(s, d))
+    return index.category_listing(_entries(s, d)).withColumn("ord", F.col("ord").cast("int"))
 
 
 _IMAGES = "SELECT vendor, slug, image FROM (SELECT vendor, slug, unnest(regexp_extract_all(body, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) AS image FROM parts WHERE has_fm) WHERE NOT regexp_matches(image, '^(https?:)?//') AND ltrim(image, '/') NOT IN (SELECT path FROM images)"
@@ -391,7 +391,7 @@ def _(s, d):
 
 @_query("w2_nav_position", "SELECT vendor, slug, CAST(row_number() OVER (PARTITION BY vendor ORDER BY ka, kb, slug) AS INTEGER) AS position FROM entries")
 def _(s, d):
-    return index.nav_order(_entries(s, d)).select("vendor", "slug", "position")
+    return index.nav_order(_entries(s, d)).select("vendor", "slug", F.col("position").cast("int").alias("position"))
 
 
 @_query("w3_first_pages", "SELECT v.id AS vendor, coalesce(arg_min(slug, lpad(CAST(ka AS VARCHAR), 8, '0') || lpad(CAST(kb AS VARCHAR), 12, '0') || slug), 'index') AS slug FROM vendors v LEFT JOIN entries e ON e.vendor = v.id GROUP BY v.id")

@@ -37,7 +37,7 @@ def running_last(df: DataFrame, outer: list[str], stretch: Column, order: list[C
 
 
 def in_order(df: DataFrame, outer: list[str], group: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
-    """``df`` with ``position`` (from 1 in each outer part) and ``previous_x`` / ``next_x`` for each x of ``values``.
+    """``df`` with ``position`` (a long, from 1 in each outer part) and ``previous_x`` / ``next_x`` for each x of ``values``.
 
     ``group`` columns come first in the order, ``order`` columns after them. Rows are ordered within
     their group only; a table with one row for each group holds where it begins and what stands at
@@ -64,7 +64,7 @@ def in_order(df: DataFrame, outer: list[str], group: list[str], order: list[str]
         match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
     joined = rows.join(renamed, match)
     joined = joined.withColumns({"_back": F.coalesce("_back", "_before_last"), "_on": F.coalesce("_on", "_after_first")})
-    out = joined.withColumn("position", (F.col("_n") + F.col("_before")).cast("int"))
+    out = joined.withColumn("position", F.col("_n") + F.col("_before"))
     for k in values:
         out = out.withColumn(f"previous_{k}", F.col("_back")[k]).withColumn(f"next_{k}", F.col("_on")[k])
     return out.drop("_own", "_n", "_back", "_on", "_before", "_before_last", "_after_first", *[f"_{k}" for k in keys])

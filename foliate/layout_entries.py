@@ -39,7 +39,7 @@ def _toc(s, d):
 
 
 def _sections(s, d):
-    return toc.build_sections(_toc(s, d), view.page_counts(_docs(s, d)))
+    return toc.build_sections(_toc(s, d), view.page_counts(_docs(s, d))).withColumn("ord", F.col("ord").cast("int"))
 
 
 def _lines(s, d):
