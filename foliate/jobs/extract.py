@@ -22,9 +22,9 @@ def pages_of(spark: SparkSession, out: str) -> DataFrame:
     return corpus.read_corpus(spark, f"{out}/pages").join(manifest_of(spark, out).drop("digest"), ["vendor", "slug"])
 
 
-def boxes_of_pages(spans: DataFrame, boxes: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The tables and the figures of all pages; ``boxes`` of the kinds raster and vector."""
-    found = materialize(tables.tables_of_pages(cells, layout.text_lines(spans), boxes), "tables")
+def boxes_of_pages(lines: DataFrame, boxes: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tables and the figures of all pages; ``lines`` as text_lines makes them, ``boxes`` of the kinds raster and vector."""
+    found = materialize(tables.tables_of_pages(cells, lines, boxes), "tables")
     rect = ["vendor", "page", "kind", "x0", "y0", "x1", "y1"]
     own = found.where("kind = 'table'").select(*rect, F.lit(0).alias("n_items"))
     figures = layout.figure_boxes(boxes.where("kind <> 'table'").select(*rect, "n_items").unionByName(own))
@@ -48,8 +48,9 @@ def run(
         known = changes.section_digests(sections, subs, changes.page_digests(spans, boxes, cells), repr(layouts))
         left = materialize(changes.skip_unchanged(known, manifest_of(spark, out)).select("vendor", "slug", "digest"), "left")
         if not left.isEmpty():
-            found, figures = boxes_of_pages(spans, boxes, cells)
-            items = layout.page_items(spans, found, figures, layout.config_table(spark, layouts))
+            lines = materialize(layout.text_lines(spans), "lines")  # read for the tables and for the items
+            found, figures = boxes_of_pages(lines, boxes, cells)
+            items = layout.items_of_lines(lines, found, figures, layout.config_table(spark, layouts))
             made = materialize(assemble.assemble(sections, items, subs, found, figures, layouts, only=left), "sections-made")
             corpus.merge_pages(made, f"{out}/pages")
             done = made.join(left, ["vendor", "slug"]).select("vendor", "slug", F.to_json(F.struct("digest", "started")).alias("text"))

@@ -54,12 +54,13 @@ def _tables(s, d):
     return tables.tables_of_pages(view.cells(_docs(s, d)), _lines(s, d), _boxes(s, d))
 
 
-def _boxed(s, d):
-    return boxes_of_pages(view.spans(_docs(s, d)), _boxes(s, d), view.cells(_docs(s, d)))
+def _boxed(s, d, lines=None):
+    return boxes_of_pages(_lines(s, d) if lines is None else lines, _boxes(s, d), view.cells(_docs(s, d)))
 
 
-def _items(s, d, boxed=None):
-    return layout.page_items(view.spans(_docs(s, d)), *(boxed or _boxed(s, d)), layout.config_table(s))
+def _items(s, d):
+    lines = materialize(_lines(s, d), "lines")
+    return layout.items_of_lines(lines, *_boxed(s, d, lines), layout.config_table(s))
 
 
 def _units(s, d):
@@ -67,8 +68,9 @@ def _units(s, d):
     entries = materialize(_toc(s, d), "toc")
     found = materialize(toc.build_sections(entries, view.page_counts(_docs(s, d))), "sections")
     subs = materialize(toc.sub_headings(found, entries), "sub-headings")
-    boxed = _boxed(s, d)
-    return assemble.assemble(found, _items(s, d, boxed), subs, *boxed)
+    lines = materialize(_lines(s, d), "lines")
+    boxed = _boxed(s, d, lines)
+    return assemble.assemble(found, layout.items_of_lines(lines, *boxed, layout.config_table(s)), subs, *boxed)
 
 
 @_query("l0_toc", _TOC + "SELECT * FROM toc")
@@ -234,7 +236,8 @@ def _(s, d):
 
 @_query("j12_text_outside_boxes", _LAY + f"SELECT {_LINE} FROM free")
 def _(s, d):
-    return layout.text_outside_boxes(_lines(s, d), layout.taken(*_boxed(s, d)))
+    lines = materialize(_lines(s, d), "lines")
+    return layout.text_outside_boxes(lines, layout.taken(*_boxed(s, d, lines)))
 
 
 @_query("f3_page_items", _LAY + "SELECT * FROM items")

@@ -156,16 +156,21 @@ def taken(tables: DataFrame, figures: DataFrame) -> DataFrame:
     return own.unionByName(figures.select(*rect, F.lit("figure").alias("kind")))
 
 
-def page_items(spans: DataFrame, tables: DataFrame, figures: DataFrame, config: DataFrame) -> DataFrame:
-    """All text items outside tables and figures.
+def items_of_lines(lines: DataFrame, tables: DataFrame, figures: DataFrame, config: DataFrame) -> DataFrame:
+    """All text items outside tables and figures, from lines as ``text_lines`` makes them.
 
     ``tables`` as tables_of_pages makes them and ``figures`` as all_figures does: a box that no
     figure was made of hides no text.
     """
-    rows = drop_blank(in_body_box(text_lines(spans), config))
+    rows = drop_blank(in_body_box(lines, config))
     return drop_running_lines(block_texts(text_outside_boxes(rows, taken(tables, figures))), config)
 
 
+def page_items(spans: DataFrame, tables: DataFrame, figures: DataFrame, config: DataFrame) -> DataFrame:
+    """The same from spans."""
+    return items_of_lines(text_lines(spans), tables, figures, config)
+
+
 def reading_order(items: DataFrame) -> DataFrame:
     """``items`` with ``seq``: by height to a tenth, then from the left."""
     return items.withColumn("seq", F.row_number().over(Window.partitionBy("vendor", "page").orderBy(F.round("y", 1), "x", "kind", "text")))
