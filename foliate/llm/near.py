@@ -3,10 +3,11 @@
 Two documents are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8
 or more. Sets of similarity s, of about one size, share c = 2s / (1 + s) of their shingles, and each
 bit of their fingerprints differs with a probability of arccos(c) / pi: at 0.8 about 15 %. That is
-too many of 64 bits for the exact shards of ``simhash.links``. So the fingerprints have ``BITS``
-bits, and a shard is the fingerprints that agree on a fixed choice of bits; there are so many
-choices that a pair of the least similarity meets in one with a probability of ``RECALL``. The
-choices take more bits the more fingerprints there are, so that shards stay small.
+too many of 64 bits for the exact shards of ``simhash.links``, and of any number of bits for shards by
+bits alone: either a shard holds much that is unrelated, or a fingerprint goes to very many. So the
+fingerprints have ``BITS`` bits, and a shard is the documents that agree on a band of MinHashes. The bands,
+16 of six, are as many for any number of documents; a pair of the least similarity meets in one with a
+probability of ``RECALL``, and documents that share a fifth of their shingles with one of a thousand.
 
 In every shard a BK-tree, as for ``simhash``, links what lies within ``radius``. The exact similarity
 decides within the components of these links. Equal word sequences are looked at once.
@@ -19,17 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize, mixed, packed, row_keys, slices, text_bytes
-from .paragraphs import BUCKET_PARAGRAPHS, RECALL, SHINGLE_WORDS, SIMILARITY, SLICE_BYTES, Words, _links, _shingles, contents
+from .paragraphs import BUCKET_PARAGRAPHS, RECALL, SHINGLE_WORDS, SIMILARITY, SLICE_BYTES, Words, _links, _minhashes, _shingles, _shingles_of_rows, bands, contents
 from .simhash import SHINGLES_AT_ONCE, TREE_NODES, first_rows, search
 
 BITS = 128
-#: Unrelated fingerprints that a shard is meant to hold, as a power of two.
-SHARD_POWER = 5
-LEAST_KEY_BITS = 8
+#: MinHashes that the bands of a text may take.
+HASHES = 128
 
 
 def differing(similarity: float) -> float:
@@ -43,35 +43,6 @@ def radius(similarity: float = SIMILARITY, bits: int = BITS) -> int:
     return math.ceil(bits * p + 2.5 * math.sqrt(bits * p * (1 - p)))
 
 
-def key_bits(n: int) -> int:
-    """Bits of a shard's key for n fingerprints."""
-    return max(LEAST_KEY_BITS, n.bit_length() - SHARD_POWER)
-
-
-def choices(size: int, similarity: float = SIMILARITY, recall: float = RECALL) -> list[list[int]]:
-    """Sets of ``size`` bits, so many that a pair of this similarity agrees on one with a probability of ``recall``."""
-    meets = (1 - differing(similarity)) ** size
-    rng, out = np.random.default_rng(11), []
-    while len(out) < math.log(1 - recall) / math.log(1 - meets):
-        if len(out) % (BITS // size) == 0:
-            order = rng.permutation(BITS).tolist()
-        at = len(out) % (BITS // size) * size
-        out.append(sorted(order[at : at + size]))
-    return out
-
-
-def _signed(bits: list[int]) -> Column:
-    mask = sum(1 << i for i in bits)
-    return F.lit(mask - (1 << 64) if mask >> 63 else mask)
-
-
-def _shard_keys(chosen: list[list[int]]) -> list[Column]:
-    return [
-        F.xxhash64(F.col("low").bitwiseAND(_signed([i for i in own if i < 64])), F.col("high").bitwiseAND(_signed([i - 64 for i in own if i >= 64])), F.lit(number))
-        for number, own in enumerate(chosen)
-    ]
-
-
 def _shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
     """``(start, contents, sets)`` of some texts at a time, a text's content being 128 bits of its words in order; a text of fewer words than a shingle has itself as its only one."""
     raw, offsets = text_bytes(texts)
@@ -91,19 +62,24 @@ def _fingerprint(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(2 * count > len(shingles), bitorder="little").view(np.uint64)
 
 
-def _sketches(rows: DataFrame) -> DataFrame:
-    """``(k1, k2, doc_id, c1, c2, low, high)`` of all texts; c1 and c2 are equal for equal words, low and high are the fingerprint."""
-    names = ["k1", "k2", "doc_id", "c1", "c2", "low", "high"]
+def _sketches(rows: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """``(k1, k2, doc_id, c1, c2, low, high, bands)`` of all texts; c1 and c2 are equal for equal words, low and high are the fingerprint."""
+    count, height = shape
+    names = ["k1", "k2", "doc_id", "c1", "c2", "low", "high", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, content, sets in _shingle_sets(batch.column("text")):
                 found = np.array([_fingerprint(own) for own in sets], np.uint64).reshape(-1, 2).view(np.int64)
+                ends = np.cumsum([0, *map(len, sets)])
+                small = _minhashes(np.concatenate(sets), ends[:-1], ends[1:], count * height)
+                keys = np.column_stack([_shingles_of_rows(small[:, b * height : (b + 1) * height], b) for b in range(count)])
                 columns = [batch.column(c).slice(i, len(sets)) for c in ("k1", "k2", "doc_id")]
                 columns += [pa.array(x) for x in (*content.view(np.int64).T, *found.T)]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * count, pa.int32()), pa.array(keys.reshape(-1).view(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.select("k1", "k2", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return rows.select("k1", "k2", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names[:-1]) + ", bands array<long>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -119,12 +95,11 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.select("content", "text").mapInArrow(run, "content long, shingles array<long>")
 
 
-def groups(unique: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """``(fp, group)`` of the texts ``(fp, low, high)`` whose fingerprints have links to others, or equal ones."""
+def groups(unique: DataFrame, similarity: float = SIMILARITY, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """``(fp, group)`` of the texts ``(fp, low, high, bands)`` whose fingerprints have links to others, or equal ones."""
     node = F.xxhash64("low", "high")
-    prints = unique.select("low", "high").distinct()
-    keys = _shard_keys(choices(key_bits(unique.count()), similarity, recall))
-    found = search(prints.select("low", "high", F.explode(F.array(*keys)).alias("shard")), ("low", "high"), radius(similarity), tree_nodes)
+    placed = unique.select("low", "high", F.explode("bands").alias("shard")).distinct()
+    found = search(placed, ("low", "high"), radius(similarity), tree_nodes)
     edges = found.select(F.xxhash64("a_low", "a_high").alias("a"), F.xxhash64("b_low", "b_high").alias("b"))
     labels = components(edges).withColumnRenamed("label", "root")
     grouped = unique.select("fp", node.alias("node")).join(labels, "node", "left").select("fp", F.coalesce("root", "node").alias("group"))
@@ -139,11 +114,11 @@ def representatives(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     meet less surely. Texts without words are equal. Ties are settled as in ``simhash.representatives``.
     """
     rows = packed(docs, "doc_id", "text").select("*", *row_keys())
-    found = materialize(_sketches(rows), "sketches")
-    unique = found.groupBy("c1", "c2").agg(F.min(F.struct("k1", "k2", "low", "high")).alias("own")).select("c1", "c2", "own.*")
+    found = materialize(_sketches(rows, bands(similarity, recall, HASHES)), "sketches")
+    unique = found.groupBy("c1", "c2").agg(F.min(F.struct("k1", "k2", "low", "high", "bands")).alias("own")).select("c1", "c2", "own.*")
     # Each different text has a number of its own from here on: no hash of it has to be unique.
     unique = materialize(unique.withColumn("fp", F.monotonically_increasing_id()), "unique-documents")
-    grouped = materialize(groups(unique, similarity, recall, tree_nodes), "grouped-documents")
+    grouped = materialize(groups(unique, similarity, tree_nodes), "grouped-documents")
     wanted = unique.join(grouped.select("fp"), "fp", "left_semi").select("k1", "k2", F.col("fp").alias("content"))
     sets = materialize(_sets(rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"])).dropDuplicates(["content"]), "shingle-sets")
     met = grouped.select(F.col("fp").alias("content"), F.col("group").alias("band"))

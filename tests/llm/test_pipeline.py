@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 
 import corpus_pipeline
 from foliate.llm import decontam, mixing, near, quality, simhash
+from foliate.llm.paragraphs import bands
 
 
 def tables(tmp_path, words):
@@ -92,12 +93,9 @@ def test_near_copies_at_a_similarity_of_eight_tenths_go(spark, docs, words):
     assert {r["doc_id"] for r in found.collect()} == want
 
 
-def test_choices_of_bits_meet_as_often_as_they_promise():
-    for n in (0, 1000, 250_000, 20_000_000):
-        size = near.key_bits(n)
-        chosen = near.choices(size)
-        assert all(len(set(own)) == size and max(own) < near.BITS for own in chosen)
-        assert 1 - (1 - (1 - near.differing(0.8)) ** size) ** len(chosen) >= near.RECALL
+def test_bands_meet_as_often_as_they_promise():
+    count, rows = bands(0.8, near.RECALL, near.HASHES)
+    assert 1 - (1 - 0.8**rows) ** count >= near.RECALL and 1 - (1 - 0.2**rows) ** count < 0.002
     assert near.differing(1.0) == 0 and near.differing(0.8) * near.BITS < near.radius() < near.BITS // 2
 
 
