@@ -1,6 +1,6 @@
 """A corpus of pages that is updated in place: merges write the buckets they change, and a snapshot says which files count.
 
-Below a corpus's folder, ``data/merge=<m>/bucket=<b>`` holds pages and ``snapshots/<version>`` says which
+Below a corpus's folder, ``merge=<m>/bucket=<b>`` holds pages and ``_snapshots/<version>`` says which
 buckets of which merges count. A merge writes whole new buckets beside the old ones and only then its snapshot,
 so a merge that fails changes nothing, and readers of an older snapshot keep their files until ``vacuum``.
 """
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .scratch import materialize
 
-#: Buckets of a new corpus. Pages are dealt to them by a hash of vendor and slug.
-BUCKETS = 256
+#: A new corpus has so many buckets that each holds about so many bytes of text, and these at least. Pages are dealt to them by a hash of vendor and slug.
+BUCKET_BYTES, LEAST_BUCKETS = 1 << 30, 16
 PAGES = "vendor string, slug string, text string"
 #: What is stored: a page, and a digest of its text that merges compare with.
 _STORED = f"{PAGES}, digest binary"
@@ -35,20 +35,20 @@ def _files(spark: SparkSession, path: str):
 
 def versions(spark: SparkSession, root: str) -> list[int]:
     """The snapshots of a corpus, oldest first; none where there is no corpus yet."""
-    at, fs = _files(spark, f"{root}/snapshots")
+    at, fs = _files(spark, f"{root}/_snapshots")
     names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
     return sorted(int(n) for n in names if n.isdigit())
 
 
 def _snapshot(spark: SparkSession, root: str, version: int | None) -> dict:
     if version is None:
-        return {"buckets": BUCKETS, "merges": {}}
-    return json.loads("\n".join(r[0] for r in spark.read.option("wholetext", "true").text(f"{root}/snapshots/{version}").collect()))
+        return {"buckets": 0, "merges": {}}
+    return json.loads("\n".join(r[0] for r in spark.read.option("wholetext", "true").text(f"{root}/_snapshots/{version}").collect()))
 
 
 def _publish(spark: SparkSession, root: str, version: int, snapshot: dict) -> None:
     """Written under another name and renamed: a snapshot is there whole or not at all."""
-    (draft, fs), (final, _) = _files(spark, f"{root}/snapshots/_{uuid.uuid4().hex}"), _files(spark, f"{root}/snapshots/{version}")
+    (draft, fs), (final, _) = _files(spark, f"{root}/_snapshots/_{uuid.uuid4().hex}"), _files(spark, f"{root}/_snapshots/{version}")
     out = fs.create(draft, False)
     out.write(bytearray(json.dumps(snapshot).encode()))
     out.close()
@@ -63,7 +63,7 @@ def _stored(spark: SparkSession, root: str, snapshot: dict, only: list[int] | No
     merges = {m: own for m, own in merges.items() if own}
     if not merges:
         return spark.createDataFrame([], f"{_STORED}, bucket int")
-    rows = spark.read.schema(f"{_STORED}, merge string, bucket int").option("basePath", f"{root}/data").parquet(*[f"{root}/data/merge={m}" for m in merges])
+    rows = spark.read.schema(f"{_STORED}, merge string, bucket int").option("basePath", root).parquet(*[f"{root}/merge={m}" for m in merges])
     live = reduce(or_, [(F.col("merge") == m) & F.col("bucket").isin(own) for m, own in merges.items()])
     return rows.where(live).drop("merge")
 
@@ -76,20 +76,20 @@ def read_corpus(spark: SparkSession, root: str, version: int | None = None) -> D
     return _stored(spark, root, _snapshot(spark, root, version or (there[-1] if there else None))).select("vendor", "slug", "text")
 
 
-def merge_pages(pages: DataFrame, root: str, buckets: int = BUCKETS) -> int | None:
+def merge_pages(pages: DataFrame, root: str, buckets: int | None = None) -> int | None:
     """Puts ``pages`` (vendor, slug, text) into the corpus and returns its version, a new one only if a page is new or differs.
 
     Pages that ``pages`` does not name stay. Texts are compared by SHA-256; buckets without a change are neither read whole nor
     written. Of several rows for one page the greatest text counts, null being least; a null vendor or slug is a key like any other.
-    ``buckets`` holds for a corpus that is not there yet. ``pages`` is computed once. None: there is neither a corpus nor a page.
+    ``buckets`` holds for a corpus that is not there yet, and else follows from its texts' size; it stays. ``pages`` is computed once. None: there is neither a corpus nor a page.
     """
     spark = pages.sparkSession
     there = versions(spark, root)
     last = there[-1] if there else None
     old = _snapshot(spark, root, last)
-    count = old["buckets"] if last is not None else buckets
-    given = pages.select("vendor", "slug", "text", F.unhex(F.sha2("text", 256)).alias("digest"), F.pmod(F.xxhash64("vendor", "slug"), F.lit(count)).cast("int").alias("bucket"))
-    given = materialize(given, "given-pages")
+    given = materialize(pages.select("vendor", "slug", "text", F.unhex(F.sha2("text", 256)).alias("digest")), "given-pages")
+    count = old["buckets"] or buckets or max(LEAST_BUCKETS, -(-(given.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // BUCKET_BYTES))
+    given = given.withColumn("bucket", F.pmod(F.xxhash64("vendor", "slug"), F.lit(count)).cast("int"))
     known = _stored(spark, root, old).select(*[F.col(c).alias(f"_{c}") for c in ("vendor", "slug", "digest")])
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("vendor", "slug", "digest")]
     fresh = materialize(given.join(known, same[0] & same[1] & same[2], "left_anti"), "fresh-pages")
@@ -101,7 +101,7 @@ def merge_pages(pages: DataFrame, root: str, buckets: int = BUCKETS) -> int | No
     # One exchange of the texts, by bucket; the window keeps to it.
     newest = Window.partitionBy("bucket", "vendor", "slug").orderBy(F.desc("fresh"), F.desc("text"))
     merged = rows.repartition("bucket").withColumn("_n", F.row_number().over(newest)).where("_n = 1").select("vendor", "slug", "text", "digest", "bucket")
-    merged.write.partitionBy("bucket").parquet(f"{root}/data/merge={merge}")
+    merged.write.partitionBy("bucket").parquet(f"{root}/merge={merge}")
     left = {m: sorted(set(own) - set(touched)) for m, own in old["merges"].items()}
     now = {"buckets": count, "merges": {m: own for m, own in left.items() if own} | {merge: sorted(touched)}}
     _publish(spark, root, (last or 0) + 1, now)
@@ -116,12 +116,14 @@ def vacuum(spark: SparkSession, root: str, keep: int = 1) -> int:
     there = versions(spark, root)
     named = {(m, b) for v in there[-keep:] for m, own in _snapshot(spark, root, v)["merges"].items() for b in own}
     for v in there[:-keep]:
-        at, fs = _files(spark, f"{root}/snapshots/{v}")
+        at, fs = _files(spark, f"{root}/_snapshots/{v}")
         fs.delete(at, False)
-    at, fs = _files(spark, f"{root}/data")
+    at, fs = _files(spark, root)
     gone = 0
     for merge in fs.listStatus(at) if fs.exists(at) else []:
-        m = merge.getPath().getName().removeprefix("merge=")
+        if not (name := merge.getPath().getName()).startswith("merge="):
+            continue
+        m = name.removeprefix("merge=")
         if m not in {name for name, _ in named}:
             fs.delete(merge.getPath(), True)
             gone += 1

@@ -85,6 +85,15 @@ def test_a_merge_that_fails_before_its_snapshot(spark, table, root, monkeypatch)
     assert stored(spark, root) == {("alpha", "p"): "d", ("alpha", "q"): "b"}
 
 
+def test_buckets_follow_the_size_and_stay(spark, table, root, monkeypatch):
+    monkeypatch.setattr(corpus, "BUCKET_BYTES", 50)
+    rows = [("alpha", f"p{i}", f"text {i:04d}") for i in range(200)]  # 1,800 bytes
+    corpus.merge_pages(table(rows), root)
+    made = corpus._snapshot(spark, root, 1)["buckets"]
+    corpus.merge_pages(table([("beta", "q", "x" * 5000)]), root)
+    assert made == 36 == corpus._snapshot(spark, root, 2)["buckets"] and len(stored(spark, root)) == 201
+
+
 def test_vacuum(spark, table, root, tmp_path):
     r, want = random.Random(1), {}
     for n in range(4):
