@@ -35,6 +35,18 @@ _FIELDS = {"title": 1, "heads": 2, "num": 4}
 _EDGE = "\ufdd0\ufdd0"
 
 
+#: What an index is made of; tables that may be empty are read by these.
+_TABLES = {
+    "docs": "vendor string, slug string, num string, title string, heads array<string>, excerpt string, l_title string, l_num string, l_heads array<string>, hay string, n long, stretch int",
+    "postings": "gram string, row long, docs array<struct<n: long, mask: tinyint>>, part int",
+    "grams": "gram string, docs long",
+}
+
+
+def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(_TABLES[name]).parquet(f"{path}/{name}")
+
+
 def _grams(text: Column) -> Column:
     """The distinct grams of a text and its edges."""
     padded = F.split(F.concat(F.lit(_EDGE), text, F.lit(_EDGE)), "")
@@ -56,19 +68,19 @@ def _marked() -> Column:
 
 
 def write_index(docs: DataFrame, path: str) -> None:
-    """Writes the index of ``search.prepared`` documents; the order of their numbers ``n`` is the index order."""
+    """Writes the index of ``search.prepared`` documents; the order of their numbers ``n`` is the index order. Other columns are left out; nulls are as empty texts in a search."""
     spark = docs.sparkSession
     texts = {c: F.coalesce(c, F.lit("")).alias(c) for c in ("l_title", "l_num", "hay")}
     heads = F.coalesce(F.filter("l_heads", lambda h: h.isNotNull()), F.array().cast("array<string>"))
-    rows = docs.withColumns(texts | {"l_heads": heads, "_key": sort_key(F.col("num"))})
+    rows = docs.select(*[c.split()[0] for c in _TABLES["docs"].split(", ")[:-2]]).withColumns(texts | {"l_heads": heads, "_key": sort_key(F.col("num"))})
     order = [F.col("vendor"), F.col("_key"), F.col("slug")]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_key").withColumns({"n": F.monotonically_increasing_id(), "stretch": F.spark_partition_id()})
     placed.write.partitionBy("stretch").parquet(f"{path}/docs")
-    entries = spark.read.parquet(f"{path}/docs").select("n", F.explode(_marked()).alias("x")).select("x.gram", "n", "x.mask")
+    entries = _table(spark, path, "docs").select("n", F.explode(_marked()).alias("x")).select("x.gram", "n", "x.mask")
     lists = entries.groupBy("gram", F.shiftright("n", ROW_BITS).alias("row")).agg(F.array_sort(F.collect_list(F.struct("n", "mask"))).alias("docs"))
     lists = lists.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS)).cast("int"))
     lists.repartitionByRange("part", "gram").sortWithinPartitions("part", "gram", "row").write.partitionBy("part").parquet(f"{path}/postings")
-    sizes = spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.sum(F.size("docs")).alias("docs"))
+    sizes = _table(spark, path, "postings").groupBy("gram").agg(F.sum(F.size("docs")).alias("docs"))
     sizes.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/grams")
 
 
@@ -84,7 +96,7 @@ def chosen_grams(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame
     ``grams``: how many lists a document must be in for the term (null: any of them, for terms shorter than a gram);
     ``times`` the term occurs in the query; ``terms`` are looked up of it. Grams that no document has stay: their lists are empty.
     """
-    sizes = spark.read.parquet(f"{path}/grams")
+    sizes = _table(spark, path, "grams")
     each = wanted.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("int").alias("times"))
     terms = each.select("term").distinct()
     long = terms.where(F.length("term") >= GRAM)
@@ -103,7 +115,7 @@ def chosen_grams(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame
 def lists_of(spark: SparkSession, path: str, grams: DataFrame) -> DataFrame:
     """``(gram, n, mask)`` of these grams; the parts, and the files' pieces, that hold none of them are not read."""
     names = [r["gram"] for r in grams.select("gram").distinct().limit(NAMED + 1).collect()]
-    rows = spark.read.parquet(f"{path}/postings")
+    rows = _table(spark, path, "postings")
     if len(names) <= NAMED:
         parts = spark.createDataFrame([(g,) for g in names], "gram string").select(F.pmod(F.xxhash64("gram"), F.lit(PARTS)).cast("int").alias("part")).distinct()
         rows = rows.where(F.col("part").isin([r["part"] for r in parts.collect()]) & F.col("gram").isin(names))
@@ -126,7 +138,7 @@ def candidates(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
 def verified(spark: SparkSession, path: str, wanted: DataFrame, found: DataFrame) -> DataFrame:
     """The documents of ``found`` (query_id, n) that hold every term, with ``score``; stretches without a candidate are not read."""
     stretches = [r[0] for r in found.select(F.shiftright("n", 33).cast("int").alias("stretch")).distinct().collect()]  # at most one for each file of docs
-    docs = spark.read.parquet(f"{path}/docs").where(F.col("stretch").isin(stretches))
+    docs = _table(spark, path, "docs").where(F.col("stretch").isin(stretches))
     rows = found.join(docs, "n").join(wanted, "query_id").where(F.forall("terms", lambda t: F.contains("hay", t)))
     return rows.withColumn("score", F.aggregate("terms", F.lit(0), lambda n, t: n + _points(t)))
 
