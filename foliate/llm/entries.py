@@ -53,7 +53,7 @@ def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    return suffix.remove_repeats(documents(spark, sf_dir))
+    return suffix.remove_repeats(documents(spark, sf_dir), shorter=suffix.PASSAGE)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ once can hold a repeat. Equal pieces are counted and sent on once. The pieces of
 one task, which sorts their suffixes one first byte at a time: by their first ``PERIOD`` bytes, and
 beyond that by the ranks of a difference cover's positions, computed beforehand. Neighbours in that
 order that share ``STRING`` bytes are repeats.
+
+The same sort can tell repeats of a second, shorter length: starts are then filed by that one, and a
+piece reaches on over the bytes of the longer strings that begin in it.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .common import materialize, mixed, powers, row_keys, slices, text_bytes
 STRING = 400
 GRAM = 100
 SLICE_BYTES = 512 << 10
+#: Bytes of a passage of 50 words, of five letters and a blank each: fewer than ``STRING``.
+PASSAGE = 300
 #: Bytes looked at together, a power of two; only a text alone in its slice can be longer.
 LONGEST = 1 << 24
 #: Pieces sorted together; more only where one anchor has more.
@@ -41,14 +46,17 @@ def _sums(raw: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * up[: len(raw)], dtype=np.uint64)])
 
 
-def pieces(raw: np.ndarray, offsets: np.ndarray, string: int = STRING, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """``(document, anchor hash, piece hash, first start, last start, anchor)`` of all pieces; places count within the document."""
-    n, width = len(raw), string - gram + 1
-    if n > LONGEST:  # one long text: by ranges of starts, each with the bytes that its strings reach into
-        parts = []
-        for begin in range(0, n - string + 1, LONGEST - string + 1):
+def pieces(raw: np.ndarray, offsets: np.ndarray, string: int = STRING, gram: int = GRAM, reach: int = 0, most: int | None = None) -> tuple[np.ndarray, ...]:
+    """``(document, anchor hash, piece hash, first start, last start, anchor)`` of all pieces; places count within the document.
+
+    A piece is known by its bytes up to ``reach`` after its last start, or the text's end. Only starts before ``most`` count.
+    """
+    n, width, reach = len(raw), string - gram + 1, max(string, reach)
+    if n > LONGEST and most is None:  # one long text: by ranges of starts, each with the bytes that its strings reach into
+        parts, step = [], LONGEST - reach + 1
+        for begin in range(0, n - string + 1, step):
             own = raw[begin : begin + LONGEST]
-            _, anchor, piece, lo, hi, at = pieces(own, np.array([0, len(own)]), string, gram)
+            _, anchor, piece, lo, hi, at = pieces(own, np.array([0, len(own)]), string, gram, reach, step)
             parts.append((np.zeros(len(lo), np.int64), anchor, piece, lo + begin, hi + begin, at + begin))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     if n < string:
@@ -69,14 +77,16 @@ def pieces(raw: np.ndarray, offsets: np.ndarray, string: int = STRING, gram: int
     change[offsets[long]] += 1
     np.add.at(change, offsets[long + 1] - string + 1, -1)
     starts = np.flatnonzero(np.cumsum(change[:-1]))
+    starts = starts if most is None else starts[starts < most]
     if not len(starts):
         return pieces(raw[:0], offsets[:1])
     own = anchors[starts]
     first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     lo, hi, at = starts[first], starts[np.append(first[1:], len(starts)) - 1], own[first]
-    whole = mixed((sums[hi + string] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
     doc = np.searchsorted(offsets, lo, "right") - 1
-    base = offsets[doc]
+    base, end = offsets[doc], np.minimum(hi + reach, offsets[doc + 1])
+    whole = mixed((sums[end] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+    whole = mixed(whole + (end - hi).astype(np.uint64))
     return doc, mixed(grams[at] + np.uint64(1)), whole, lo - base, hi - base, at - base
 
 
@@ -152,43 +162,49 @@ def sorted_buckets(data: np.ndarray, starts: np.ndarray, depth: int) -> Iterator
         yield own
 
 
-def repeats(texts: list[bytes], anchors: list[int], counts: list[int], string: int = STRING) -> list[list[tuple[int, int]]]:
-    """For each piece, the ranges (first, last) of its starts whose string starts elsewhere too.
+def _runs(found: np.ndarray) -> list[tuple[int, int]]:
+    own = np.diff(found.astype(np.int8), prepend=0, append=0)
+    return [(int(i), int(j) - 1) for i, j in zip(np.flatnonzero(own == 1), np.flatnonzero(own == -1), strict=True)]
+
 
+def repeats(texts: list[bytes], anchors: list[int], counts: list[int], starts_of: list[int], lengths: tuple[int, ...]) -> list[list[list[tuple[int, int]]]]:
+    """For each string length and each piece, the ranges (first, last) of its starts whose string of that length starts elsewhere too.
+
+    The first length is the longest. A piece has ``starts_of`` starts; a string that its bytes don't hold whole is beyond its text's end.
     Pieces are laid out with their anchors on multiples of PERIOD, so strings that meet at an anchor
     have one residue. A piece counted more than once is a repeat throughout.
     """
-    at, place = [], 0
+    at, place, longest = [], 0, lengths[0]
     for text, anchor in zip(texts, anchors, strict=True):
         place += -(place + anchor) % PERIOD
         at.append(place)
         place += len(text)
-    data = np.zeros(place + 2 * (string + PERIOD), np.uint8)
+    data = np.zeros(place + 2 * (longest + PERIOD), np.uint8)
     for text, place in zip(texts, at, strict=True):
         data[place : place + len(text)] = np.frombuffer(text, np.uint8)
-    lengths = np.array([len(t) - string + 1 for t in texts])
-    begins = np.array(at)
-    starts = np.repeat(begins - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+    many, begins, sizes = np.array(starts_of), np.array(at), np.array([len(t) for t in texts])
+    starts = np.repeat(begins - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+    ends = np.zeros(len(data), np.int64)
+    ends[starts] = np.repeat(begins + sizes, many)
     sums, down = _sums(data), powers(len(data) + 1)[1]
-    found = np.zeros(len(data), bool)
-    for own in sorted_buckets(data, starts, string):
-        hashes = (sums[own + string] - sums[own]) * down[own]
-        equal = np.flatnonzero(hashes[1:] == hashes[:-1])
-        found[own[equal]] = found[own[equal + 1]] = True
+    found = [np.zeros(len(data), bool) for _ in lengths]
+    for bucket in sorted_buckets(data, starts, longest):
+        for string, marks in zip(lengths, found, strict=True):
+            own = bucket[bucket + string <= ends[bucket]]
+            hashes = (sums[own + string] - sums[own]) * down[own]
+            equal = np.flatnonzero(hashes[1:] == hashes[:-1])
+            marks[own[equal]] = marks[own[equal + 1]] = True
     out = []
-    for begin, length, count in zip(begins.tolist(), lengths.tolist(), counts, strict=True):
-        if count > 1:
-            out.append([(0, length - 1)])
-            continue
-        own = np.diff(found[begin : begin + length].astype(np.int8), prepend=0, append=0)
-        out.append([(int(i), int(j) - 1) for i, j in zip(np.flatnonzero(own == 1), np.flatnonzero(own == -1), strict=True)])
+    for string, marks in zip(lengths, found, strict=True):
+        whole = np.minimum(many, sizes - string + 1).tolist()
+        out.append([([(0, n - 1)] if n > 0 else []) if count > 1 else _runs(marks[begin : begin + length]) for begin, length, count, n in zip(at, starts_of, counts, whole, strict=True)])
     return out
 
 
 _RANGES = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
-def _file(docs: DataFrame, string: int, gram: int) -> DataFrame:
+def _file(docs: DataFrame, string: int, gram: int, reach: int) -> DataFrame:
     """``(anchor, piece, k1, k2, lo, hi, at)``: every piece of every text, without its bytes."""
     names = ["anchor", "piece", "k1", "k2", "lo", "hi", "at"]
 
@@ -197,7 +213,7 @@ def _file(docs: DataFrame, string: int, gram: int) -> DataFrame:
             raw, offsets = text_bytes(batch.column("text"))
             k1, k2 = (batch.column(k).to_numpy() for k in ("k1", "k2"))
             for i, j in slices(offsets, SLICE_BYTES):
-                doc, anchor, piece, lo, hi, at = pieces(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], string, gram)
+                doc, anchor, piece, lo, hi, at = pieces(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], string, gram, reach)
                 columns = [anchor.view(np.int64), piece.view(np.int64), k1[i:j][doc], k2[i:j][doc], *(x.astype(np.int32) for x in (lo, hi, at))]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
 
@@ -205,7 +221,7 @@ def _file(docs: DataFrame, string: int, gram: int) -> DataFrame:
 
 
 def _cut(rows: DataFrame, string: int) -> DataFrame:
-    """``(anchor, piece, n, at, bytes)`` for the pieces listed in ``wanted``, from their documents' texts."""
+    """``(anchor, piece, n, starts, at, bytes)`` for the pieces listed in ``wanted``, from their documents' texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -215,34 +231,36 @@ def _cut(rows: DataFrame, string: int) -> DataFrame:
                 if (key := (k1.as_py(), k2.as_py())) == last:  # a repeated row
                     continue
                 last, raw = key, text.as_py().encode()
-                out += [{"anchor": w["anchor"], "piece": w["piece"], "n": w["n"], "at": w["at"] - w["lo"], "bytes": raw[w["lo"] : w["hi"] + string]} for w in wanted.as_py()]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("anchor", pa.int64()), ("piece", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("bytes", pa.binary())]))
+                out += [{"anchor": w["anchor"], "piece": w["piece"], "n": w["n"], "starts": w["hi"] - w["lo"] + 1, "at": w["at"] - w["lo"], "bytes": raw[w["lo"] : w["hi"] + string]} for w in wanted.as_py()]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("anchor", pa.int64()), ("piece", pa.int64()), ("n", pa.int64()), ("starts", pa.int32()), ("at", pa.int32()), ("bytes", pa.binary())]))
 
-    return rows.mapInArrow(run, "anchor long, piece long, n long, at int, bytes binary")
+    return rows.mapInArrow(run, "anchor long, piece long, n long, starts int, at int, bytes binary")
 
 
-def _resolve(rows: DataFrame, string: int) -> DataFrame:
-    """``(anchor, piece, ranges)`` for pieces ``(anchor, piece, n, at, bytes)``."""
+def _resolve(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """``(anchor, piece, ranges0, ...)``, ranges for each length, for pieces ``(anchor, piece, n, starts, at, bytes)``."""
+    names = [f"ranges{k}" for k in range(len(lengths))]
 
     def settled(rows: list[tuple]) -> pa.RecordBatch:
-        found = repeats([r[4] for r in rows], [r[3] for r in rows], [r[2] for r in rows], string) if rows else []
-        ranges = [[{"lo": i, "hi": j} for i, j in own] for own in found]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(ranges, _RANGES)], names=["anchor", "piece", "ranges"])
+        found = repeats([r[5] for r in rows], [r[4] for r in rows], [r[2] for r in rows], [r[3] for r in rows], lengths) if rows else [[] for _ in lengths]
+        ranges = [pa.array([[{"lo": i, "hi": j} for i, j in own] for own in each], _RANGES) for each in found]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *ranges], names=["anchor", "piece", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "piece", "n", "at", "bytes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "piece", "n", "starts", "at", "bytes")), strict=True):
                 if size > BLOCK_BYTES and row[0] != held[-1][0]:
                     yield settled(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
         yield settled(held)
 
     dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "piece")
-    return dealt.mapInArrow(run, "anchor long, piece long, ranges array<struct<lo: int, hi: int>>").where(F.size("ranges") > 0)
+    schema = ", ".join(["anchor long", "piece long", *(f"{n} array<struct<lo: int, hi: int>>" for n in names)])
+    return dealt.mapInArrow(run, schema).where(" or ".join(f"size({n}) > 0" for n in names))
 
 
 def _start_by_start(rows: DataFrame, string: int) -> DataFrame:
@@ -252,6 +270,7 @@ def _start_by_start(rows: DataFrame, string: int) -> DataFrame:
         for batch in batches:
             for k1, k2, text, wanted in zip(*(batch.column(c) for c in ("k1", "k2", "text", "crowded")), strict=True):
                 raw, own = text.as_py().encode(), [i for w in wanted.as_py() for i in range(w["lo"], w["hi"] + 1)]
+                own = [i for i in own if i + string <= len(raw)]
                 digests = [hashlib.blake2b(raw[i : i + string], digest_size=16).digest() for i in own]
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([k1.as_py()] * len(own), pa.int64()), pa.array([k2.as_py()] * len(own), pa.int64()), pa.array(own, pa.int32())], names=["digest", "k1", "k2", "lo"])
 
@@ -261,40 +280,49 @@ def _start_by_start(rows: DataFrame, string: int) -> DataFrame:
     return starts.join(often, "digest").select("k1", "k2", "lo", F.col("lo").alias("hi"))
 
 
-def _remove(rows: DataFrame, string: int) -> DataFrame:
-    """Texts without the bytes of their repeated strings: what is left of each, as figures."""
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+def _spans(ranges: list[dict] | None, string: int) -> list[list[int]]:
+    """The bytes that strings cover whose starts lie in the ranges, as maximal runs."""
+    spans: list[list[int]] = []
+    for i, j in sorted((r["lo"], r["hi"] + string) for r in ranges or ()):
+        if spans and i <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], j)
+        else:
+            spans.append([i, j])
+    return spans
+
+
+def _remove(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """Texts without the bytes of their repeated strings: what is left of each, as figures; ``n_shorter`` counts the bytes of shorter repeats."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shorter"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, ranges in zip(batch.column("text"), batch.column("ranges").to_pylist(), strict=True):
-                raw, spans = text.as_py().encode(), []
-                for i, j in sorted((r["lo"], r["hi"] + string) for r in ranges or ()):
-                    if spans and i <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], j)
-                    else:
-                        spans.append([i, j])
+            for text, *found in zip(batch.column("text"), *(batch.column(f"ranges{k}").to_pylist() for k in range(len(lengths))), strict=True):
+                raw = text.as_py().encode()
+                spans, *shorter = (_spans(ranges, string) for ranges, string in zip(found, lengths, strict=True))
                 kept, at = hashlib.sha256(), 0
                 for i, j in [*spans, [len(raw), len(raw)]]:
                     kept.update(raw[at:i])
                     at = j
-                out.append((len(raw), sum(j - i for i, j in spans), len(spans), kept.hexdigest()))
-            columns = [batch.column("doc_id"), *(pa.array([o[k] for o in out], pa.int64() if k < 3 else pa.string()) for k in range(4))]
+                out.append((len(raw), sum(j - i for i, j in spans), len(spans), kept.hexdigest(), sum(j - i for own in shorter for i, j in own)))
+            columns = [batch.column("doc_id"), *(pa.array([o[k] for o in out], pa.string() if k == 3 else pa.int64()) for k in range(5))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shorter long")
 
 
-def remove_repeats(docs: DataFrame, string: int = STRING, gram: int = GRAM, anchor_pieces: int = ANCHOR_PIECES) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for each input row.
+def remove_repeats(docs: DataFrame, string: int = STRING, gram: int = GRAM, anchor_pieces: int = ANCHOR_PIECES, shorter: int | None = None) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for each input row; with ``shorter`` (from ``gram`` to ``string``) also
+    ``n_shorter``, the bytes that a string of that length covers which starts anywhere else too: these stay.
 
     A byte goes if any ``string`` bytes that hold it start anywhere else too, in its own text or in
     another row's; all copies go. A null or empty text has no bytes. Repeated rows are copies of each
     other.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *row_keys())
-    filed = materialize(_file(rows, string, gram), "pieces")
+    lengths = (string,) if shorter is None else (string, shorter)
+    filed = materialize(_file(rows, lengths[-1], gram, string), "pieces")
     often = filed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     # Written first, so that the join deals out both sides itself and can split a hot anchor.
     often = materialize(often, "often")
@@ -319,12 +347,16 @@ def remove_repeats(docs: DataFrame, string: int = STRING, gram: int = GRAM, anch
         ), "texts",
     )
     held = texts.where("text is not null")
-    ranges = _resolve(_cut(held.where("wanted is not null").select("k1", "k2", "text", "wanted"), string), string)
-    found = members.where("crowded is null").select("anchor", "piece", "k1", "k2", "lo").join(ranges, ["anchor", "piece"])
-    found = found.select("k1", "k2", F.explode(F.transform("ranges", lambda r: F.struct((r["lo"] + F.col("lo")).alias("lo"), (r["hi"] + F.col("lo")).alias("hi")))).alias("r"))
-    single = _start_by_start(held.where(F.size("crowded") > 0).select("k1", "k2", "text", "crowded"), string)
-    found = found.unionByName(single.select("k1", "k2", F.struct("lo", "hi").alias("r")))
-    spans = found.groupBy("k1", "k2").agg(F.collect_set("r").alias("ranges"))
-    done = _remove(held.select("k1", "k2", "doc_id", "text").join(spans, ["k1", "k2"], "left").select("doc_id", "text", "ranges"), string)
-    untouched = texts.where("text is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256")
-    return done.unionByName(untouched)
+    ranges = _resolve(_cut(held.where("wanted is not null").select("k1", "k2", "text", "wanted"), string), lengths)
+    met = members.where("crowded is null").select("anchor", "piece", "k1", "k2", "lo").join(ranges, ["anchor", "piece"])
+    moved = lambda k: F.transform(f"ranges{k}", lambda r: F.struct((r["lo"] + F.col("lo")).alias("lo"), (r["hi"] + F.col("lo")).alias("hi"), F.lit(k).alias("k")))
+    found = met.select("k1", "k2", F.explode(F.concat(*map(moved, range(len(lengths))))).alias("r")).select("k1", "k2", F.struct("r.lo", "r.hi").alias("r"), F.col("r.k").alias("k"))
+    crowd = held.where(F.size("crowded") > 0).select("k1", "k2", "text", "crowded")
+    for k, length in enumerate(lengths):
+        found = found.unionByName(_start_by_start(crowd, length).select("k1", "k2", F.struct("lo", "hi").alias("r"), F.lit(k).alias("k")))
+    spans = found.groupBy("k1", "k2").agg(*[F.collect_set(F.when(F.col("k") == k, F.col("r"))).alias(f"ranges{k}") for k in range(len(lengths))])
+    done = _remove(held.select("k1", "k2", "doc_id", "text").join(spans, ["k1", "k2"], "left").drop("k1", "k2"), lengths)
+    zero = F.lit(0).cast("long")
+    untouched = texts.where("text is null").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", zero.alias("n_shorter"))
+    out = done.unionByName(untouched)
+    return out.drop("n_shorter") if shorter is None else out

@@ -44,6 +44,15 @@ def test_matches_brute_force(docs, words, string, gram, limit):
     assert sorted(got, key=str) == brute(data, string)
 
 
+@pytest.mark.parametrize("string,shorter,gram,limit", [(400, 256, 100, 8192), (120, 64, 40, 8192), (120, 64, 40, 1), (64, 64, 32, 3), (200, 33, 32, 8192)])
+def test_a_shorter_length_beside(docs, words, string, shorter, gram, limit):
+    """The shorter length changes nothing of the longer one's figures, and has its own."""
+    data = rows(words) + [(60 + k, words(9, 300 + k) + " " + words(25, 88)) for k in range(3)] + [(70, words(25, 88))]
+    got = [tuple(r) for r in suffix.remove_repeats(docs(data).repartition(3), string, gram, limit, shorter).collect()]
+    assert sorted((r[:5] for r in got), key=str) == brute(data, string)
+    assert sorted(((r[0], r[1], r[5]) for r in got), key=str) == sorted(((r[0], r[1], r[2]) for r in brute(data, shorter)), key=str)
+
+
 def test_a_long_text_in_ranges(docs, words, monkeypatch):
     data = rows(words)
     # A range of starts is one more place where a run of starts is cut; what repeats stays the same.
