@@ -17,6 +17,8 @@ from .sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Places on a page in numbers that go through a manual, and pages kept free behind the last.
+PAGE_PLACES, SPARE_PAGES = 10_000, 100
 _TOC = f"WITH {view.BASE_SQL}, toc AS ({view.TOC_SQL}) "
 
 
@@ -330,8 +332,11 @@ hit AS (SELECT p.vendor, p.slug, p.seq, arg_min(level, pos) AS toc_level FROM pl
 SELECT p.vendor, p.slug, p.seq, text, toc_level FROM placed p LEFT JOIN hit USING (vendor, slug, seq)""")
 def _(s, d):
     found = _sections(s, d)
+    # An integer as in the SQL where all pages fit, which ends at page 214,747, and else a long.
+    most = view.page_counts(_docs(s, d)).agg(F.max("pages")).first()[0] or 0
+    kind = "int" if (most + SPARE_PAGES) * PAGE_PLACES < 2**31 else "long"
     own = found.select("vendor", "slug", F.explode(F.sequence("page", "page_end")).alias("page"))
-    items = layout.reading_order(_items(s, d)).join(own, ["vendor", "page"]).withColumn("seq", F.col("page") * 10000 + F.col("seq"))
+    items = layout.reading_order(_items(s, d)).join(own, ["vendor", "page"]).withColumn("seq", (F.col("page").cast("long") * PAGE_PLACES + F.col("seq")).cast(kind))
     return assemble.toc_headings(items.select("vendor", "slug", "seq", "text"), toc.sub_headings(found, _toc(s, d)))
 
 
