@@ -383,10 +383,10 @@ def _rows4(s, d):
     words = F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))
     rows = view._based(_docs(s, d)).select("doc_id", words.alias("w")).where("size(w) > 0")
     blank = lambda i: (i % 4 == 1) & (F.col("doc_id") % 4 == 0) | (i % 4 == 2) & (i > 3) & (F.col("doc_id") % 3 == 0)
-    # Materialized as an array by the generator, so that no row looks single words up in the text.
-    each = rows.select("doc_id", F.posexplode("w").alias("i", "word")).select("doc_id", F.floor(F.col("i") / 4).alias("r"), (F.col("i") % 4).alias("c"), F.when(blank(F.col("i")), "").otherwise(F.col("word")).alias("word"))
-    each = each.groupBy("doc_id", "r").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "word"))), lambda x: x["word"]).alias("row"))
-    return each.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "row"))), lambda x: x["row"]).alias("rows"))
+    # The words are bound once, so that no row looks them up in the text, and stay with their document.
+    fours = lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.size(w) / 4).cast("int") - 1), lambda r: F.slice(w, r * 4 + 1, F.lit(4)))
+    shown = F.transform("w", lambda x, i: F.when(blank(i), "").otherwise(x))
+    return rows.select("doc_id", F.explode(F.transform(F.array(shown), fours)).alias("rows"))
 
 
 @_query("x7_clean_columns", f"WITH {view.BASE_SQL}{_ROWS4}, k4 AS (SELECT *, list_filter(range(LEAST(4, CASE WHEN h > 1 THEN 4 ELSE (SELECT len(w) FROM w4 WHERE w4.doc_id = r4.doc_id) END)), lambda k: {_FILLED(0)} AND NOT (h >= 4 AND c[k + 1] <> '' AND NOT {_FILLED(1)})) AS keep FROM r4) SELECT doc_id, list_aggregate(list_transform(range(h), lambda r: coalesce(list_aggregate(list_transform(keep, lambda k: c[r * 4 + k + 1]), 'string_agg', '|'), '')), 'string_agg', chr(10)) AS grid FROM k4")

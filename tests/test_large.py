@@ -1,9 +1,12 @@
 """Queries on what only larger tables hold."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from foliate.operators import assemble
+from foliate.operators import assemble, tables
 
 
 @pytest.fixture
@@ -28,3 +31,11 @@ def test_items_of_late_pages_are_numbered(spark, documents):
 @pytest.mark.parametrize(("text", "made"), [("leontion | a", "leontion | a"), ("l’eau", "l’eau"), ("l項目", "- 項目"), ("lGX を開く", "- GX を開く"), ("l 項目", "- 項目")])
 def test_a_letter_is_a_bullet_where_no_word_goes_on(text, made):
     assert assemble.postprocess("gamma", [("p", text)]) == [("p", made)]
+
+
+def test_columns_of_long_tables_are_cleaned_in_one_pass(spark):
+    rows = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.array(i.cast("string"), F.lit(""), F.when(i == 1, "h").otherwise("")))
+    long = spark.createDataFrame([(30_000,)], "n int").select(rows.alias("rows")).localCheckpoint()
+    begun = time.monotonic()
+    assert long.select(F.explode(tables.clean_columns_column(F.col("rows"))).alias("r")).where("size(r) = 1").count() == 30_000
+    assert time.monotonic() - begun < 40
