@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from foliate.operators import assemble, tables
+from foliate.operators import assemble, blocks, tables
 
 
 @pytest.fixture
@@ -39,3 +39,12 @@ def test_columns_of_long_tables_are_cleaned_in_one_pass(spark):
     begun = time.monotonic()
     assert long.select(F.explode(tables.clean_columns_column(F.col("rows"))).alias("r")).where("size(r) = 1").count() == 30_000
     assert time.monotonic() - begun < 40
+
+
+def test_pages_are_polished_one_at_a_time(spark):
+    # Batches of Arrow are of thousands of pages, however long these are.
+    pages = spark.createDataFrame([("alpha", "p1", "a\n\nます。"), ("alpha", "p2", None)], "vendor string, slug string, body string")
+    for made in (blocks.polish_bodies(pages), blocks.blocks_of(pages)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "Arrow" not in plan and "MapInPandas" not in plan
+    assert [tuple(r) for r in blocks.polish_bodies(pages).orderBy("slug").collect()] == [("alpha", "p1", "aます。\n", 1, 0, 0, 0, 0), ("alpha", "p2", "\n", 0, 0, 0, 0, 0)]
