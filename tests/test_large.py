@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from foliate.operators import assemble, blocks, tables
+from foliate.functions.text import BLANK, lstrip, rstrip, strip
+from foliate.operators import assemble, audit, blocks, tables
 
 
 @pytest.fixture
@@ -48,3 +49,19 @@ def test_pages_are_polished_one_at_a_time(spark):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" in plan and "Arrow" not in plan and "MapInPandas" not in plan
     assert [tuple(r) for r in blocks.polish_bodies(pages).orderBy("slug").collect()] == [("alpha", "p1", "aます。\n", 1, 0, 0, 0, 0), ("alpha", "p2", "\n", 0, 0, 0, 0, 0)]
+
+
+def test_blanks_are_those_of_the_pattern(spark):
+    made = spark.range(0x1, 0xD800).select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'utf-16be')").alias("x"))
+    pattern = rf"(?U)\A[{BLANK}]+|[{BLANK}]+\z"
+    around = F.concat("x", F.lit("a"), "x", F.lit("b"), "x")
+    assert made.where((strip(around) != F.regexp_replace(around, pattern, "")) | (strip(F.col("x")) != F.regexp_replace("x", pattern, ""))).count() == 0
+    assert made.where((rstrip(around) != F.concat("x", F.lit("a"), "x", F.lit("b"), rstrip(F.col("x")))) | (lstrip(around) != F.concat(lstrip(F.col("x")), F.lit("a"), "x", F.lit("b"), "x"))).count() == 0
+
+
+def test_repeated_lines_of_long_pages_are_found_in_one_pass(spark):
+    lines = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.lit(" line "), F.floor(i / 2).cast("string")))
+    long = spark.createDataFrame([(20_001,)], "n int").select(lines.alias("lines")).localCheckpoint()
+    begun = time.monotonic()
+    assert long.select(F.explode(audit.duplicate_lines(F.col("lines")))).count() == 10_000
+    assert time.monotonic() - begun < 40
