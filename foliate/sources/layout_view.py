@@ -89,7 +89,8 @@ _BOXES = (
     ("doc_id % 6 = 2", "vector", "60", "190", "80", "210", "9"),
     ("n_cells > 1", "table", "60", "400", "360", "CASE WHEN split_table THEN 510 ELSE 460 END", "0"),
 )
-_WORD, _BLANKS = r"[^ \t\n\r\f\x0B]+", r"[ \t\n\r\f\x0B]+"
+_OTHER_BLANKS = r"\t\n\r\f\x0B"
+_WORD = rf"[^ {_OTHER_BLANKS}]+"
 
 BOXES_SQL = "\nUNION ALL\n".join(
     f"SELECT vendor, doc_id, page, '{kind}' AS kind, CAST({x0} AS DOUBLE) AS x0, CAST({y0} AS DOUBLE) AS y0, CAST({x1} AS DOUBLE) AS x1, CAST({y1} AS DOUBLE) AS y1, CAST({n} AS INTEGER) AS n_items FROM layout_words WHERE {when}" for when, kind, x0, y0, x1, y1, n in _BOXES
@@ -111,13 +112,18 @@ layout_boxes AS ({BOXES_SQL})"""
 
 def _fitted(documents: DataFrame) -> DataFrame:
     """The base rows with ``cells``, runs of words, ``n_cells`` and ``split_table``: whether they fill two tables."""
-    # One pass over the text, however often the column is read: no expression looks up single words of it.
-    run = rf"{_WORD}(?:{_BLANKS}{_WORD}){{0,{CELL_WORDS - 1}}}"
-    found = F.transform(F.regexp_extract_all("text", F.lit(run), F.lit(0)), lambda x: F.regexp_replace(x, _BLANKS, " "))
+    # Two passes over the text, however often the column is read: no expression looks up single words of it.
+    plain = F.regexp_replace("text", rf"[ {_OTHER_BLANKS}]{{2,}}|[{_OTHER_BLANKS}]", " ")
+    found = F.regexp_extract_all(plain, F.lit(f"[^ ]+(?: [^ ]+){{0,{CELL_WORDS - 1}}}"), F.lit(0))
     rows = _based(documents).withColumn("cells", found).withColumn("n_cells", F.size("cells"))
     return rows.withColumn("split_table", (F.col("doc_id") % 10 == 0) & (F.col("n_cells") >= 12))
 
 
+def _worded(documents: DataFrame) -> DataFrame:
+    """``_fitted`` of the texts that have a word. A filter by ``n_cells`` would stand before the cells' projection and make them once more."""
+    return _fitted(documents.where(F.rlike("text", F.lit(_WORD))))
+
+
 def boxes(documents: DataFrame) -> DataFrame:
     """Rasters, drawings and tables of each section's first page, some too small to be figures."""
     box = lambda when, kind, *v: F.when(F.expr(when), F.struct(F.lit(kind).alias("kind"), *[F.expr(f"cast({x} as double)").alias(c) for c, x in zip(("x0", "y0", "x1", "y1"), v, strict=False)], F.expr(f"cast({v[4]} as int)").alias("n_items")))
@@ -130,7 +136,7 @@ def cells(documents: DataFrame) -> DataFrame:
 
     Some texts fill two tables, one right below the other, half of the rows each.
     """
-    rows = _fitted(documents).where("n_cells > 0").withColumn("height", F.ceil(F.col("n_cells") / COLUMNS).cast("int"))
+    rows = _worded(documents).withColumn("height", F.ceil(F.col("n_cells") / COLUMNS).cast("int"))
     rows = rows.withColumn("first", F.when(F.col("split_table"), F.ceil(F.col("height") / 2).cast("int")).otherwise(F.col("height")))
     padded = F.concat("cells", F.array_repeat(F.lit(""), F.col("height") * COLUMNS - F.col("n_cells")))
     grid = rows.select("vendor", "page", "doc_id", "height", "first", F.posexplode(padded).alias("i", "word")).withColumns({"row": F.floor(F.col("i") / COLUMNS).cast("int"), "c": (F.col("i") % COLUMNS).cast("int")})
@@ -155,8 +161,8 @@ _MISSING, _GOES_ON = "c = doc_id % 3 AND r % 5 IN (1, 2)", "doc_id % 4 = 1 AND c
 
 def _damaged(documents: DataFrame) -> DataFrame:
     """All words of each document in tables of three columns and at most 150 rows, one below the other on the section's first page; without the missing cells' rectangles."""
-    rows = _fitted(documents).where("n_cells > 0").withColumn("all", F.concat("cells", F.array_repeat(F.lit("-"), F.pmod(-F.col("n_cells"), F.lit(COLUMNS)).cast("int"))))
-    rows = rows.select("vendor", "page", "doc_id", F.posexplode("all").alias("i", "word")).withColumns({"row": F.floor(F.col("i") / COLUMNS).cast("int"), "c": (F.col("i") % COLUMNS).cast("int")})
+    padded = F.concat("cells", F.array_repeat(F.lit("-"), F.pmod(-F.col("n_cells"), F.lit(COLUMNS)).cast("int")))
+    rows = _worded(documents).select("vendor", "page", "doc_id", F.posexplode(padded).alias("i", "word")).withColumns({"row": F.floor(F.col("i") / COLUMNS).cast("int"), "c": (F.col("i") % COLUMNS).cast("int")})
     rows = rows.withColumns({"table": F.floor(F.col("row") / DAMAGED_ROWS).cast("int") + 1, "r": F.pmod("row", F.lit(DAMAGED_ROWS))})
     top = F.lit(DAMAGED_APART) + (F.col("table") - 1) * (DAMAGED_ROWS * DAMAGED_STEP + DAMAGED_APART) + F.col("r") * DAMAGED_STEP
     return rows.select("vendor", "page", "doc_id", "table", "r", "c", F.concat("word", F.when(F.expr(_GOES_ON), "、").otherwise("")).alias("text"), (60.0 + F.col("c") * 100.0).alias("x"), top.alias("y"), F.expr(_MISSING).alias("missing"))
@@ -192,11 +198,12 @@ _KIND_STEP = 12.0
 
 def kinds_cells(documents: DataFrame) -> DataFrame:
     """A table for each document, of a kind that depends on its number, with all of its words but for callout boxes, whose text is in ``kinds_lines``."""
-    rows = _fitted(documents).where("n_cells > 0").withColumn("kind", F.pmod("doc_id", F.lit(5)))
+    rows = _worded(documents).withColumn("kind", F.pmod("doc_id", F.lit(5)))
     own = F.col("cells")
     tail = lambda n: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.lit("-"))
     padded = F.concat(own, F.array_repeat(F.lit("-"), F.pmod(-F.col("n_cells"), F.lit(COLUMNS)).cast("int")))
-    triples = F.transform(F.sequence(F.lit(0), F.ceil(F.col("n_cells") / COLUMNS).cast("int") - 1), lambda r: F.slice(padded, r * COLUMNS + 1, F.lit(COLUMNS)))
+    # Bound once for all rows: an expression within a lambda is evaluated for each of them.
+    triples = F.get(F.transform(F.array(padded), lambda own: F.transform(F.sequence(F.lit(0), F.ceil(F.col("n_cells") / COLUMNS).cast("int") - 1), lambda r: F.slice(own, r * COLUMNS + 1, F.lit(COLUMNS)))), F.lit(0))
     at_ends = lambda i: F.when((i == 0) | (i == F.col("n_cells") - 1), "-").otherwise("")
     halves = F.transform(own, lambda x, i: F.array(x, at_ends(i)))
     blank = F.array_repeat(F.lit(""), 11)
@@ -210,7 +217,7 @@ def kinds_cells(documents: DataFrame) -> DataFrame:
 
 def kinds_lines(documents: DataFrame) -> DataFrame:
     """The texts in callout boxes, the label among them."""
-    rows = _fitted(documents).where("n_cells > 0 and doc_id % 5 = 1").select("vendor", "page", F.posexplode("cells").alias("i", "text"))
+    rows = _worded(documents.where("doc_id % 5 = 1")).select("vendor", "page", F.posexplode("cells").alias("i", "text"))
     y = 100.0 + F.col("i") * _KIND_STEP
     box = [F.lit(62.0).alias("x0"), (y + 1).alias("y0"), F.lit(110.0).alias("x1"), (y + 11).alias("y1"), F.lit(1.0).alias("dir_x")]
     label = rows.where("i = 0").select("vendor", "page", *[c for c in box if c is not box[0]], F.lit(61.0).alias("x0"), F.lit("注 意").alias("text"))
@@ -219,7 +226,7 @@ def kinds_lines(documents: DataFrame) -> DataFrame:
 
 def kinds_images(documents: DataFrame) -> DataFrame:
     """Two images in every table that is half empty, one in each wide one."""
-    rows = _fitted(documents).where("n_cells > 0 and doc_id % 5 >= 3").select("vendor", "page", F.explode(F.when(F.expr("doc_id % 5 = 3"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("n"))
+    rows = _based(documents.where("doc_id % 5 >= 3").where(F.rlike("text", F.lit(_WORD)))).select("vendor", "page", F.explode(F.when(F.expr("doc_id % 5 = 3"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("n"))
     return rows.select("vendor", "page", F.lit("raster").alias("kind"), F.lit(62.0).alias("x0"), F.lit(101.0).alias("y0"), F.lit(80.0).alias("x1"), (110.0 + F.col("n")).alias("y1"))
 
 
