@@ -50,6 +50,23 @@ def test_glyphs_as_translate_puts_them(vendor):
     assert tables.glyphs_of(vendor)(text) == text.translate(str.maketrans(names))
 
 
+def test_cells_and_keys_as_their_patterns_say():
+    assert tables._in_cell("  a　 b|c ") == r"a b\|c" and tables._in_cell("語 語") == "語語" and tables._in_cell("Press「 」key _ ") == "Press「_」key"
+    assert tables._in_cell("長い文字列です 語 語") == "長い文字列です 語 語" and tables._in_cell("a_ ") == "a_"
+    assert assemble.match_key(" a\tＢ\x1c　c ") == "aBc" and assemble.match_key(None) == ""
+
+
+def test_tidied_as_all_its_patterns_say():
+    r, tidy = random.Random(7), assemble._tidy("beta", LAYOUTS["beta"])
+    marks = ((r"→ *→ *", "→ "), (r"(?<![0-9A-Za-z])_\s+(?=[0-9A-Za-z□])", "_"), (r"(?<![0-9A-Za-z_()])_ ?_(?![0-9A-Za-z_()])", " "), (r"[・.]{3,}", " "))
+    for _ in range(400):
+        text = "x" + "".join(r.choices("a□_ \t→・.語(", k=r.randint(0, 25)))
+        want = re.sub(r"[ \t]+", " ", text).strip()
+        for pattern, put in marks:
+            want = re.sub(pattern, put, want)
+        assert tidy(("p", text)) == [("p", want.strip())]
+
+
 def test_the_cells_of_a_text_are_made_once(spark):
     docs = spark.createDataFrame([(0, "a b"), (1, " \n\t"), (2, None)], "doc_id long, text string")
     for made in (view.cells(docs), view.kinds_cells(docs), view.damaged_cells(docs)):
