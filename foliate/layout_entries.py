@@ -65,14 +65,15 @@ def _items(s, d):
     return layout.items_of_lines(lines, *_boxed(s, d, lines), layout.config_table(s))
 
 
-def _units(s, d):
+def _made(s, d):
+    """The sections and their Markdown."""
     # Sections are read by several joins; they and their sub-headings are made once.
     entries = materialize(_toc(s, d), "toc")
     found = materialize(toc.build_sections(entries, view.page_counts(_docs(s, d))), "sections")
     subs = materialize(toc.sub_headings(found, entries), "sub-headings")
     lines = materialize(_lines(s, d), "lines")
     boxed = _boxed(s, d, lines)
-    return assemble.assemble(found, layout.items_of_lines(lines, *boxed, layout.config_table(s)), subs, *boxed)
+    return found, assemble.assemble(found, layout.items_of_lines(lines, *boxed, layout.config_table(s)), subs, *boxed)
 
 
 @_query("l0_toc", _TOC + "SELECT * FROM toc")
@@ -540,14 +541,15 @@ def _(s, d):
 
 @_query("x15_markdown")
 def _(s, d):
-    return _units(s, d)
+    return _made(s, d)[1]
 
 
 @_query("x16_catalog")
 def _(s, d):
-    return toc.catalog(_sections(s, d), _units(s, d))
+    return toc.catalog(*_made(s, d))
 
 
 @_query("a8_outliers")
 def _(s, d):
-    return toc.outliers(toc.catalog(_sections(s, d), _units(s, d)))
+    # Both reasons are looked for in the catalog; without a table each would make all pages.
+    return toc.outliers(materialize(toc.catalog(*_made(s, d)), "catalog"))

@@ -211,8 +211,8 @@ def sub_headings(sections: DataFrame, toc: DataFrame) -> DataFrame:
 
 def catalog(units: DataFrame, markdown: DataFrame) -> DataFrame:
     """``(vendor, slug, num, title, cat, chars, started, pages)`` from sections and ``(vendor, slug, text, started)``."""
-    joined = units.join(markdown.select("vendor", "slug", "text", "started"), ["vendor", "slug"])
-    return joined.select("vendor", "slug", "num", "title", "cat", F.length("text").alias("chars"), "started", F.concat(F.col("page").cast("string"), F.lit("-"), F.col("page_end").cast("string")).alias("pages"))
+    joined = units.join(markdown.select("vendor", "slug", F.length("text").alias("chars"), "started"), ["vendor", "slug"])  # no text is dealt out
+    return joined.select("vendor", "slug", "num", "title", "cat", "chars", "started", F.concat(F.col("page").cast("string"), F.lit("-"), F.col("page_end").cast("string")).alias("pages"))
 
 
 def outliers(found: DataFrame, short: int = 400, most: int = 20) -> DataFrame:

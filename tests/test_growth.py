@@ -81,6 +81,19 @@ def test_cells_are_the_runs_of_words(spark):
         assert row["cells"] == [" ".join(words[i : i + 8]) for i in range(0, len(words), 8)]
 
 
+def test_outliers_make_each_page_once(spark, monkeypatch, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string", useArrow=False)
+    def text(slug):
+        made.add(1)
+        return "short"
+
+    found = spark.createDataFrame([("alpha", f"s{i}", "1", "T", "setup", 1, 2) for i in range(7)], "vendor string, slug string, num string, title string, cat string, page int, page_end int")
+    monkeypatch.setattr(layout_entries, "_made", lambda s, d: (found, found.select("vendor", "slug", text("slug").alias("text"), F.lit(False).alias("started"))))
+    assert len(layout_entries.QUERIES["a8_outliers"](spark, "").collect()) == 14 and made.value == 7
+
+
 @pytest.mark.parametrize("held", [1, 3, 10**6])
 def test_pages_handed_on_together_are_the_same(spark, monkeypatch, held):
     docs = spark.createDataFrame([(i, " ".join(map(str, range(i)))) for i in range(40)], "doc_id long, text string")
