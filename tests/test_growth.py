@@ -81,6 +81,12 @@ def test_cells_are_the_runs_of_words(spark):
         assert row["cells"] == [" ".join(words[i : i + 8]) for i in range(0, len(words), 8)]
 
 
+def test_lines_split_a_text_once(spark):
+    rows = spark.createDataFrame([("a\r\nb\x85c\n",), ("",), ("\n\n",), ("x",)], "t string")
+    assert [r["l"] for r in rows.select(lines(F.col("t")).alias("l")).collect()] == [["a", "b", "c"], [], ["", ""], ["x"]]
+    assert plan(rows.select(F.transform(lines(F.col("t")), F.upper).alias("l"))).count("split(") == 1
+
+
 def test_outliers_make_each_page_once(spark, monkeypatch, tmp_path):
     made = spark.sparkContext.accumulator(0)
 
