@@ -65,3 +65,11 @@ def test_repeated_lines_of_long_pages_are_found_in_one_pass(spark):
     begun = time.monotonic()
     assert long.select(F.explode(audit.duplicate_lines(F.col("lines")))).count() == 10_000
     assert time.monotonic() - begun < 40
+
+
+def test_every_document_is_read_back(spark, documents):
+    """Empty texts, names that several documents share once cut to eight digits, a document without a number."""
+    folder = documents((1, ""), (2, "b"), (7, "c"), (100_000_000, "d"), (100_000_003, "e"), (100_000_003, "e"), (None, "f"), (None, ""), (3, None))
+    got = sorted(map(repr, map(tuple, _run(spark, "s1_read_pages", folder).collect())))
+    want = [("beta", "p00000001", ""), ("gamma", "p00000002", "b"), ("beta", "p00000007", "c��"), ("beta", "p10000000", "d"), ("beta", "p10000000", "e"), ("beta", "p10000000", "e"), ("gamma", None, "f"), ("gamma", None, "")]
+    assert got == sorted(map(repr, want))

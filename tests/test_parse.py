@@ -126,3 +126,17 @@ def test_search_docs_add_common_guides(spark):
         ("common", "setup"): ("", "T(3社対応表)", "setup", ["h1"]),
         ("common", "debug"): ("", "debug(3社対応表)", "debug", []),
     }
+
+
+def test_page_files_are_read_by_tasks(spark, tmp_path):
+    rows = [("alpha", "01-01", b"a\xff\n"), ("beta", "02", b""), ("beta", "a b=c%20", "é".encode()), ("beta", "02", b"again"), ("beta", "02", None)]
+    pages = spark.createDataFrame(rows, "vendor string, slug string, content binary").coalesce(1)
+    root = str(tmp_path / "out %41")
+    assert source.write_page_files(pages, root, apart=True) == 5
+    (tmp_path / "out %41" / "x" / "alpha").mkdir(parents=True)
+    (tmp_path / "out %41" / "x" / "alpha" / "note.txt").write_text("no page")
+    found = source.read_page_files(spark, root)
+    assert sorted(tuple(r) for r in found.select("vendor", "slug", F.col("content").cast("string")).collect() if r["slug"] == "02") == [("beta", "02", ""), ("beta", "02", ""), ("beta", "02", "again")]
+    assert sorted((r["vendor"], r["slug"], bytes(r["content"])) for r in found.collect()) == sorted((v, s, c or b"") for v, s, c in rows)
+    assert "FileScan binaryFile" not in found._jdf.queryExecution().executedPlan().toString()
+    assert source.read_page_files(spark, str(tmp_path / "none")).count() == 0
