@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs.extract import boxes_of_pages
+from .jobs.extract import boxes_of_pages, items_of_pages, pages_of_sections
 from .layout_config import LAYOUTS, glyph_map
 from .operators import assemble, changes, layout, tables, toc
 from .sources import layout_view as view
 from .sources import manual_view as manual
-from .sources.scratch import materialize
+from .sources.scratch import materialize, scratch_removed
 from .sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,19 +61,23 @@ def _boxed(s, d, lines=None):
 
 
 def _items(s, d):
-    lines = materialize(_lines(s, d), "lines")
-    return layout.items_of_lines(lines, *_boxed(s, d, lines), layout.config_table(s))
+    with scratch_removed(s, keep=("items",)):
+        lines = materialize(_lines(s, d), "lines", "zstd")
+        return items_of_pages(lines, *_boxed(s, d, lines))
 
 
 def _made(s, d):
     """The sections and their Markdown."""
-    # Sections are read by several joins; they and their sub-headings are made once.
-    entries = materialize(_toc(s, d), "toc")
-    found = materialize(toc.build_sections(entries, view.page_counts(_docs(s, d))), "sections")
-    subs = materialize(toc.sub_headings(found, entries), "sub-headings")
-    lines = materialize(_lines(s, d), "lines")
-    boxed = _boxed(s, d, lines)
-    return found, assemble.assemble(found, layout.items_of_lines(lines, *boxed, layout.config_table(s)), subs, *boxed)
+    with scratch_removed(s, keep=("sections", "sections-made")):
+        # Sections are read by several joins; they and their sub-headings are made once.
+        entries = materialize(_toc(s, d), "toc")
+        found = materialize(toc.build_sections(entries, view.page_counts(_docs(s, d))), "sections")
+        subs = materialize(toc.sub_headings(found, entries), "sub-headings")
+        with scratch_removed(s, keep=("items", "tables", "figures")):
+            lines = materialize(_lines(s, d), "lines", "zstd")
+            boxed = _boxed(s, d, lines)
+            items = items_of_pages(lines, *boxed)
+        return found, pages_of_sections(found, items, subs, *boxed)
 
 
 @_query("l0_toc", _TOC + "SELECT * FROM toc")
