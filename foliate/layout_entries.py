@@ -336,13 +336,17 @@ placed AS (SELECT s.vendor, {_SLUG.replace("num", "s.num")} AS slug, CAST(o.page
 hit AS (SELECT p.vendor, p.slug, p.seq, arg_min(level, pos) AS toc_level FROM placed p JOIN subs USING (vendor, slug) WHERE norm = key OR length(key) > 6 AND starts_with(norm, key) GROUP BY ALL)
 SELECT p.vendor, p.slug, p.seq, text, toc_level FROM placed p LEFT JOIN hit USING (vendor, slug, seq)""")
 def _(s, d):
-    found = _sections(s, d)
     # An integer as in the SQL where all pages fit, which ends at page 214,747, and else a long.
     most = view.page_counts(_docs(s, d)).agg(F.max("pages")).first()[0] or 0
     kind = "int" if (most + SPARE_PAGES) * PAGE_PLACES < 2**31 else "long"
-    own = found.select("vendor", "slug", F.explode(F.sequence("page", "page_end")).alias("page"))
-    items = layout.reading_order(_items(s, d)).join(own, ["vendor", "page"]).withColumn("seq", (F.col("page").cast("long") * PAGE_PLACES + F.col("seq")).cast(kind))
-    return assemble.toc_headings(items.select("vendor", "slug", "seq", "text"), toc.sub_headings(found, _toc(s, d)))
+    with scratch_removed(s, keep=("placed", "sub-headings")):
+        found = materialize(_sections(s, d), "sections")
+        own = found.select("vendor", "slug", F.explode(F.sequence("page", "page_end")).alias("page"))
+        items = layout.reading_order(_items(s, d)).join(own, ["vendor", "page"]).withColumn("seq", (F.col("page").cast("long") * PAGE_PLACES + F.col("seq")).cast(kind))
+        # Written, so that the shuffles of the pages are gone when those of the sections are made.
+        placed = materialize(items.select("vendor", "slug", "seq", "text"), "placed", "zstd")
+        subs = materialize(toc.sub_headings(found, _toc(s, d)), "sub-headings")
+    return assemble.toc_headings(placed, subs)
 
 
 # ---- Rules on lines, rows and tables, on what each document's text makes of them.
