@@ -31,7 +31,7 @@ def counted(done: DataFrame, name: str = "polished") -> tuple[DataFrame, DataFra
     The rows pass the counters in the stage that writes them, so a task that is tried again counts once.
     """
     seen = Observation()
-    table = materialize(done.observe(seen, *blocks.totals()), name)
+    table = materialize(done.observe(seen, *blocks.totals()), name, "zstd")
     kinds = {f.name: f.dataType for f in blocks.counter_totals(table).schema}
     totals = table.sparkSession.createDataFrame([tuple(seen.get.get(c, 0) for c in kinds)], ", ".join(f"{c} {k.simpleString()}" for c, k in kinds.items()))
     return table, totals
@@ -45,5 +45,5 @@ def run(pages: DataFrame, out: str, dry_run: bool = False) -> DataFrame:
     with scratch_removed(pages.sparkSession):
         done, totals = counted(polish(pages))
         if not dry_run:
-            merge_pages(done, out)
+            merge_pages(done, out, written=True)
     return totals

@@ -15,7 +15,7 @@ from operator import or_
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import BLOCKS, materialize, scratch_removed, shuffles_removed
 
 #: A new corpus has so many buckets that each holds about so many bytes of text, and these at least. Pages are dealt to them by a hash of vendor and slug.
 BUCKET_BYTES, LEAST_BUCKETS = 1 << 30, 16
@@ -76,38 +76,54 @@ def read_corpus(spark: SparkSession, root: str, version: int | None = None) -> D
     return _stored(spark, root, _snapshot(spark, root, version or (there[-1] if there else None))).select("vendor", "slug", "text")
 
 
-def merge_pages(pages: DataFrame, root: str, buckets: int | None = None) -> int | None:
+def merge_pages(pages: DataFrame, root: str, buckets: int | None = None, written: bool = False) -> int | None:
     """Puts ``pages`` (vendor, slug, text) into the corpus and returns its version, a new one only if a page is new or differs.
 
     Pages that ``pages`` does not name stay. Texts are compared by SHA-256; buckets without a change are neither read whole nor
     written. Of several rows for one page the greatest text counts, null being least; a null vendor or slug is a key like any other.
-    ``buckets`` holds for a corpus that is not there yet, and else follows from its texts' size; it stays. ``pages`` is computed once. None: there is neither a corpus nor a page.
+    ``buckets`` holds for a corpus that is not there yet, and else follows from its texts' size; it stays. ``pages`` is computed once,
+    or is a table already (``written``), of which no copy is made. None: there is neither a corpus nor a page.
     """
     spark = pages.sparkSession
     there = versions(spark, root)
     last = there[-1] if there else None
     old = _snapshot(spark, root, last)
-    given = materialize(pages.select("vendor", "slug", "text", F.unhex(F.sha2("text", 256)).alias("digest")), "given-pages")
-    count = old["buckets"] or buckets or max(LEAST_BUCKETS, -(-(given.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // BUCKET_BYTES))
-    given = given.withColumn("bucket", F.pmod(F.xxhash64("vendor", "slug"), F.lit(count)).cast("int"))
-    known = _stored(spark, root, old).select(*[F.col(c).alias(f"_{c}") for c in ("vendor", "slug", "digest")])
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("vendor", "slug", "digest")]
-    fresh = materialize(given.join(known, same[0] & same[1] & same[2], "left_anti"), "fresh-pages")
-    touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # no more rows than there are buckets
-    if not touched:
-        return last
-    merge = uuid.uuid4().hex
-    rows = _stored(spark, root, old, touched).withColumn("fresh", F.lit(False)).unionByName(fresh.withColumn("fresh", F.lit(True)))
-    # One exchange of the texts, by bucket; the window keeps to it.
-    newest = Window.partitionBy("bucket", "vendor", "slug").orderBy(F.desc("fresh"), F.desc("text"))
-    merged = rows.repartition("bucket").withColumn("_n", F.row_number().over(newest)).where("_n = 1").select("vendor", "slug", "text", "digest", "bucket")
-    merged.write.partitionBy("bucket").parquet(f"{root}/merge={merge}")
+    with scratch_removed(spark):
+        given = pages.select("vendor", "slug", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
+        if not written:
+            given = materialize(given, "given-pages", "zstd")
+        count = old["buckets"] or buckets or max(LEAST_BUCKETS, -(-(given.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // BUCKET_BYTES))
+        given = given.withColumn("bucket", F.pmod(F.xxhash64("vendor", "slug"), F.lit(count)).cast("int"))
+        known = _stored(spark, root, old).select(*[F.col(c).alias(f"_{c}") for c in ("vendor", "slug", "digest")])
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("vendor", "slug", "digest")]
+        # Keys and digests only; which rows are fresh is seen once more where the texts meet.
+        with shuffles_removed(spark):
+            touched = sorted(r["bucket"] for r in given.drop("text").join(known, same[0] & same[1] & same[2], "left_anti").select("bucket").distinct().collect())  # no more rows than there are buckets
+        if not touched:
+            return last
+        merge = uuid.uuid4().hex
+        blocks = (_merged(_stored(spark, root, old, own), given.where(F.col("bucket").isin(own))) for own in filter(None, (touched[b::BLOCKS] for b in range(BLOCKS))))
+        for block in blocks:  # the shuffle files of one go before the next one's are made
+            with shuffles_removed(spark):
+                block.write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(f"{root}/merge={merge}")
     left = {m: sorted(set(own) - set(touched)) for m, own in old["merges"].items()}
-    now = {"buckets": count, "merges": {m: own for m, own in left.items() if own} | {merge: sorted(touched)}}
+    now = {"buckets": count, "merges": {m: own for m, own in left.items() if own} | {merge: touched}}
     _publish(spark, root, (last or 0) + 1, now)
     return (last or 0) + 1
 
 
+def _merged(old: DataFrame, given: DataFrame) -> DataFrame:
+    """The rows of some buckets after a merge: a given row whose page has its digest already is not fresh, and fresh ones go before the old one."""
+    rows = old.withColumn("given", F.lit(False)).unionByName(given.withColumn("given", F.lit(True)))
+    # One exchange of the texts, by bucket and a share of its pages; the windows keep to it.
+    rows = rows.withColumn("_share", F.pmod(F.hash("vendor", "slug"), F.lit(BLOCKS))).repartition("bucket", "_share")
+    page = Window.partitionBy("bucket", "_share", "vendor", "slug")
+    rows = rows.withColumns({"_known": F.max(~F.col("given")).over(page), "_digest": F.max(F.when(~F.col("given"), F.col("digest"))).over(page)})
+    rows = rows.withColumn("fresh", F.col("given") & ~(F.col("_known") & F.col("digest").eqNullSafe(F.col("_digest"))))
+    newest = page.orderBy(F.desc("fresh"), F.desc("text"))
+    return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select("vendor", "slug", "text", "digest", "bucket")
+
+
 def vacuum(spark: SparkSession, root: str, keep: int = 1) -> int:
     """Deletes all snapshots but the ``keep`` newest and the bucket folders that none of these names, failed merges' too; how many folders (of buckets or whole merges) went.
 

@@ -150,3 +150,23 @@ def test_totals_are_those_of_an_aggregation(spark, table):
     done = job.polish(pages(table, 9))
     kept, totals = job.counted(done)
     assert totals.collect() == blocks.counter_totals(kept).collect() == blocks.counter_totals(done).collect() and totals.dtypes == blocks.counter_totals(kept).dtypes
+
+
+def test_a_merge_leaves_no_scratch_and_copies_no_table(spark, tmp_path, monkeypatch):
+    """Buckets are merged in blocks, with the same rows for pages that are new, as they were, changed, given twice or without a key."""
+    from foliate.sources import scratch
+
+    wrote, before = [], len(scratch._made)
+    monkeypatch.setattr(corpus, "materialize", lambda df, name, *a: (wrote.append(name), scratch.materialize(df, name, *a))[1])
+    schema = "vendor string, slug string, text string"
+    first = [("a", f"p{i}", f"text {i}") for i in range(60)] + [(None, "x", "old"), ("a", None, None)]
+    root = str(tmp_path / "corpus")
+    corpus.merge_pages(spark.createDataFrame(first, schema), root)
+    assert wrote == ["given-pages"] and len(scratch._made) == before
+    then = [("a", "p1", "text 1"), ("a", "p2", "new"), ("a", "p3", "b"), ("a", "p3", "c"), ("a", "p3", None), (None, "x", "now"), ("a", None, None), ("b", "p1", "text 1"), ("a", "p4", None)]
+    table = scratch.materialize(spark.createDataFrame(then, schema), "table")
+    assert corpus.merge_pages(table, root, written=True) == 2 and wrote == ["given-pages"] and len(scratch._made) == before + 1
+    want = {(v, s): t for v, s, t in first} | {("a", "p2"): "new", ("a", "p3"): "c", (None, "x"): "now", ("b", "p1"): "text 1", ("a", "p4"): None}
+    got = corpus.read_corpus(spark, root).collect()
+    assert {(r["vendor"], r["slug"]): r["text"] for r in got} == want and len(got) == len(want)
+    assert corpus.merge_pages(table.where("slug = 'p1'"), root, written=True) == 2
